@@ -155,8 +155,9 @@ def days_to_holiday(days: DataFrame, holidays: DataFrame, day: str = "day",
     d = days.select(F.col(day).cast("date").alias("_d"), F.lit(None).cast("date").alias("_h")).distinct()
     h = holidays.select(F.col(holiday_col).cast("date").alias("_d"), F.col(holiday_col).cast("date").alias("_h"))
     u = d.unionByName(h)
-    # ordered so a holiday row comes before a plain day row of the same date
-    w = Window.orderBy(F.col("_d"), F.col("_h").isNull()).rowsBetween(0, Window.unboundedFollowing)
+    # a plain day row sorts before the holiday row of the same date, so a
+    # holiday day sees itself (0 days)
+    w = Window.orderBy(F.col("_d"), F.col("_h").isNull().desc()).rowsBetween(0, Window.unboundedFollowing)
     nxt = u.withColumn("_next", F.first("_h", ignorenulls=True).over(w)).filter(F.col("_h").isNull())
     delta = F.datediff("_next", "_d")
     return nxt.select(F.col("_d").alias(day),
