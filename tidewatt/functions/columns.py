@@ -72,12 +72,14 @@ def row_std(*cols) -> Column:
     return F.when(n > 1, F.sqrt(ss / (n - 1)))
 
 
-def round_doubles(df, places: int = 6):
-    """Round every DOUBLE column (report formatting, C25)."""
+def round_doubles(df, places: int = 6, money: list[str] = (), money_places: int = 4):
+    """Round every DOUBLE column (report formatting, C25); ``money`` columns
+    (large totals) to ``money_places``."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, DoubleType):
-            out.append((F.round(F.col(f.name), places) + F.lit(0.0)).alias(f.name))
+            pl = money_places if f.name in money else places
+            out.append((F.round(F.col(f.name), pl) + F.lit(0.0)).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

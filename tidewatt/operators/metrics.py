@@ -234,7 +234,7 @@ def monthly_metering(calls: DataFrame, key_tiers: DataFrame, tiers: DataFrame,
                        F.col("monthly_calls") * 100.0 / F.col("monthly_call_quota"))
     return j.select(key, "period", "tier", "monthly_calls", "monthly_call_quota",
                     quota_pct.alias("quota_used_pct"),
-                    (F.col("monthly_call_quota") > 0) & (F.col("monthly_calls") > F.col("monthly_call_quota"))
+                    ((F.col("monthly_call_quota") > 0) & (F.col("monthly_calls") > F.col("monthly_call_quota")))
                     .alias("over_quota"),
                     "can_use_optimize", "can_use_webhooks",
                     (F.col("price_eur_month") + F.col("monthly_calls") * F.col("payg_price_eur_cents") / 100.0)

@@ -191,7 +191,7 @@ def audit_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_AUDIT = """audit AS (
-  SELECT event_id AS id, CAST(epoch(ts) AS BIGINT) AS ts, 'user' || CAST(user_id AS VARCHAR) AS user_id,
+  SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS ts, 'user' || CAST(user_id AS VARCHAR) AS user_id,
          event_type AS action, 'schedule' AS resource, CAST(NULL AS VARCHAR) AS ip_address,
          props AS details
   FROM events)"""

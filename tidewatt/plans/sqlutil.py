@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 
-def oracle(parts: list[str], select: str, doubles: list[str] = ()) -> str:
+def oracle(parts: list[str], select: str, doubles: list[str] = (), money: list[str] = ()) -> str:
     """``WITH <parts> <select>`` with the listed DOUBLE columns rounded to 6
-    places (the same rounding the Spark side applies via ``round_doubles``)."""
+    places (the same rounding the Spark side applies via ``round_doubles``);
+    ``money`` columns (large totals of cent/basis-point inputs) to 4."""
     head = ("WITH " + ",\n".join(parts) + "\n") if parts else ""
-    if not doubles:
+    if not doubles and not money:
         return head + select
-    rep = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in doubles)
+    rep = ", ".join([f"round({c}, 6) + 0.0 AS {c}" for c in doubles if c not in money]
+                    + [f"round({c}, 4) + 0.0 AS {c}" for c in money])
     return head + f"SELECT * REPLACE ({rep}) FROM (\n{select}\n) q"
