@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 KEY = "series_id"
 SPEC_COLS = ["duration_h", "eta_charge", "eta_discharge", "soc_min_frac", "soc_max_frac",
              "soc_init_frac", "max_cycles_per_day", "degradation_eur_per_mwh", "cyclic_penalty"]
-DEFAULT_SOC_STEPS = 180
+DEFAULT_SOC_STEPS = 10   # grid steps per full-power charge MTU
 MIN_MTUS_PER_DAY = 90
 
 
@@ -41,7 +41,7 @@ def solve(prices: np.ndarray, energy: float, power: float = 1.0, eta_c: float =
           cyclic_penalty: float = 0.0, cyclic: bool = True, delta_h: float = 0.25,
           idle: np.ndarray | None = None, min_discharge_price: float | None = None,
           max_charge_price: float | None = None, soc_steps: int = DEFAULT_SOC_STEPS,
-          bisect_iter: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+          bisect_iter: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximise sum p (dis - ch) dh - deg (ch + dis) dh - penalty |soc_T - soc_0|.
 
     Returns (charge_mw, discharge_mw, soc_mwh) arrays."""
@@ -51,18 +51,23 @@ def solve(prices: np.ndarray, energy: float, power: float = 1.0, eta_c: float =
         z = np.zeros(0)
         return z, z, z
     lo, hi = soc_min_frac * energy, soc_max_frac * energy
-    step = (hi - lo) / soc_steps
-    states = lo + step * np.arange(soc_steps + 1)
-    i0 = int(round((soc_init_frac * energy - lo) / step))
-    i0 = min(max(i0, 0), soc_steps)
-    kc = int(np.floor(eta_c * power * delta_h / step + 1e-9))
+    soc0 = min(max(soc_init_frac * energy, lo), hi)
+    # SoC grid anchored at SoC0 with a full-power charge step = soc_steps
+    # grid steps, so the (usually bang-bang) full-power charge is exact.
+    step = eta_c * power * delta_h / soc_steps
+    j_lo = -int(np.floor((soc0 - lo) / step + 1e-9))
+    j_hi = int(np.floor((hi - soc0) / step + 1e-9))
+    states = soc0 + step * np.arange(j_lo, j_hi + 1)
+    n_states = len(states)
+    i0 = -j_lo
+    kc = soc_steps
     kd = int(np.floor(power * delta_h / eta_d / step + 1e-9))
     ks = np.arange(-kd, kc + 1)
     ch_k = np.where(ks > 0, ks * step / (eta_c * delta_h), 0.0)
     dis_k = np.where(ks < 0, -ks * step * eta_d / delta_h, 0.0)
-    idx = np.arange(soc_steps + 1)[:, None] + ks[None, :]
-    valid = (idx >= 0) & (idx <= soc_steps)
-    idx_c = np.clip(idx, 0, soc_steps)
+    idx = np.arange(n_states)[:, None] + ks[None, :]
+    valid = (idx >= 0) & (idx < n_states)
+    idx_c = np.clip(idx, 0, n_states - 1)
 
     allowed = np.ones((n, len(ks)), dtype=bool)
     if idle is not None:
@@ -73,23 +78,23 @@ def solve(prices: np.ndarray, energy: float, power: float = 1.0, eta_c: float =
         allowed[p > max_charge_price] &= ks <= 0
 
     if cyclic and cyclic_penalty <= 0:
-        terminal = np.full(soc_steps + 1, -np.inf)
+        terminal = np.full(n_states, -np.inf)
         terminal[i0] = 0.0
     elif cyclic:
         terminal = -cyclic_penalty * np.abs(states - states[i0])
     else:
-        terminal = np.zeros(soc_steps + 1)
+        terminal = np.zeros(n_states)
 
     pen = np.where(valid, 0.0, -np.inf)
     thr_k = (ch_k + dis_k) * delta_h
     gross_k = (dis_k - ch_k) * delta_h
-    rows = np.arange(soc_steps + 1)
+    rows = np.arange(n_states)
     r_all = np.where(allowed, p[:, None] * gross_k[None, :] - degradation * thr_k[None, :], -np.inf)
 
     def run(lam: float):
         """Backward DP over the SoC grid, then a forward pass from SoC0."""
         V = terminal
-        policy = np.empty((n, soc_steps + 1), dtype=np.int16)
+        policy = np.empty((n, n_states), dtype=np.int16)
         for t in range(n - 1, -1, -1):
             cand = V[idx_c] + (pen + (r_all[t] - lam * thr_k))
             a = cand.argmax(axis=1)
@@ -310,7 +315,11 @@ def backtest_daily(frame: DataFrame, assets: DataFrame, extra_keys: list[str] =
     -> realized, perfect, capture (E14), idle MTUs, buy / sell MWh; days with
     < 90 MTUs skipped.  Perfect solves run once, whatever the sweep."""
     specs = _spec_table(normalise_specs(assets, cyclic_penalty))
-    perf = perfect_daily(frame, specs, kw.get("actual_col", "price"))
+    actual = kw.get("actual_col", "price")
+    base = frame
+    if extra_keys:   # the sweep multiplies rows; perfect solves need each MTU once
+        base = frame.select(KEY, "ts", "day", actual).dropDuplicates([KEY, "ts"])
+    perf = perfect_daily(base, specs, actual)
     fc = forecast_daily(frame, specs, list(extra_keys), **kw)
     j = fc.join(perf, [KEY, "spec_id", "day"])
     return j.withColumn("capture_ratio", F.when(F.col("perfect_eur") > 0,

@@ -64,7 +64,8 @@ def conformal_calibrate(test: DataFrame, shifts: DataFrame, cols: list[str], by:
 # ------------------------------------------------------------- Spark ML ----
 
 def _assembler(features: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    """Assembles the imputed copies of the features."""
+    return VectorAssembler(inputCols=[f"{c}_imp" for c in features], outputCol="features", handleInvalid="keep")
 
 
 def missing_indicators(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
@@ -76,7 +77,7 @@ def missing_indicators(df: DataFrame, features: list[str]) -> tuple[DataFrame, l
 
 
 def imputer(features: list[str]) -> Imputer:
-    return Imputer(inputCols=features, outputCols=features, strategy="median")
+    return Imputer(inputCols=features, outputCols=[f"{c}_imp" for c in features], strategy="median")
 
 
 def fit_point(train: DataFrame, features: list[str], target: str = TARGET, weight: str | None = None,

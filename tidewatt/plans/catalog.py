@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_core", "q_features", "q_dispatch", "q_metrics"]
+_MODULES = ["q_core", "q_features", "q_dispatch", "q_metrics", "q_ml"]
 
 
 def _load():

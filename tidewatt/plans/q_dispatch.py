@@ -263,3 +263,60 @@ def j2(spark, d):
     bt = dispatch.backtest_daily(f, fx.assets(spark, d), idle_col="is_idle", horizon_col="h",
                                  discount=(0.1, 0.6))
     return round_doubles(bt)
+
+
+# ----------------------------------------------------------------- sweeps --
+
+@reg("K4_tune_threshold")
+def k4(spark, d):
+    """Idle-threshold search: every percentile of the grid in one job, best
+    total realised revenue per zone (ties -> lowest percentile)."""
+    f = dispatch_frame(spark, d)
+    g = spread_grid(f)
+    fx_ = f.join(F.broadcast(g), "series_id").withColumn(
+        "idle_k", (F.col("q95") - F.col("q05")) < F.col("threshold"))
+    bt = dispatch.backtest_daily(fx_, fx.assets(spark, d), extra_keys=["pct"], idle_col="idle_k")
+    tot = bt.groupBy("series_id", "spec_id", "pct").agg(F.sum("realized_eur").alias("realized_eur"),
+                                                       F.sum("perfect_eur").alias("perfect_eur"))
+    best = metrics.best_by(tot, "realized_eur", ["series_id", "spec_id"], ["pct"])
+    return round_doubles(best.join(g, ["series_id", "pct"]))
+
+
+ALPHAS = [round(0.1 * i, 1) for i in range(11)]
+
+
+@reg("K5_alpha_sweep")
+def k5(spark, d):
+    """D1 discount sweep on 2-day horizons, summarised per (zone, alpha)."""
+    f = dispatch_frame(spark, d).withColumn("h", F.lit(2))
+    a = spark.createDataFrame([(x,) for x in ALPHAS], "alpha double")
+    fa = f.crossJoin(F.broadcast(a))
+    bt = dispatch.backtest_daily(fa, fx.assets(spark, d), extra_keys=["alpha"], idle_col="is_idle",
+                                 horizon_col="h", discount=("alpha", 1.0))
+    return round_doubles(metrics.capture_summary(bt, ["series_id", "alpha"]))
+
+
+@reg("K6_horizon_sweep")
+def k6(spark, d):
+    """Horizons 2..7 with a flat 0.1 discount; single-day fallback near the end."""
+    f = dispatch_frame(spark, d)
+    hs = spark.createDataFrame([(h,) for h in range(2, 8)], "h int")
+    fh = f.crossJoin(F.broadcast(hs))
+    bt = dispatch.backtest_daily(fh, fx.assets(spark, d), extra_keys=["h"], idle_col="is_idle",
+                                 horizon_col="h", discount=(0.1, 1.0))
+    return round_doubles(metrics.capture_summary(bt, ["series_id", "h"]))
+
+
+@reg("K7_dynamic_backtest")
+def k7(spark, d):
+    """Horizon per day from the spread regime (E2 -> E3 -> C21), then J2 with
+    the 0.1 x 0.6^(i-1) discount curve; summary (E7) and horizon counts (E9)."""
+    f = dispatch_frame(spark, d)
+    h = horizon_choice(spark, d).select("series_id", "day", "horizon_days")
+    fh = f.join(h, ["series_id", "day"])
+    bt = dispatch.backtest_daily(fh, fx.assets(spark, d), idle_col="is_idle", horizon_col="horizon_days",
+                                 discount=(0.1, 0.6))
+    s = metrics.capture_summary(bt, ["series_id"])
+    hc = metrics.horizon_counts(bt.withColumn("horizon_days", F.col("horizon_days")))
+    return round_doubles(s.join(hc.select("series_id", F.to_json("horizon_counts").alias("horizon_counts")),
+                                "series_id"))

@@ -62,3 +62,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" in base:
         return f"{base.rstrip('/')}/{name}"
     return os.path.join(base, name)
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
+    (survives executor loss; never a local checkpoint).  Used before
+    iterative consumers such as the boosted-tree fits."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
