@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_core", "q_features", "q_dispatch", "q_metrics", "q_ml", "q_stream"]
+_MODULES = ["q_core", "q_features", "q_dispatch", "q_metrics", "q_ml", "q_stream", "q_sources"]
 
 
 def _load():
