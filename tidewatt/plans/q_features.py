@@ -255,3 +255,25 @@ def e1(spark, d):
     m = m.withColumn("price_lag672", F.lag("price", 672).over(Window.partitionBy("series_id").orderBy("ts")))
     r = metrics.null_ratios(m, _E1_COLS)
     return round_doubles(r.withColumn("dropped", F.col("null_ratio") > 0.7))
+
+
+# C13 + C14 + C15: regime flag, redundant calendar columns dropped, start / target filters.
+_C14_START = "2024-01-03"
+
+
+@reg("C14_C15_drop_and_filter", oracle([fx.SQL_MARKET], f"""
+SELECT series_id, ts, price, CAST(isodow(ts) - 1 AS INTEGER) AS dow, CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend,
+  sin(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440.0) AS sin_tod,
+  cos(2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440.0) AS cos_tod,
+  CAST(ts >= TIMESTAMP '2025-10-01 00:00:00' AS INTEGER) AS mtu_15m_active
+FROM market WHERE ts >= TIMESTAMP '{_C14_START} 00:00:00' AND price IS NOT NULL""",
+     ["price", "sin_tod", "cos_tod"]))
+def c14_c15(spark, d):
+    from tidewatt.functions import calendar as cal
+    m = fx.market_grid(spark, d).select("series_id", "ts", "price")
+    m = m.filter((F.col("ts") >= F.lit(_C14_START).cast("timestamp_ntz")) & F.col("price").isNotNull())
+    m = m.withColumns({**cal.calendar_columns("ts"), **cal.cyclic_columns("ts"),
+                       "mtu_15m_active": cal.regime_flag("ts")})
+    # C14: the sin/cos pairs carry the same information as these
+    m = m.drop("minute_of_day", "doy", "hour", "month", "sin_doy", "cos_doy")
+    return round_doubles(m)
