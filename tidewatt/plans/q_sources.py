@@ -106,16 +106,14 @@ def a5(spark, d):
     return round_doubles(flat)
 
 
-@reg("A7_normalize_grid_feed")
-def a7(spark, d):
-    """A zone's forecast feed with provider-style names, renamed."""
-    m = fx.market_grid(spark, d)
-    raw = m.select("ts", F.col("series_id"), F.col("solar_mw").alias("Solar"),
-                   F.col("wind_mw").alias("Wind Onshore"))
-    out = raw.groupBy("ts").pivot("series_id", ZONES[:1]).agg(F.first("Solar").alias("Solar"),
-                                                             F.first("Wind Onshore").alias("Wind Onshore"))
-    out = out.select("ts", *[F.col(c).alias(c.split("_", 1)[1]) for c in out.columns if c != "ts"])
-    return round_doubles(feeds.normalize_grid_feed(out, "forecast"))
+@reg("A7_normalize_grid_feed", oracle([fx.SQL_MARKET],
+     "SELECT ts, solar_mw AS forecast_solar_mw, wind_mw AS forecast_wind_onshore_mw FROM market "
+     "WHERE series_id = 'click'", ["forecast_solar_mw", "forecast_wind_onshore_mw"]))
+def a7(spark, d, zone: str = "click"):
+    """One zone's forecast feed with provider-style names, renamed."""
+    m = fx.market_grid(spark, d).filter(F.col("series_id") == zone)
+    raw = m.select("ts", F.col("solar_mw").alias("Solar"), F.col("wind_mw").alias("Wind Onshore"))
+    return round_doubles(feeds.normalize_grid_feed(raw, "forecast"))
 
 
 @reg("A11_write_snapshots")
@@ -144,9 +142,10 @@ def a12(spark, d):
     return spark.read.option("header", True).option("inferSchema", False).csv(f"{path}/daily")
 
 
-@reg("F4_append_audit")
+@reg("F4_append_audit", oracle([], "SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1"))
 def f4(spark, d):
-    """Insert-only audit log: append the audit rows, read the log back."""
-    path = scratch_path(spark, "audit_log")
+    """Insert-only audit log: append the audit rows to a fresh log, read it back."""
+    import uuid
+    path = scratch_path(spark, f"audit_log/{uuid.uuid4().hex[:12]}")
     tables.append_audit(fx.audit_rows(spark, d), path)
     return spark.read.parquet(path).groupBy("action").agg(F.count(F.lit(1)).alias("n"))

@@ -5,29 +5,40 @@ batch."""
 from __future__ import annotations
 
 from tidewatt.functions.columns import round_doubles
+from tidewatt.plans import fixtures as fx
+from tidewatt.plans.sqlutil import oracle
 from tidewatt.streaming import jobs
 
 Q, SQL = {}, {}
 
 
-def reg(name):
+def reg(name, sql=None):
     def deco(fn):
         Q[name] = fn
+        if sql is not None:
+            SQL[name] = sql
         return fn
     return deco
 
 
-@reg("H1_stream_ingest")
+# (series, ts) is unique in the landed events, so the deduplicated stream
+# equals the table.
+@reg("H1_stream_ingest", oracle([], "SELECT event_type AS series_id, ts, value, event_id, user_id, props FROM events",
+                                ["value"]))
 def h1(spark, d):
     return round_doubles(jobs.stream_ingest(spark, d))
 
 
-@reg("H2_stream_15min")
+@reg("H2_stream_15min", oracle([fx.SQL_SLOTS], "SELECT series_id, ts, price, n_obs FROM slots", ["price"]))
 def h2(spark, d):
     return round_doubles(jobs.stream_windows(spark, d))
 
 
-@reg("H2_stream_24h_sliding")
+@reg("H2_stream_24h_sliding", oracle([], """
+SELECT series_id, ts, avg(value) AS price, count(*) AS n_obs FROM (
+  SELECT event_type AS series_id, value,
+         time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS ts
+  FROM events, range(96) r(k)) x GROUP BY 1, 2""", ["price"]))
 def h2s(spark, d):
     return round_doubles(jobs.stream_windows(spark, d, "24 hours", "15 minutes", watermark="1 day"))
 
@@ -42,6 +53,8 @@ def h4(spark, d):
     return round_doubles(jobs.stream_kpi(spark, d))
 
 
-@reg("H5_stream_metering")
+@reg("H5_stream_metering", oracle([], """
+SELECT 'key-' || CAST(user_id AS VARCHAR) AS key_id, strftime(ts, '%Y-%m') AS period, count(*) AS monthly_calls
+FROM events GROUP BY 1, 2"""))
 def h5(spark, d):
     return jobs.stream_metering(spark, d)
