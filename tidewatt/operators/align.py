@@ -90,7 +90,9 @@ def interpolate_time(df: DataFrame, cols: list[str], limit: int = 4, key: str =
     One Window exec computes the previous / next valid point of every
     column (same partition and order), a projection then fills."""
     w_prev = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    w_next = Window.partitionBy(key).orderBy(ts).rowsBetween(0, Window.unboundedFollowing)
+    # "next valid" as a running frame over the reversed order: O(n) per
+    # series (an UNBOUNDED FOLLOWING frame would re-aggregate per row, O(n^2))
+    w_next = Window.partitionBy(key).orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
     w_rn = Window.partitionBy(key).orderBy(ts)
     base = df.withColumn("_rn", F.row_number().over(w_rn)) \
              .withColumn("_secs", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
@@ -100,8 +102,8 @@ def interpolate_time(df: DataFrame, cols: list[str], limit: int = 4, key: str =
         sel.append(F.last(F.when(valid, F.struct(F.col("_rn").alias("rn"), F.col("_secs").alias("t"),
                                                   F.col(c).alias("v"))), ignorenulls=True)
                    .over(w_prev).alias(f"_p{i}"))
-        sel.append(F.first(F.when(valid, F.struct(F.col("_secs").alias("t"), F.col(c).alias("v"))),
-                           ignorenulls=True).over(w_next).alias(f"_n{i}"))
+        sel.append(F.last(F.when(valid, F.struct(F.col("_secs").alias("t"), F.col(c).alias("v"))),
+                          ignorenulls=True).over(w_next).alias(f"_n{i}"))
     mid = base.select(*sel)
     filled = {}
     for i, c in enumerate(cols):
@@ -155,10 +157,10 @@ def days_to_holiday(days: DataFrame, holidays: DataFrame, day: str = "day",
     d = days.select(F.col(day).cast("date").alias("_d"), F.lit(None).cast("date").alias("_h")).distinct()
     h = holidays.select(F.col(holiday_col).cast("date").alias("_d"), F.col(holiday_col).cast("date").alias("_h"))
     u = d.unionByName(h)
-    # a plain day row sorts before the holiday row of the same date, so a
-    # holiday day sees itself (0 days)
-    w = Window.orderBy(F.col("_d"), F.col("_h").isNull().desc()).rowsBetween(0, Window.unboundedFollowing)
-    nxt = u.withColumn("_next", F.first("_h", ignorenulls=True).over(w)).filter(F.col("_h").isNull())
+    # reversed running frame: a holiday row sorts after (in reverse: before)
+    # the plain day row of the same date, so a holiday day sees itself
+    w = Window.orderBy(F.col("_d").desc(), F.col("_h").isNull().asc()).rowsBetween(Window.unboundedPreceding, 0)
+    nxt = u.withColumn("_next", F.last("_h", ignorenulls=True).over(w)).filter(F.col("_h").isNull())
     delta = F.datediff("_next", "_d")
     return nxt.select(F.col("_d").alias(day),
                       F.when(F.col("_next").isNull(), F.lit(cap))

@@ -273,7 +273,9 @@ def k4(spark, d):
     total realised revenue per zone (ties -> lowest percentile)."""
     f = dispatch_frame(spark, d)
     g = spread_grid(f)
-    fx_ = f.join(F.broadcast(g), "series_id").withColumn(
+    # the grid has 8 rows per series (grows with the series count): AQE
+    # decides the join strategy from its real size
+    fx_ = f.join(g, "series_id").withColumn(
         "idle_k", (F.col("q95") - F.col("q05")) < F.col("threshold"))
     bt = dispatch.backtest_daily(fx_, fx.assets(spark, d), extra_keys=["pct"], idle_col="idle_k")
     tot = bt.groupBy("series_id", "spec_id", "pct").agg(F.sum("realized_eur").alias("realized_eur"),

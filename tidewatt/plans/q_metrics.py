@@ -503,10 +503,8 @@ def d16(spark, d):
     c = fx.api_calls(spark, d).join(fx.key_tiers(spark, d), "key_id", "left") \
         .withColumn("tier", F.coalesce("tier", F.lit("free"))) \
         .join(F.broadcast(fx.tiers(spark).withColumnRenamed("name", "tier")), "tier")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("key_id").orderBy(us).rangeBetween(-60_000_000, 0)
-    n_prev = F.count(F.lit(1)).over(w) - 1
-    return c.select("key_id", "call_id", "ts", n_prev.alias("n_prev"), (n_prev < F.col("rate_limit")).alias("accepted"))
+    c = windows.trailing_count(c, "key_id", "ts", 60)
+    return c.select("key_id", "call_id", "ts", "n_prev", (F.col("n_prev") < F.col("rate_limit")).alias("accepted"))
 
 
 @reg("D16_rate_limit_exact")

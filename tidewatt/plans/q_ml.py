@@ -38,7 +38,7 @@ def feature_frame(spark, d):
     # series attribute as a feature: index of the zone in the (small) zone list
     zones = m.select("series_id").distinct()
     zones = zones.withColumn("zone_idx", F.row_number().over(Window.orderBy("series_id")).cast("double") - 1.0)
-    m = m.join(F.broadcast(zones), "series_id")
+    m = m.join(zones, "series_id")   # one row per series; AQE broadcasts it when small
     m = m.filter(F.col("price").isNotNull() & F.col("price_lag96").isNotNull())
     m = fc_ops.time_split(m, valid_days=7, test_days=7)
     m = m.withColumn("ref_ts", F.max("ts").over(Window.partitionBy("series_id")))
