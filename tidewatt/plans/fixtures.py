@@ -23,11 +23,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 # ------------------------------------------------------------ price slots --
 
-def price_slots(spark: SparkSession, d: str) -> DataFrame:
+def price_slots(spark: SparkSession, d: str, since=None, until=None) -> DataFrame:
     """H2 batch twin: 15-minute tumbling aggregates of ``events`` per series
     (``event_type``).  price = mean value; the other signals are the sum,
-    max, min of the value and the mean of the JSON ``k`` (a 0-99 %)."""
+    max, min of the value and the mean of the JSON ``k`` (a 0-99 %).
+    ``since`` / ``until`` (timestamps) restrict the scan (pushed to Parquet)."""
     ev = table(spark, d, "events")
+    if since is not None:
+        ev = ev.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+    if until is not None:
+        ev = ev.filter(F.col("ts") < F.lit(until).cast("timestamp_ntz"))
     k = F.get_json_object("props", "$.k").cast("double")
     return align.slot_aggregate(
         ev.withColumnRenamed("event_type", "series_id"),
@@ -47,9 +52,9 @@ SQL_GRID = """grid AS (
   FROM slots GROUP BY series_id)"""
 
 
-def market_grid(spark: SparkSession, d: str) -> DataFrame:
+def market_grid(spark: SparkSession, d: str, since=None, until=None) -> DataFrame:
     """P1 aligned frame: B1 grid, B2 as-of price, B3 interpolated signals."""
-    slots = price_slots(spark, d)
+    slots = price_slots(spark, d, since, until)
     grid = align.resample_grid(slots)
     ff = align.asof_ffill(grid, slots, ["price"])
     raw = grid.join(slots.select("series_id", "ts", *INTERP_SIGNALS), ["series_id", "ts"], "left")
@@ -93,12 +98,12 @@ market AS (
 
 # ------------------------------------------------------------ forecasts ----
 
-def forecast_frame(spark: SparkSession, d: str) -> DataFrame:
+def forecast_frame(spark: SparkSession, d: str, since=None, until=None) -> DataFrame:
     """M10 seasonal-naive interval forecast on the market grid:
     q50 = price 96 slots ago, q05/q95 = q50 -/+ 1.645 x the gate-close
     rolling std (96 rows ending 96 rows ago).  Rows without a forecast drop."""
     from tidewatt.operators.forecast import seasonal_naive_interval
-    return seasonal_naive_interval(market_grid(spark, d), "price")
+    return seasonal_naive_interval(market_grid(spark, d, since, until), "price")
 
 
 SQL_FORECAST = SQL_MARKET + """,

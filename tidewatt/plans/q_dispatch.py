@@ -24,9 +24,9 @@ def reg(name, sql=None):
     return deco
 
 
-def dispatch_frame(spark, d):
+def dispatch_frame(spark, d, since=None, until=None):
     """Forecast frame + C22 dispatch price + C19 idle mask (default spec)."""
-    fc = fx.forecast_frame(spark, d)
+    fc = fx.forecast_frame(spark, d, since, until)
     mean_mid = F.avg((F.col("q05") + F.col("q95")) / 2.0).over(Window.partitionBy("series_id"))
     return fc.withColumns({
         "dispatch_price": cp.blend_quantiles("q05", "q50", "q95"),

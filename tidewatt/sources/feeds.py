@@ -120,8 +120,10 @@ def source_fallback(tiers: list[tuple[str, DataFrame]], key: str = KEY) -> DataF
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
                [df.withColumn("source", F.lit(name)).withColumn("_prio", F.lit(i))
                 for i, (name, df) in enumerate(tiers)])
-    best = F.min("_prio").over(Window.partitionBy(key))
-    return u.withColumn("_best", best).filter("_prio = _best").drop("_prio", "_best")
+    # best tier per series by a partial aggregate (one row per series), not a
+    # window over all of a series' rows
+    best = u.groupBy(key).agg(F.min("_prio").alias("_prio"))
+    return u.join(best, [key, "_prio"]).drop("_prio")
 
 
 def ensure_driver_columns(df: DataFrame, forecast_like: str = r"^forecast_.*(solar|wind).*_mw$",

@@ -19,6 +19,7 @@ landed and stops (restartable from the checkpoint after a failure).
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from typing import Iterator
 
@@ -121,6 +122,9 @@ def stream_rate_limit(spark: SparkSession, d: str, max_requests: int = 3, window
 
     class Limiter(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            # at most max_requests timestamps per key; entries older than the
+            # window are dropped whenever the key is seen.  (State TTL needs
+            # processing-time mode, which keeps an availableNow query alive.)
             self.log = handle.getListState("log", log_schema)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -175,7 +179,14 @@ def stream_kpi(spark: SparkSession, d: str, min_mtus: int = 90, max_missing: flo
 
     def evaluate(batch: DataFrame, batch_id: int):
         days = batch.select(F.col("event_type").alias("series_id"), F.to_date("ts").alias("day")).distinct()
-        frame = dispatch_frame(spark, d).join(days, ["series_id", "day"], "left_semi")
+        lo, hi = days.agg(F.min("day"), F.max("day")).first()
+        if lo is None:
+            return
+        # only the touched days plus three days of history (the forecast
+        # needs two) are read; the filter is pushed to the landed files
+        since = datetime.datetime.combine(lo - datetime.timedelta(days=3), datetime.time())
+        until = datetime.datetime.combine(hi + datetime.timedelta(days=1), datetime.time())
+        frame = dispatch_frame(spark, d, since, until).join(days, ["series_id", "day"], "left_semi")
         # realised prices on the aligned grid: >= 90 MTUs, <= 10 % missing
         slots = frame.groupBy("series_id", "day").agg(F.count("price").alias("n_slots"))
         ok = slots.filter((F.col("n_slots") >= min_mtus) & (F.col("n_slots") >= (1 - max_missing) * 96))
