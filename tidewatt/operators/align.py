@@ -52,6 +52,33 @@ def resample_grid(df: DataFrame, key: str = KEY, ts: str = "ts",
         F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {minutes} MINUTES"))).alias(ts))
 
 
+def grid_from_rows(df: DataFrame, cols: list[str], key: str = KEY, ts: str = "ts",
+                   minutes: int = MTU_MINUTES) -> DataFrame:
+    """B1 in one pass for on-grid rows (e.g. slot aggregates, unique per
+    (series, ts)): each row is followed by the empty slots up to the next row
+    (``lead`` + ``posexplode``).  Same grid as ``resample_grid`` + left join,
+    without the bounds aggregate, the second scan and the join; the output
+    stays partitioned by series for the windows that follow."""
+    w = Window.partitionBy(key).orderBy(ts)
+    step = F.expr(f"INTERVAL {minutes} MINUTES")
+    d = df.withColumn("_next", F.lead(ts).over(w))
+    seq = F.sequence(F.col(ts), F.coalesce(F.col("_next") - step, F.col(ts)), step)
+    ex = d.select(key, *cols, F.posexplode(seq).alias("_i", "_g"))
+    return ex.select(key, F.col("_g").alias(ts),
+                     *[F.when(F.col("_i") == 0, F.col(c)).alias(c) for c in cols],
+                     (F.col("_i") == 0).alias("_present"))
+
+
+def ffill_on_grid(df: DataFrame, cols: list[str], key: str = KEY, ts: str = "ts") -> DataFrame:
+    """B2 for on-grid data already on the grid (``_present`` marks source
+    rows): the values of the latest present row; a NULL inside that row
+    stays NULL (struct trick)."""
+    w = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    row = F.last(F.when(F.col("_present"), F.struct(*[F.col(c) for c in cols])), ignorenulls=True).over(w)
+    out = df.withColumn("_row", row)
+    return out.withColumns({c: F.col("_row")[c] for c in cols}).drop("_row")
+
+
 def reindex_on_grid(df: DataFrame, grid: DataFrame | None = None, key: str = KEY,
                     ts: str = "ts", minutes: int = MTU_MINUTES) -> DataFrame:
     """B1 + B4: rows exactly on the grid survive, off-grid points drop out;

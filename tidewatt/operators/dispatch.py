@@ -144,6 +144,19 @@ def objective(prices, ch, dis, degradation, delta_h=0.25) -> float:
 
 # ------------------------------------------------------------- Spark side --
 
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition solver groups over an explicit partition count.
+
+    The solver stage is CPU-bound on small inputs, so AQE's size-based
+    coalescing would pack every group into a few tasks; an explicit
+    ``repartition(n, keys)`` is kept as is and satisfies the grouping below
+    (no second shuffle)."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
+            2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def normalise_specs(assets: DataFrame, cyclic_penalty: float = 0.0) -> DataFrame:
     """Per asset: the normalised spec key (duration instead of power/energy)."""
     return assets.withColumns({
@@ -197,7 +210,8 @@ def fleet_dispatch(prices: DataFrame, assets: DataFrame, price_col: str = "price
                              "price": pdf["price"].to_numpy(), "charge_mw": ch, "discharge_mw": dis,
                              "soc_mwh": soc, "is_idle": pdf["is_idle"].to_numpy().astype(bool)})
 
-    sched = groups.groupBy(KEY, "spec_id", "day").applyInPandas(solve_group, SCHEDULE_SCHEMA)
+    sched = _spread(groups, [KEY, "spec_id", "day"]).groupBy(KEY, "spec_id", "day") \
+        .applyInPandas(solve_group, SCHEDULE_SCHEMA)
     return scale_to_assets(sched, a)
 
 
@@ -259,7 +273,7 @@ def perfect_daily(frame: DataFrame, specs: DataFrame, actual_col: str = "price",
                               "day": pdf["day"].iloc[0], "n_mtus": len(pdf),
                               "perfect_eur": objective(a, ch, dis, spec["degradation"])}])
 
-    return g.groupBy(KEY, "spec_id", "day").applyInPandas(run, PERFECT_SCHEMA)
+    return _spread(g, [KEY, "spec_id", "day"]).groupBy(KEY, "spec_id", "day").applyInPandas(run, PERFECT_SCHEMA)
 
 
 def forecast_daily(frame: DataFrame, specs: DataFrame, extra_keys: list[str] = (),
@@ -314,7 +328,8 @@ def forecast_daily(frame: DataFrame, specs: DataFrame, extra_keys: list[str] = (
             row[e] = d0[e].iloc[0]
         return pd.DataFrame([row])[out_cols]
 
-    return g.groupBy(KEY, "spec_id", "d0", *extra).applyInPandas(run, out_schema)
+    return _spread(g, [KEY, "spec_id", "d0", *extra]).groupBy(KEY, "spec_id", "d0", *extra) \
+        .applyInPandas(run, out_schema)
 
 
 def backtest_daily(frame: DataFrame, assets: DataFrame, extra_keys: list[str] = (),

@@ -157,8 +157,9 @@ def naive_baseline(df: DataFrame, price: str, by: list[str], delta_h: float = 0.
 
 def realized_revenue(schedule: DataFrame, prices: DataFrame, on: list[str], by: list[str],
                      price="price", delta_h: float = 0.25) -> DataFrame:
-    """Schedule x realised prices - degradation, per group."""
-    j = schedule.join(prices, on, "left")
+    """Schedule x realised prices - degradation, per group (``prices``
+    None when the schedule already carries the realised price)."""
+    j = schedule if prices is None else schedule.join(prices, on, "left")
     net = F.col("discharge_mw") - F.col("charge_mw")
     return j.groupBy(*by).agg(
         F.sum(F.col(price) * net * delta_h).alias("realized_gross_eur"),
@@ -210,15 +211,13 @@ def feed_health(df: DataFrame, feeds: dict[str, list[str]], key=KEY, ts="ts", so
     aggs = [F.count_if(nn).alias(f"_n{i}") for i, (_, _, nn) in enumerate(rows)]
     g = df.groupBy(key).agg(F.max(ts).alias("last_observation"), *aggs)
     status_word = {"live": "Live", "cache": "Cached"}.get(source, "Demo")
-    parts = []
-    for i, (name, avail, _) in enumerate(rows):
-        n = F.col(f"_n{i}")
-        parts.append(g.select(key, F.lit(name).alias("feed"),
-                              F.when(n > 0, F.lit(status_word)).otherwise(F.lit("Unavailable")).alias("status"),
-                              n.alias("rows"), F.lit(",".join(avail)).alias("columns"), "last_observation"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # one aggregate pass, then one row per feed by exploding an array of structs
+    per_feed = F.array(*[F.struct(F.lit(name).alias("feed"), F.col(f"_n{i}").alias("rows"),
+                                  F.lit(",".join(avail)).alias("columns"))
+                         for i, (name, avail, _) in enumerate(rows)])
+    out = g.select(key, "last_observation", F.explode(per_feed).alias("f")).select(
+        key, "f.feed", F.when(F.col("f.rows") > 0, F.lit(status_word)).otherwise(F.lit("Unavailable")).alias("status"),
+        "f.rows", "f.columns", "last_observation")
     return out
 
 

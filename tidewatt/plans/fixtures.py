@@ -55,11 +55,11 @@ SQL_GRID = """grid AS (
 def market_grid(spark: SparkSession, d: str, since=None, until=None) -> DataFrame:
     """P1 aligned frame: B1 grid, B2 as-of price, B3 interpolated signals."""
     slots = price_slots(spark, d, since, until)
-    grid = align.resample_grid(slots)
-    ff = align.asof_ffill(grid, slots, ["price"])
-    raw = grid.join(slots.select("series_id", "ts", *INTERP_SIGNALS), ["series_id", "ts"], "left")
-    interp = align.interpolate_time(raw, INTERP_SIGNALS)
-    return ff.join(interp, ["series_id", "ts"]).withColumn("day", F.to_date("ts"))
+    # one scan, one aggregate shuffle, then windows on the series partitioning
+    g = align.grid_from_rows(slots, ["price", *INTERP_SIGNALS])
+    g = align.ffill_on_grid(g, ["price"])
+    g = align.interpolate_time(g, INTERP_SIGNALS)
+    return g.drop("_present").withColumn("day", F.to_date("ts"))
 
 
 SQL_MARKET = SQL_SLOTS + ",\n" + SQL_GRID + """,

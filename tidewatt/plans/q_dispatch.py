@@ -178,7 +178,8 @@ def e12(spark, d):
 
 
 def naive_rows(spark, d):
-    """Naive plan rows with the per asset-day budget scale applied."""
+    """Naive plan rows with the per asset-day budget scale applied (the
+    realised ``price`` rides along, so no second forecast frame is built)."""
     f = fx.forecast_frame(spark, d).join(fx.assets(spark, d), "series_id").withColumn("hour", F.hour("ts"))
     s = metrics.naive_schedule(f)
     wd = Window.partitionBy("asset_id", "day")
@@ -203,10 +204,8 @@ FROM nv GROUP BY 1, 2""", ["realized_gross_eur", "realized_degradation_eur", "re
 def e13(spark, d):
     s = naive_rows(spark, d)
     net = F.col("discharge_mw") - F.col("charge_mw")
-    sched = s.select("asset_id", "day", "ts", "charge_mw", "discharge_mw", "degradation_eur_per_mwh", "q50")
-    prices = fx.forecast_frame(spark, d).join(fx.assets(spark, d).select("asset_id", "series_id"), "series_id") \
-        .select("asset_id", "ts", "price")
-    rr = metrics.realized_revenue(sched, prices, ["asset_id", "ts"], ["asset_id", "day"])
+    sched = s.select("asset_id", "day", "ts", "charge_mw", "discharge_mw", "degradation_eur_per_mwh", "q50", "price")
+    rr = metrics.realized_revenue(sched, None, ["asset_id", "ts"], ["asset_id", "day"])
     per = sched.groupBy("asset_id", "day").agg(
         F.sum(F.abs(net) * 0.25).alias("abs_net_mwh"),
         (F.sum(F.col("q50") * net * 0.25) / F.nullif(F.sum(F.abs(net) * 0.25), F.lit(0.0))).alias("revenue_per_mwh"))
