@@ -279,7 +279,7 @@ def perfect_daily(frame: DataFrame, specs: DataFrame, actual_col: str = "price",
 def forecast_daily(frame: DataFrame, specs: DataFrame, extra_keys: list[str] = (),
                    forecast_col: str = "dispatch_price", actual_col: str = "price",
                    idle_col: str | None = None, horizon_col: str | None = None,
-                   discount: tuple | None = None, tail: str = "single",
+                   discount: tuple | None = None, tail: str = "single", with_perfect: bool = False,
                    soc_steps: int = DEFAULT_SOC_STEPS, min_mtus: int = MIN_MTUS_PER_DAY) -> DataFrame:
     """J2/J3 (forecast side): per (zone, spec, D0, *extra) schedule on the
     forecast over D0..D0+h-1 (day i > 0 multiplied by base * decay^(i-1),
@@ -303,7 +303,8 @@ def forecast_daily(frame: DataFrame, specs: DataFrame, extra_keys: list[str] = (
     out_schema = ", ".join([f"{KEY} string", "spec_id long"]
                            + [f"{e} {frame.schema[e].dataType.simpleString()}" for e in extra]
                            + ["day date", "realized_eur double", "idle_mtus int", "horizon_days int",
-                              "used_horizon boolean", "buy_mwh double", "sell_mwh double"])
+                              "used_horizon boolean", "buy_mwh double", "sell_mwh double"]
+                          + (["n_mtus int", "perfect_eur double"] if with_perfect else []))
     out_cols = [c.split()[0] for c in out_schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -326,6 +327,10 @@ def forecast_daily(frame: DataFrame, specs: DataFrame, extra_keys: list[str] = (
                "buy_mwh": float(np.sum(ch) * 0.25), "sell_mwh": float(np.sum(dis) * 0.25)}
         for e in extra:
             row[e] = d0[e].iloc[0]
+        if with_perfect:   # same group, no second pass over the frame
+            a = d0["actual"].to_numpy()
+            pch, pdis, _ = solve(a, soc_steps=soc_steps, **spec)
+            row["n_mtus"], row["perfect_eur"] = len(d0), objective(a, pch, pdis, spec["degradation"])
         return pd.DataFrame([row])[out_cols]
 
     return _spread(g, [KEY, "spec_id", "d0", *extra]).groupBy(KEY, "spec_id", "d0", *extra) \
@@ -339,12 +344,16 @@ def backtest_daily(frame: DataFrame, assets: DataFrame, extra_keys: list[str] =
     < 90 MTUs skipped.  Perfect solves run once, whatever the sweep."""
     specs = _spec_table(normalise_specs(assets, cyclic_penalty))
     actual = kw.get("actual_col", "price")
-    base = frame
-    if extra_keys:   # the sweep multiplies rows; perfect solves need each MTU once
+    if not extra_keys:
+        # one grouped pass: each D0 group also solves its perfect schedule
+        j = forecast_daily(frame, specs, [], with_perfect=True, **kw)
+    else:
+        # a sweep repeats every D0 per grid point: perfect schedules are
+        # solved once per day on the de-duplicated frame and joined
         base = frame.select(KEY, "ts", "day", actual).dropDuplicates([KEY, "ts"])
-    perf = perfect_daily(base, specs, actual)
-    fc = forecast_daily(frame, specs, list(extra_keys), **kw)
-    j = fc.join(perf, [KEY, "spec_id", "day"])
+        perf = perfect_daily(base, specs, actual)
+        fc = forecast_daily(frame, specs, list(extra_keys), **kw)
+        j = fc.join(perf, [KEY, "spec_id", "day"])
     return j.withColumn("capture_ratio", F.when(F.col("perfect_eur") > 0,
                                                 F.col("realized_eur") / F.col("perfect_eur")).otherwise(F.lit(0.0)))
 

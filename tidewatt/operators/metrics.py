@@ -155,19 +155,27 @@ def naive_baseline(df: DataFrame, price: str, by: list[str], delta_h: float = 0.
                     (F.col("_dis") * scale / F.col("_e")).alias("naive_cycles"))
 
 
-def realized_revenue(schedule: DataFrame, prices: DataFrame, on: list[str], by: list[str],
-                     price="price", delta_h: float = 0.25) -> DataFrame:
+def realized_revenue(schedule: DataFrame, prices: DataFrame | None, on: list[str], by: list[str],
+                     price="price", delta_h: float = 0.25, extra: list[Column] = ()) -> DataFrame:
     """Schedule x realised prices - degradation, per group (``prices``
-    None when the schedule already carries the realised price)."""
+    None when the schedule already carries the realised price; ``extra``
+    aggregates ride in the same pass)."""
     j = schedule if prices is None else schedule.join(prices, on, "left")
     net = F.col("discharge_mw") - F.col("charge_mw")
     return j.groupBy(*by).agg(
         F.sum(F.col(price) * net * delta_h).alias("realized_gross_eur"),
         F.sum(F.col("degradation_eur_per_mwh") * (F.col("charge_mw") + F.col("discharge_mw")) * delta_h)
-        .alias("realized_degradation_eur")) \
+        .alias("realized_degradation_eur"), *extra) \
         .withColumn("realized_eur", F.col("realized_gross_eur") - F.col("realized_degradation_eur"))
 
 
+def revenue_per_mwh_aggs(price: str, delta_h: float = 0.25) -> list[Column]:
+    """E15 parts: |net| energy traded and gross at ``price`` (divide after)."""
+    net = F.col("discharge_mw") - F.col("charge_mw")
+    return [F.sum(F.abs(net) * delta_h).alias("abs_net_mwh"),
+            F.sum(F.col(price) * net * delta_h).alias("_gross_fc")]
+
+
 def dispatch_kpis(schedule: DataFrame, by: list[str], price="price", delta_h: float = 0.25) -> DataFrame:
     """E11 + E15: gross, degradation, net, cycles, throughput, idle count,
     daily and annualised values, revenue per MWh traded."""

@@ -203,13 +203,12 @@ FROM nv GROUP BY 1, 2""", ["realized_gross_eur", "realized_degradation_eur", "re
                            "revenue_per_mwh"]))
 def e13(spark, d):
     s = naive_rows(spark, d)
-    net = F.col("discharge_mw") - F.col("charge_mw")
     sched = s.select("asset_id", "day", "ts", "charge_mw", "discharge_mw", "degradation_eur_per_mwh", "q50", "price")
-    rr = metrics.realized_revenue(sched, None, ["asset_id", "ts"], ["asset_id", "day"])
-    per = sched.groupBy("asset_id", "day").agg(
-        F.sum(F.abs(net) * 0.25).alias("abs_net_mwh"),
-        (F.sum(F.col("q50") * net * 0.25) / F.nullif(F.sum(F.abs(net) * 0.25), F.lit(0.0))).alias("revenue_per_mwh"))
-    return round_doubles(rr.join(per, ["asset_id", "day"]))
+    rr = metrics.realized_revenue(sched, None, ["asset_id", "ts"], ["asset_id", "day"],
+                                  extra=metrics.revenue_per_mwh_aggs("q50"))
+    return round_doubles(rr.withColumn("revenue_per_mwh", F.col("_gross_fc") / F.nullif(F.col("abs_net_mwh"),
+                                                                                       F.lit(0.0)))
+                         .drop("_gross_fc"))
 
 
 @reg("J5_soc_trace", oracle([fx.SQL_FORECAST, fx.SQL_ASSETS, _SQL_NAIVE], """
