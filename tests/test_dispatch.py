@@ -72,3 +72,12 @@ def test_fleet_schedule_has_no_violations(spark):
                                              ["power_violations", "soc_violations", "balance_violations",
                                               "mode_violations", "throughput_violations"]]).first()
     assert all(x == 0 for x in v)
+
+
+def test_price_gates_and_min_power():
+    rng = np.random.default_rng(3)
+    p = rng.uniform(-10, 120, 96)
+    ch, dis, _ = solve(p, energy=2.0, min_discharge_price=2.0, max_charge_price=80.0, min_power=0.5)
+    assert np.all(dis[p < 2.0] == 0) and np.all(ch[p > 80.0] == 0)
+    active = np.concatenate([ch[ch > 0], dis[dis > 0]])
+    assert np.all(active >= 0.5 - 1e-9)

@@ -40,7 +40,8 @@ def solve(prices: np.ndarray, energy: float, power: float = 1.0, eta_c: float =
           soc_init_frac: float = 0.5, cycles: float | None = 1.5, degradation: float = 2.0,
           cyclic_penalty: float = 0.0, cyclic: bool = True, delta_h: float = 0.25,
           idle: np.ndarray | None = None, min_discharge_price: float | None = None,
-          max_charge_price: float | None = None, soc_steps: int = DEFAULT_SOC_STEPS,
+          max_charge_price: float | None = None, min_power: float = 0.0,
+          soc_steps: int = DEFAULT_SOC_STEPS,
           bisect_iter: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximise sum p (dis - ch) dh - deg (ch + dis) dh - penalty |soc_T - soc_0|.
 
@@ -70,6 +71,8 @@ def solve(prices: np.ndarray, energy: float, power: float = 1.0, eta_c: float =
     idx_c = np.clip(idx, 0, n_states - 1)
 
     allowed = np.ones((n, len(ks)), dtype=bool)
+    if min_power > 0:   # no micro-dispatch: 0 or at least min_power
+        allowed &= ~(((ch_k > 0) & (ch_k < min_power - 1e-12)) | ((dis_k > 0) & (dis_k < min_power - 1e-12)))
     if idle is not None:
         allowed[np.asarray(idle, dtype=bool)] = ks == 0
     if min_discharge_price is not None:
@@ -184,7 +187,7 @@ def _spec_table(assets_norm: DataFrame) -> DataFrame:
 
 
 def fleet_dispatch(prices: DataFrame, assets: DataFrame, price_col: str = "price",
-                   idle_col: str | None = None, cyclic_penalty: float = 0.0,
+                   idle_col: str | None = None, cyclic_penalty: float = 0.0, price_gates: bool = False,
                    soc_steps: int = DEFAULT_SOC_STEPS, min_mtus: int = MIN_MTUS_PER_DAY) -> DataFrame:
     """Schedule every asset for every day of its zone's price series.
 
@@ -196,6 +199,9 @@ def fleet_dispatch(prices: DataFrame, assets: DataFrame, price_col: str = "price
     specs = _spec_table(a)
     p = prices.select(KEY, "ts", "day", F.col(price_col).alias("price"),
                       (F.col(idle_col) if idle_col else F.lit(False)).alias("is_idle"))
+    if price_gates:   # C18 gates from the zone's mean price (one aggregate row per zone)
+        m = p.groupBy(KEY).agg(F.avg("price").alias("_mean_price"))
+        p = p.join(m, KEY)
     # a zone has few distinct specs; AQE broadcasts the spec side when small
     groups = p.join(specs, KEY)
 
@@ -203,8 +209,14 @@ def fleet_dispatch(prices: DataFrame, assets: DataFrame, price_col: str = "price
         pdf = pdf.sort_values("ts")
         if len(pdf) < min_mtus:
             return pd.DataFrame(columns=SCHEDULE_SCHEMA_COLS)
+        spec = _spec_from(pdf)
+        gates = {}
+        if price_gates:
+            mean_p = float(pdf["_mean_price"].iloc[0])
+            gates = {"min_discharge_price": spec["degradation"],
+                     "max_charge_price": mean_p * spec["eta_c"] * spec["eta_d"] - 2 * spec["degradation"]}
         ch, dis, soc = solve(pdf["price"].to_numpy(), idle=pdf["is_idle"].to_numpy(),
-                             soc_steps=soc_steps, **_spec_from(pdf))
+                             soc_steps=soc_steps, **spec, **gates)
         return pd.DataFrame({"series_id": pdf[KEY].to_numpy(), "spec_id": pdf["spec_id"].to_numpy(),
                              "day": pdf["day"].to_numpy(), "ts": pdf["ts"].to_numpy(),
                              "price": pdf["price"].to_numpy(), "charge_mw": ch, "discharge_mw": dis,
