@@ -320,3 +320,28 @@ def k7(spark, d):
     hc = metrics.horizon_counts(bt.withColumn("horizon_days", F.col("horizon_days")))
     return round_doubles(s.join(hc.select("series_id", F.to_json("horizon_counts").alias("horizon_counts")),
                                 "series_id"))
+
+
+# E11 on the naive plan (SQL-checkable schedule): fleet KPIs per asset.
+_E11_COLS = ["gross_revenue_eur", "degradation_eur", "cycles_used", "energy_traded_mwh", "abs_net_mwh",
+             "net_profit_eur", "daily_profit_eur", "annualized_revenue_eur", "revenue_per_mwh"]
+
+
+@reg("E11_dispatch_kpis_naive_plan", oracle([fx.SQL_FORECAST, fx.SQL_ASSETS, _SQL_NAIVE], """
+SELECT asset_id, gross_revenue_eur, degradation_eur, cycles_used, energy_traded_mwh, abs_net_mwh, idle_count,
+  total_mtus, gross_revenue_eur - degradation_eur AS net_profit_eur,
+  (gross_revenue_eur - degradation_eur) / (total_mtus * 0.25 / 24.0) AS daily_profit_eur,
+  (gross_revenue_eur - degradation_eur) / (total_mtus * 0.25 / 24.0) * 365.0 AS annualized_revenue_eur,
+  gross_revenue_eur / nullif(abs_net_mwh, 0) AS revenue_per_mwh
+FROM (
+  SELECT asset_id, sum(q50 * (n_discharge_mw - n_charge_mw) * scale * 0.25) AS gross_revenue_eur,
+    sum(2.0 * (n_charge_mw + n_discharge_mw) * scale * 0.25) AS degradation_eur,
+    sum(n_discharge_mw * scale * 0.25 / energy_mwh) AS cycles_used,
+    sum((n_charge_mw + n_discharge_mw) * scale * 0.25) AS energy_traded_mwh,
+    sum(abs(n_discharge_mw - n_charge_mw) * scale * 0.25) AS abs_net_mwh,
+    CAST(0 AS BIGINT) AS idle_count, count(*) AS total_mtus
+  FROM nv GROUP BY asset_id) x""", _E11_COLS))
+def e11_naive(spark, d):
+    s = naive_rows(spark, d).withColumn("is_idle", F.lit(False))
+    k = metrics.dispatch_kpis(s, ["asset_id"], price="q50")
+    return round_doubles(k.select("asset_id", *_E11_COLS, "idle_count", "total_mtus"))

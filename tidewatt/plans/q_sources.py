@@ -116,10 +116,14 @@ def a7(spark, d, zone: str = "click"):
     return round_doubles(feeds.normalize_grid_feed(raw, "forecast"))
 
 
-@reg("A11_write_snapshots")
+@reg("A11_write_snapshots", oracle([fx.SQL_MARKET], """
+SELECT series_id, ts, day AS delivery_date, price,
+  lag(price, 96) OVER w AS price_lag96, lag(load_mw, 96) OVER w AS load_mw_lag96, cloud_pct
+FROM market WINDOW w AS (PARTITION BY series_id ORDER BY ts)""",
+     ["price", "price_lag96", "load_mw_lag96", "cloud_pct"]))
 def a11(spark, d):
-    """Three feature snapshots partitioned by delivery date; read back the
-    clean one for one day (partition pruning)."""
+    """Three feature snapshots partitioned by delivery date, written with
+    dynamic partition overwrite; the clean one is read back."""
     from tidewatt.operators import windows
     m = fx.market_grid(spark, d).withColumnRenamed("day", "delivery_date")
     full = windows.add_lags_rolls(m, "price", gate_close=False)
@@ -128,7 +132,8 @@ def a11(spark, d):
     path = scratch_path(spark, "snapshots")
     reports.write_snapshots({"features": full, "features_realistic": realistic, "features_clean": clean}, path)
     back = spark.read.parquet(f"{path}/features_clean")
-    return round_doubles(back)
+    return round_doubles(back.select("series_id", "ts", "delivery_date", "price", "price_lag96",
+                                     "load_mw_lag96", "cloud_pct"))
 
 
 @reg("A12_write_reports")
