@@ -82,3 +82,15 @@ def test_holidays(spark):
     assert f[3].is_holiday == 0 and f[3].is_holiday_eve == 0
     dth = {r.day.day: r.days_to_holiday for r in align.days_to_holiday(days, hol).collect()}
     assert dth == {1: 0, 2: 4, 3: 3, 4: 2, 5: 1, 6: 0, 7: 30}
+
+
+def test_localize_dst_repeat_and_gap(spark):
+    from tidewatt.functions.calendar import localize
+    rows = [("a", dt.datetime(2025, 10, 26, 3, 30), 1), ("a", dt.datetime(2025, 10, 26, 3, 30), 2),
+            ("a", dt.datetime(2026, 3, 29, 3, 15), 3), ("a", dt.datetime(2026, 1, 5, 12, 0), 4)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, rid int")
+    out = {r.rid: r.ts_utc for r in localize(df, order="rid").collect()}
+    assert out[1] == dt.datetime(2025, 10, 26, 0, 30)      # first pass: summer time (+3)
+    assert out[2] == dt.datetime(2025, 10, 26, 1, 30)      # second pass: winter time (+2)
+    assert out[3] == dt.datetime(2026, 3, 29, 1, 0)        # gap -> 04:00 local
+    assert out[4] == dt.datetime(2026, 1, 5, 10, 0)

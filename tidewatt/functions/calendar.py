@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatt.functions.columns import col_
@@ -27,6 +27,29 @@ def local_to_utc(ts, zone: str = MARKET_ZONE) -> Column:
     return F.to_utc_timestamp(col_(ts).cast("timestamp"), zone).cast("timestamp_ntz")
 
 
+def localize(df: DataFrame, ts: str = "ts", keys: tuple = ("series_id",), order: str | None = None,
+             zone: str = MARKET_ZONE, out: str = "ts_utc") -> DataFrame:
+    """A2: naive market-local wall times -> UTC instants.
+
+    * repeated autumn hour: the first pass of a local time is summer time,
+      the second (by ``order``, default the row's arrival id) winter time --
+      a ``row_number`` over (keys, local ts) picks the pass;
+    * spring gap: a non-existent local time moves forward to the first valid
+      local time after the gap."""
+    t = F.col(ts)
+    utc = F.to_utc_timestamp(t.cast("timestamp"), zone)
+    back = F.from_utc_timestamp(utc, zone).cast("timestamp_ntz")
+    gap_fix = F.to_utc_timestamp((F.date_trunc("hour", t.cast("timestamp")) + F.expr("INTERVAL 1 HOUR")), zone)
+    base = F.when(back != t, gap_fix).otherwise(utc)
+    w = Window.partitionBy(*keys, ts).orderBy(F.col(order) if order else F.monotonically_increasing_id())
+    second_pass = F.row_number().over(w) == 2
+    # an ambiguous local time resolves to the earlier (summer) offset; the
+    # second pass is one hour later in UTC
+    amb = F.from_utc_timestamp(utc + F.expr("INTERVAL 1 HOUR"), zone).cast("timestamp_ntz") == t
+    res = F.when(second_pass & amb, utc + F.expr("INTERVAL 1 HOUR")).otherwise(base)
+    return df.withColumn(out, res.cast("timestamp_ntz"))
+
+
 def utc_to_local(ts, zone: str = MARKET_ZONE) -> Column:
     return F.from_utc_timestamp(col_(ts).cast("timestamp"), zone).cast("timestamp_ntz")
 
