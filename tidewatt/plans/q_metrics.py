@@ -210,7 +210,8 @@ thr AS (SELECT series_id, quantile_cont(spread_mean, 0.33) AS thr_low, quantile_
 hz AS (SELECT sp.series_id, CAST(CASE WHEN spread_mean <= thr_low THEN 4 WHEN spread_mean <= thr_high THEN 3 ELSE 2 END
                                  AS INTEGER) AS horizon_days FROM sp JOIN thr USING (series_id)),
 hc AS (SELECT series_id, horizon_days, count(*) AS n FROM hz GROUP BY 1, 2)"""], """
-SELECT series_id, to_json(map_from_entries(list({'k': horizon_days, 'v': n} ORDER BY horizon_days))) AS horizon_counts
+SELECT series_id, CAST(to_json(map_from_entries(list({'k': horizon_days, 'v': n} ORDER BY horizon_days))) AS VARCHAR)
+  AS horizon_counts
 FROM hc GROUP BY series_id"""))
 def e9(spark, d):
     daily = metrics.daily_spread_mean(fx.forecast_frame(spark, d))
@@ -407,7 +408,8 @@ def f1(spark, d):
 
 @reg("C24_json_details", oracle([fx.SQL_AUDIT], """
 SELECT id, CAST(json_extract_string(details, '$.k') AS INTEGER) AS k,
-  to_json(json_object('k', CAST(json_extract_string(details, '$.k') AS VARCHAR))) AS details_norm FROM audit"""))
+  CAST(json_object('k', CAST(json_extract_string(details, '$.k') AS VARCHAR)) AS VARCHAR) AS details_norm
+FROM audit"""))
 def c24(spark, d):
     a = fx.audit_rows(spark, d).withColumn("m", feeds.json_details("details"))
     return a.select("id", F.col("m")["k"].cast("int").alias("k"), F.to_json("m").alias("details_norm"))

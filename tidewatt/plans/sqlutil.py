@@ -10,6 +10,7 @@ def oracle(parts: list[str], select: str, doubles: list[str] = (), money: list[s
     head = ("WITH " + ",\n".join(parts) + "\n") if parts else ""
     if not doubles and not money:
         return head + select
-    rep = ", ".join([f"round({c}, 6) + 0.0 AS {c}" for c in doubles if c not in money]
-                    + [f"round({c}, 4) + 0.0 AS {c}" for c in money])
+    # CAST: DuckDB types decimal literals as DECIMAL; the Spark side is DOUBLE
+    rep = ", ".join([f"CAST(round({c}, 6) AS DOUBLE) + 0.0 AS {c}" for c in doubles if c not in money]
+                    + [f"CAST(round({c}, 4) AS DOUBLE) + 0.0 AS {c}" for c in money])
     return head + f"SELECT * REPLACE ({rep}) FROM (\n{select}\n) q"
