@@ -261,25 +261,26 @@ SQL_KEY_TIERS = """key_tiers AS (
 
 def subscriptions(spark: SparkSession, d: str) -> DataFrame:
     """Webhook subscriptions: one per customer; owner = market segment;
-    event list by nation parity; every seventh customer disabled."""
+    customers with a positive balance also take forecast events; customers
+    in debit are disabled."""
     c = table(spark, d, "customer")
-    events = F.when(F.col("c_nationkey") % 2 == 0, F.lit("optimize.completed,forecast.refreshed")) \
+    events = F.when(F.col("c_acctbal") > 0, F.lit("optimize.completed,forecast.refreshed")) \
         .otherwise(F.lit("optimize.completed"))
     return c.select(F.concat(F.lit("wh-"), F.col("c_custkey").cast("string")).alias("id"),
                     F.col("c_mktsegment").alias("owner"), F.col("c_name").alias("label"),
                     F.concat(F.lit("https://hooks.example/"), F.col("c_custkey").cast("string")).alias("url"),
                     events.alias("events"),
                     F.sha2(F.col("c_name"), 256).alias("secret_hash"),
-                    (F.col("c_custkey") % 7 == 0).cast("int").alias("disabled"))
+                    (F.col("c_acctbal") < 0).cast("int").alias("disabled"))
 
 
 SQL_SUBS = """subs AS (
   SELECT 'wh-' || CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS owner, c_name AS label,
          'https://hooks.example/' || CAST(c_custkey AS VARCHAR) AS url,
-         CASE WHEN c_nationkey % 2 = 0 THEN 'optimize.completed,forecast.refreshed'
+         CASE WHEN c_acctbal > 0 THEN 'optimize.completed,forecast.refreshed'
               ELSE 'optimize.completed' END AS events,
          sha256(c_name) AS secret_hash,
-         CAST(c_custkey % 7 = 0 AS INTEGER) AS disabled
+         CAST(c_acctbal < 0 AS INTEGER) AS disabled
   FROM customer)"""
 
 

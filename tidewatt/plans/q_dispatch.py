@@ -62,11 +62,12 @@ def c16(spark, d):
     return round_doubles(a.select("asset_id", "scenario", "power_mw", "energy_mwh", "eta_charge", "eta_discharge"))
 
 
-# C17: asset spec from a request (one per supplier: rte from the account balance).
+# C17: asset spec from a request (one per supplier: size and rte from the balance band).
 @reg("C17_asset_from_request", oracle([], """
 SELECT s_suppkey AS asset_id, CAST(10 + 5 * floor(abs(s_acctbal) / 1000.0) AS DOUBLE) AS power_mw,
   CAST(20 + 10 * floor(abs(s_acctbal) / 1000.0) AS DOUBLE) AS energy_mwh,
-  sqrt((80.0 + abs(s_acctbal) % 15.0) / 100.0) AS eta_charge, sqrt((80.0 + abs(s_acctbal) % 15.0) / 100.0) AS eta_discharge,
+  sqrt((80.0 + floor(abs(s_acctbal) / 1000.0)) / 100.0) AS eta_charge,
+  sqrt((80.0 + floor(abs(s_acctbal) / 1000.0)) / 100.0) AS eta_discharge,
   0.05 AS soc_min_frac, 0.95 AS soc_max_frac, 0.5 AS soc_init_frac, 1.5 AS max_cycles_per_day,
   2.0 AS degradation_eur_per_mwh FROM supplier""",
      ["power_mw", "energy_mwh", "eta_charge", "eta_discharge", "soc_min_frac", "soc_max_frac", "soc_init_frac",
@@ -74,7 +75,7 @@ SELECT s_suppkey AS asset_id, CAST(10 + 5 * floor(abs(s_acctbal) / 1000.0) AS DO
 def c17(spark, d):
     s = fx.table(spark, d, "supplier")
     band = F.floor(F.abs("s_acctbal") / 1000.0)
-    rte = F.lit(80.0) + F.abs("s_acctbal") % 15.0
+    rte = F.lit(80.0) + band
     cols = cp.asset_from_request(rte, F.lit(10.0) + 5.0 * band, F.lit(20.0) + 10.0 * band, F.lit(50.0), F.lit(2.0))
     return round_doubles(s.select(F.col("s_suppkey").alias("asset_id"), *[v.alias(k) for k, v in cols.items()]))
 

@@ -422,7 +422,7 @@ ser AS (SELECT series_id, row_number() OVER (ORDER BY series_id) - 1 AS rk FROM
 ev AS (
   SELECT 'optimize.completed' AS event, f.series_id, f.day, segs.owner,
          CAST(f.day AS TIMESTAMP) + INTERVAL 11 HOUR AS delivered_at
-  FROM (SELECT DISTINCT series_id, day FROM fc) f JOIN ser USING (series_id) JOIN segs ON segs.rk = ser.rk % 5),
+  FROM (SELECT DISTINCT series_id, day FROM fc) f JOIN ser USING (series_id) JOIN segs ON segs.rk = ser.rk),
 deliv AS (
   SELECT ev.*, s.id AS subscription_id, s.url, sha256(s.secret_hash) AS signing_key
   FROM ev JOIN subs s ON s.owner = ev.owner
@@ -434,7 +434,7 @@ def webhook_events(spark, d):
     segs = (fx.table(spark, d, "customer").select(F.col("c_mktsegment").alias("owner")).distinct()
             .withColumn("rk", F.row_number().over(Window.orderBy("owner")) - 1))
     ser = f.select("series_id").distinct().withColumn("rk", F.row_number().over(Window.orderBy("series_id")) - 1)
-    ev = f.join(ser, "series_id").withColumn("rk", F.col("rk") % 5).join(segs, "rk")
+    ev = f.join(ser, "series_id").join(segs, "rk")
     return ev.select(F.lit("optimize.completed").alias("event"), "series_id", "day", "owner",
                      (F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL 11 HOURS")).alias("delivered_at"))
 
@@ -447,15 +447,16 @@ def f5(spark, d):
 
 @reg("F6_last_delivery_status", oracle([fx.SQL_FORECAST, fx.SQL_SUBS, _SQL_EVENTS, """dl AS (
   SELECT subscription_id, delivered_at,
-    CASE WHEN (CAST(substr(subscription_id, 4) AS BIGINT) + dayofmonth(day)) % 10 = 0 THEN 500 ELSE 200 END AS status,
-    CASE WHEN (CAST(substr(subscription_id, 4) AS BIGINT) + dayofmonth(day)) % 10 = 0 THEN 'HTTP 500' END AS error
+    CASE WHEN dayofmonth(day) > 28 AND url LIKE '%0' THEN 500 ELSE 200 END AS status,
+    CASE WHEN dayofmonth(day) > 28 AND url LIKE '%0' THEN 'HTTP 500' END AS error
   FROM deliv)"""], """
 SELECT subscription_id, r.t AS last_delivered_at, r.s AS last_status, r.e AS last_error FROM (
   SELECT subscription_id, arg_max(struct_pack(t := delivered_at, s := status, e := error), delivered_at) AS r
   FROM dl GROUP BY 1) x"""))
 def f6(spark, d):
     dl = tables.fanout_subscriptions(webhook_events(spark, d), fx.subscriptions(spark, d))
-    fail = (F.substring("subscription_id", 4, 20).cast("long") + F.dayofmonth("day")) % 10 == 0
+    # receivers whose endpoint ends in 0 fail at month end (a data-derived outage)
+    fail = (F.dayofmonth("day") > 28) & F.col("url").endswith("0")
     dl = dl.withColumns({"status": F.when(fail, 500).otherwise(200),
                          "error": F.when(fail, F.lit("HTTP 500"))})
     return tables.last_delivery_status(dl)
@@ -531,7 +532,7 @@ def a1(spark, d):
 _SQL_FILES = """files AS (
   SELECT DISTINCT strftime(o_orderdate, '%Y%m%d') || '_'
     || CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'EL-DAM_ResultsSummary' ELSE 'EL-DAM_Results' END
-    || '_EN_v0' || CAST(1 + o_orderkey % 3 AS VARCHAR) || '.xlsx' AS file
+    || '_EN_v0' || CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'O' THEN '2' ELSE '3' END || '.xlsx' AS file
   FROM orders)"""
 
 
@@ -540,7 +541,8 @@ def report_files(spark, d):
     kind = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "EL-DAM_ResultsSummary") \
         .otherwise("EL-DAM_Results")
     name = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_"), kind, F.lit("_EN_v0"),
-                    (F.lit(1) + F.col("o_orderkey") % 3).cast("string"), F.lit(".xlsx"))
+                    F.when(F.col("o_orderstatus") == "F", "1").when(F.col("o_orderstatus") == "O", "2")
+                    .otherwise("3"), F.lit(".xlsx"))
     return o.select(name.alias("file")).distinct()
 
 
