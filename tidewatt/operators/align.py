@@ -109,41 +109,48 @@ def asof_ffill(grid: DataFrame, data: DataFrame, cols: list[str], key: str = KEY
 
 
 def interpolate_time(df: DataFrame, cols: list[str], limit: int = 4, key: str = KEY,
-                     ts: str = "ts") -> DataFrame:
-    """Linear-in-time interpolation of gaps, at most ``limit`` slots per
-    gap (the first ``limit`` of a longer gap), leading gaps stay NULL, a
-    trailing gap repeats the last value at most ``limit`` times.
-
-    One Window exec computes the previous / next valid point of every
-    column (same partition and order), a projection then fills."""
+                     ts: str = "ts", minutes: int = MTU_MINUTES, ffill: list[str] = ()) -> DataFrame:
+    """Linear-in-time interpolation of gaps on the regular grid, at most
+    ``limit`` slots per gap (the first ``limit`` of a longer gap), leading
+    gaps stay NULL, a trailing gap repeats the last value at most ``limit``
+    times.  ``ffill`` columns get B2's as-of fill (needs ``_present``) in the
+    same pass.
+
+    Two running-frame Window execs (ascending and descending order) find the
+    previous / next valid point of every column -- O(n) per series; the gap
+    ordinal is counted in grid steps, so no row numbering is needed."""
     w_prev = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    # "next valid" as a running frame over the reversed order: O(n) per
-    # series (an UNBOUNDED FOLLOWING frame would re-aggregate per row, O(n^2))
+    # "next valid" as a running frame over the reversed order (an UNBOUNDED
+    # FOLLOWING frame would re-aggregate per row, O(n^2))
     w_next = Window.partitionBy(key).orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    w_rn = Window.partitionBy(key).orderBy(ts)
-    base = df.withColumn("_rn", F.row_number().over(w_rn)) \
-             .withColumn("_secs", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
+    base = df.withColumn("_secs", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
     sel = [F.col(c) for c in base.columns]
     for i, c in enumerate(cols):
         valid = F.col(c).isNotNull()
-        sel.append(F.last(F.when(valid, F.struct(F.col("_rn").alias("rn"), F.col("_secs").alias("t"),
-                                                  F.col(c).alias("v"))), ignorenulls=True)
-                   .over(w_prev).alias(f"_p{i}"))
         sel.append(F.last(F.when(valid, F.struct(F.col("_secs").alias("t"), F.col(c).alias("v"))),
-                          ignorenulls=True).over(w_next).alias(f"_n{i}"))
+                          ignorenulls=True).over(w_prev).alias(f"_p{i}"))
+    if ffill:
+        sel.append(F.last(F.when(F.col("_present"), F.struct(*[F.col(c) for c in ffill])),
+                          ignorenulls=True).over(w_prev).alias("_row"))
     mid = base.select(*sel)
+    mid = mid.select("*", *[F.last(F.when(F.col(c).isNotNull(), F.struct(F.col("_secs").alias("t"),
+                                                                         F.col(c).alias("v"))),
+                                   ignorenulls=True).over(w_next).alias(f"_n{i}") for i, c in enumerate(cols)])
     filled = {}
+    step = minutes * 60.0
     for i, c in enumerate(cols):
         p, n = F.col(f"_p{i}"), F.col(f"_n{i}")
-        k = F.col("_rn") - p["rn"]
+        k = F.round((F.col("_secs") - p["t"]) / step)
         interp = p["v"] + (n["v"] - p["v"]) * (F.col("_secs") - p["t"]) / (n["t"] - p["t"])
         filled[c] = (F.when(F.col(c).isNotNull(), F.col(c))
                      .when(p.isNull() | (k > limit), F.lit(None).cast("double"))
                      .when(n.isNull(), p["v"])
                      .otherwise(interp))
+    for c in ffill:
+        filled[c] = F.col("_row")[c]
     out = mid.withColumns(filled)
-    return out.drop("_rn", "_secs", *[f"_p{i}" for i in range(len(cols))],
-                    *[f"_n{i}" for i in range(len(cols))])
+    return out.drop("_secs", *[f"_p{i}" for i in range(len(cols))], *[f"_n{i}" for i in range(len(cols))],
+                    *(["_row"] if ffill else []))
 
 
 def join_sources(grid: DataFrame, sources: list[DataFrame], key: str = KEY,

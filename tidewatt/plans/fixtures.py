@@ -57,8 +57,7 @@ def market_grid(spark: SparkSession, d: str, since=None, until=None) -> DataFram
     slots = price_slots(spark, d, since, until)
     # one scan, one aggregate shuffle, then windows on the series partitioning
     g = align.grid_from_rows(slots, ["price", *INTERP_SIGNALS])
-    g = align.ffill_on_grid(g, ["price"])
-    g = align.interpolate_time(g, INTERP_SIGNALS)
+    g = align.interpolate_time(g, INTERP_SIGNALS, ffill=["price"])
     return g.drop("_present").withColumn("day", F.to_date("ts"))
 
 
