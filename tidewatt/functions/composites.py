@@ -109,12 +109,13 @@ def scenarios_df(spark) -> DataFrame:
     return spark.createDataFrame(DERATING_SCENARIOS, "name string, eta_factor double, cap_factor double")
 
 
-def derate_assets(assets: DataFrame, scenarios: DataFrame) -> DataFrame:
+def derate_assets(assets: DataFrame, scenarios=DERATING_SCENARIOS) -> DataFrame:
     """One row per (asset, scenario) with scaled power, energy and
-    efficiencies.  The scenario table is a fixed 3-row dimension, so the
-    cross product is broadcast (it grows only with the asset table)."""
-    s = F.broadcast(scenarios.select(F.col("name").alias("scenario"), "eta_factor", "cap_factor"))
-    return (assets.crossJoin(s)
+    efficiencies.  The scenarios are a fixed 3-entry list, expanded with an
+    ``explode`` of literals (a bounded 3x fan-out, no join)."""
+    arr = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(e)).alias("eta_factor"),
+                             F.lit(float(c)).alias("cap_factor")) for n, e, c in scenarios])
+    return (assets.withColumn("_s", F.explode(arr)).select("*", "_s.*").drop("_s")
             .withColumn("power_mw", F.col("power_mw") * F.col("cap_factor"))
             .withColumn("energy_mwh", F.col("energy_mwh") * F.col("cap_factor"))
             .withColumn("eta_charge", F.col("eta_charge") * F.col("eta_factor"))

@@ -58,7 +58,7 @@ SELECT a.asset_id, sc.scenario, a.power_mw * sc.cap_factor AS power_mw, a.energy
   a.eta_charge * sc.eta_factor AS eta_charge, a.eta_discharge * sc.eta_factor AS eta_discharge
 FROM assets a CROSS JOIN sc""", ["power_mw", "energy_mwh", "eta_charge", "eta_discharge"]))
 def c16(spark, d):
-    a = cp.derate_assets(fx.assets(spark, d), cp.scenarios_df(spark))
+    a = cp.derate_assets(fx.assets(spark, d))
     return round_doubles(a.select("asset_id", "scenario", "power_mw", "energy_mwh", "eta_charge", "eta_discharge"))
 
 
@@ -290,8 +290,7 @@ ALPHAS = [round(0.1 * i, 1) for i in range(11)]
 def k5(spark, d):
     """D1 discount sweep on 2-day horizons, summarised per (zone, alpha)."""
     f = dispatch_frame(spark, d).withColumn("h", F.lit(2))
-    a = spark.createDataFrame([(x,) for x in ALPHAS], "alpha double")
-    fa = f.crossJoin(F.broadcast(a))
+    fa = f.withColumn("alpha", F.explode(F.array(*[F.lit(x) for x in ALPHAS])))   # 11-point grid
     bt = dispatch.backtest_daily(fa, fx.assets(spark, d), extra_keys=["alpha"], idle_col="is_idle",
                                  horizon_col="h", discount=("alpha", 1.0))
     return round_doubles(metrics.capture_summary(bt, ["series_id", "alpha"]))
@@ -301,8 +300,7 @@ def k5(spark, d):
 def k6(spark, d):
     """Horizons 2..7 with a flat 0.1 discount; single-day fallback near the end."""
     f = dispatch_frame(spark, d)
-    hs = spark.createDataFrame([(h,) for h in range(2, 8)], "h int")
-    fh = f.crossJoin(F.broadcast(hs))
+    fh = f.withColumn("h", F.explode(F.sequence(F.lit(2), F.lit(7))))   # horizons 2..7
     bt = dispatch.backtest_daily(fh, fx.assets(spark, d), extra_keys=["h"], idle_col="is_idle",
                                  horizon_col="h", discount=(0.1, 1.0))
     return round_doubles(metrics.capture_summary(bt, ["series_id", "h"]))

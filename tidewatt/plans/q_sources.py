@@ -52,9 +52,10 @@ def report_cells(spark, d):
         "series_id string, sheet string, section string, label string, row_idx int")
     data = per.join(F.broadcast(layout), "series_id").select(
         "day", "sheet", "row_idx", F.concat(F.array(F.col("label")), vals).alias("cells"))
-    heads = per.select("day").distinct().join(F.broadcast(layout), how="cross").select(
-        "day", "sheet", (F.col("row_idx") - 1).alias("row_idx"), F.array(F.col("section")).alias("cells"))
-    hdr = per.select("day").distinct().crossJoin(F.broadcast(layout.select("sheet").distinct())).select(
+    # section header rows sit above each data row; a 1..96 header row per sheet
+    heads = data.join(F.broadcast(layout.select("sheet", "row_idx", "section")), ["sheet", "row_idx"]) \
+        .select("day", "sheet", (F.col("row_idx") - 1).alias("row_idx"), F.array(F.col("section")).alias("cells"))
+    hdr = data.select("day", "sheet").distinct().select(
         "day", "sheet", F.lit(1).alias("row_idx"),
         F.concat(F.array(F.lit("MTU")), F.transform(F.sequence(F.lit(1), F.lit(96)),
                                                     lambda i: i.cast("string"))).alias("cells"))
