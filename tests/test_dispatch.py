@@ -81,3 +81,30 @@ def test_price_gates_and_min_power():
     assert np.all(dis[p < 2.0] == 0) and np.all(ch[p > 80.0] == 0)
     active = np.concatenate([ch[ch > 0], dis[dis > 0]])
     assert np.all(active >= 0.5 - 1e-9)
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.floats(-50, 300), min_size=4, max_size=48), st.sampled_from([0.0, 3.0]))
+def test_dp_properties(prices, penalty):
+    p = np.array(prices)
+    ch, dis, soc = solve(p, energy=2.0, cyclic_penalty=penalty)
+    val = objective(p, ch, dis, 2.0) - (penalty * abs(soc[-1] - 1.0))
+    free = solve(p, energy=2.0, cyclic_penalty=penalty, cycles=None)
+    val_free = objective(p, free[0], free[1], 2.0) - (penalty * abs(free[2][-1] - 1.0))
+    assert val >= -1e-9                       # idling is feasible, so never worse than 0
+    assert val <= val_free + 1e-9             # the throughput cap can only cost
+    assert np.sum(ch + dis) * 0.25 <= 2 * 1.5 * 2.0 * max(1, round(len(p) * 0.25 / 24)) + 1e-9
+    assert np.all((ch == 0) | (dis == 0))
+
+
+def test_derating_scenarios(spark):
+    from tidewatt.functions.composites import derate_assets
+    a = spark.createDataFrame([(1, 50.0, 100.0, 0.95, 0.95)],
+                              "asset_id int, power_mw double, energy_mwh double, eta_charge double, eta_discharge double")
+    out = {r.scenario: r for r in derate_assets(a).collect()}
+    assert set(out) == {"Base", "Mild Degradation", "Severe Degradation"}
+    assert abs(out["Severe Degradation"].power_mw - 42.5) < 1e-9
+    assert abs(out["Mild Degradation"].eta_charge - 0.95 * 0.97) < 1e-12
