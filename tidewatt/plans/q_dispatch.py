@@ -174,8 +174,19 @@ FROM (SELECT asset_id, day, sum((n_discharge_mw - n_charge_mw) * q50 * 0.25) * f
         sum(n_discharge_mw * 0.25) * first(scale) AS dis, first(energy_mwh) AS e
       FROM nv GROUP BY 1, 2) x""", ["naive_net_eur", "naive_gross_eur", "naive_degradation_eur", "naive_cycles"]))
 def e12(spark, d):
-    f = fx.forecast_frame(spark, d).join(fx.assets(spark, d), "series_id")
-    return round_doubles(metrics.naive_baseline(f, "q50", ["asset_id", "day"]))
+    """Solved per (zone, normalised spec, day) -- the plan and its money are
+    proportional to power at a fixed duration -- then scaled to each asset."""
+    a = dispatch.normalise_specs(fx.assets(spark, d)).withColumn("spec_id", F.xxhash64(*dispatch.SPEC_COLS))
+    specs = a.select("series_id", "spec_id", *dispatch.SPEC_COLS).distinct() \
+        .withColumns({"power_mw": F.lit(1.0), "energy_mwh": F.col("duration_h")})
+    f = fx.forecast_frame(spark, d).join(specs, "series_id")
+    nv = metrics.naive_baseline(f, "q50", ["series_id", "spec_id", "day"])
+    j = nv.join(a.select("asset_id", "series_id", "spec_id", "power_mw"), ["series_id", "spec_id"])
+    p = F.col("power_mw")
+    return round_doubles(j.select("asset_id", "day", (F.col("naive_net_eur") * p).alias("naive_net_eur"),
+                                  (F.col("naive_gross_eur") * p).alias("naive_gross_eur"),
+                                  (F.col("naive_degradation_eur") * p).alias("naive_degradation_eur"),
+                                  "naive_cycles"))
 
 
 def naive_rows(spark, d):
