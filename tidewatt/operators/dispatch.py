@@ -354,8 +354,13 @@ def backtest_daily(frame: DataFrame, assets: DataFrame, extra_keys: list[str] =
     """Perfect vs forecast schedule per (zone, spec, day[, sweep keys])
     -> realized, perfect, capture (E14), idle MTUs, buy / sell MWh; days with
     < 90 MTUs skipped.  Perfect solves run once, whatever the sweep."""
+    from tidewatt.session import materialize
     specs = _spec_table(normalise_specs(assets, cyclic_penalty))
     actual = kw.get("actual_col", "price")
+    # the frame feeds the day table, the horizon pairs and the rows: cut its
+    # lineage once (reliable checkpoint in the shared folder) instead of
+    # recomputing the feature pipeline for each use
+    frame = materialize(frame)
     if not extra_keys:
         # one grouped pass: each D0 group also solves its perfect schedule
         j = forecast_daily(frame, specs, [], with_perfect=True, **kw)

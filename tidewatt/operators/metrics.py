@@ -46,20 +46,24 @@ def spread_thresholds(daily: DataFrame, col="spread_mean", key=KEY, low=0.33, hi
                                   F.percentile(col, high).alias("thr_high"))
 
 
-def point_metrics(df: DataFrame, actual: str, pred: str, by: list[str]) -> DataFrame:
-    """MAE, RMSE, R^2, mean actual, n (R^2 NULL on a flat actual)."""
+def point_aggs(actual: str, pred: str) -> list[Column]:
+    """E4 partial aggregates (finish with ``point_finish``)."""
     err = col_(actual) - col_(pred)
-    g = df.groupBy(*by).agg(
-        F.avg(F.abs(err)).alias("mae"),
-        F.sqrt(F.avg(err * err)).alias("rmse"),
-        F.sum(err * err).alias("_sse"),
-        (F.var_pop(actual) * F.count(actual)).alias("_sst"),
-        F.avg(actual).alias("mean_actual"),
-        F.count(F.lit(1)).alias("n"))
+    return [F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
+            F.sum(err * err).alias("_sse"), (F.var_pop(actual) * F.count(actual)).alias("_sst"),
+            F.avg(actual).alias("mean_actual"), F.count(F.lit(1)).alias("n")]
+
+
+def point_finish(g: DataFrame) -> DataFrame:
     return g.withColumn("r2", F.when(F.col("_sst") > 0, F.lit(1.0) - F.col("_sse") / F.col("_sst"))) \
             .drop("_sse", "_sst")
 
 
+def point_metrics(df: DataFrame, actual: str, pred: str, by: list[str]) -> DataFrame:
+    """MAE, RMSE, R^2, mean actual, n (R^2 NULL on a flat actual)."""
+    return point_finish(df.groupBy(*by).agg(*point_aggs(actual, pred)))
+
+
 def pinball(actual, pred, alpha: float) -> Column:
     """E5 per row: max(alpha*d, (alpha-1)*d), d = actual - pred."""
     d = col_(actual) - col_(pred)
@@ -128,31 +132,41 @@ def naive_schedule(df: DataFrame, hour="hour", power="power_mw") -> DataFrame:
              .withColumn("n_discharge_mw", F.when((h >= d0) & (h < d1), col_(power)).otherwise(F.lit(0.0)))
 
 
-def naive_baseline(df: DataFrame, price: str, by: list[str], delta_h: float = 0.25) -> DataFrame:
-    """Revenue of the naive peak-shaving plan per group, legs scaled down
-    uniformly to the cycle budget ``energy x (soc_max - soc_min) x cycles x
-    days``; the round-trip efficiency is charged on positive revenue.
-
-    Expects asset columns power_mw, energy_mwh, eta_charge, eta_discharge,
-    soc_min_frac, soc_max_frac, max_cycles_per_day, degradation_eur_per_mwh
-    and a ``day`` column."""
-    s = naive_schedule(df.withColumn("hour", F.hour("ts")))
-    g = s.groupBy(*by).agg(
+def naive_aggs(price: str, delta_h: float = 0.25) -> list[Column]:
+    """E12 partial sums (expects the naive_schedule columns and the asset spec)."""
+    return [
         F.sum((F.col("n_discharge_mw") - F.col("n_charge_mw")) * F.col(price) * delta_h).alias("_rev"),
         F.sum((F.col("n_charge_mw") + F.col("n_discharge_mw")) * delta_h).alias("_thr"),
         F.sum(F.col("n_discharge_mw") * delta_h).alias("_dis"),
         (F.datediff(F.max("day"), F.min("day")) + 1).alias("_days"),
         F.first("energy_mwh").alias("_e"), F.first(F.col("soc_max_frac") - F.col("soc_min_frac")).alias("_w"),
         F.first("max_cycles_per_day").alias("_cyc"), F.first("degradation_eur_per_mwh").alias("_deg"),
-        F.first(F.col("eta_charge") * F.col("eta_discharge")).alias("_rte"))
+        F.first(F.col("eta_charge") * F.col("eta_discharge")).alias("_rte")]
+
+
+def naive_finish(g: DataFrame) -> DataFrame:
+    """E12 final columns from ``naive_aggs``: legs scaled to the cycle budget,
+    round-trip efficiency charged on positive revenue."""
     cap = F.col("_e") * F.col("_w") * F.col("_cyc") * F.col("_days")
     scale = F.when((F.col("_thr") > cap) & (F.col("_thr") > 0), cap / F.col("_thr")).otherwise(F.lit(1.0))
     rev = F.col("_rev") * scale
     gross = F.when(rev > 0, rev * F.col("_rte")).otherwise(rev)
     deg = F.col("_deg") * F.col("_thr") * scale
-    return g.select(*by, (gross - deg).alias("naive_net_eur"), gross.alias("naive_gross_eur"),
-                    deg.alias("naive_degradation_eur"),
-                    (F.col("_dis") * scale / F.col("_e")).alias("naive_cycles"))
+    return g.withColumns({"naive_net_eur": gross - deg, "naive_gross_eur": gross, "naive_degradation_eur": deg,
+                          "naive_cycles": F.col("_dis") * scale / F.col("_e")}) \
+            .drop("_rev", "_thr", "_dis", "_days", "_e", "_w", "_cyc", "_deg", "_rte")
+
+
+def naive_baseline(df: DataFrame, price: str, by: list[str], delta_h: float = 0.25) -> DataFrame:
+    """Revenue of the naive peak-shaving plan per group, legs scaled down
+    uniformly to the cycle budget ``energy x (soc_max - soc_min) x cycles x
+    days``; the round-trip efficiency is charged on positive revenue.
+
+    Expects asset columns power_mw, energy_mwh, eta_charge, eta_discharge,
+    soc_min_frac, soc_max_frac, max_cycles_per_day, degradation_eur_per_mwh
+    and a ``day`` column."""
+    s = naive_schedule(df.withColumn("hour", F.hour("ts")))
+    return naive_finish(s.groupBy(*by).agg(*naive_aggs(price, delta_h)))
 
 
 def realized_revenue(schedule: DataFrame, prices: DataFrame | None, on: list[str], by: list[str],

@@ -61,11 +61,12 @@ naive AS (
      "SELECT pm.*, naive.naive_net_eur, naive.naive_cycles FROM pm JOIN naive USING (series_id, day)",
      ["mae", "rmse", "r2", "mean_actual", "naive_net_eur", "naive_cycles"]))
 def flagship(spark, d):
-    f = fx.forecast_frame(spark, d)
-    pm = metrics.point_metrics(f, "price", "q50", ["series_id", "day"])
-    nv = metrics.naive_baseline(with_default_spec(f), "q50", ["series_id", "day"]) \
-        .select("series_id", "day", "naive_net_eur", "naive_cycles")
-    return round_doubles(pm.join(nv, ["series_id", "day"]))
+    """Forecast errors and the naive plan per series-day in one aggregate pass."""
+    f = with_default_spec(fx.forecast_frame(spark, d)).withColumn("hour", F.hour("ts"))
+    g = metrics.naive_schedule(f).groupBy("series_id", "day").agg(
+        *metrics.point_aggs("price", "q50"), *metrics.naive_aggs("q50"))
+    out = metrics.naive_finish(metrics.point_finish(g)).drop("naive_gross_eur", "naive_degradation_eur")
+    return round_doubles(out)
 
 
 # E4 per series.

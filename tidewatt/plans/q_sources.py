@@ -50,16 +50,17 @@ def report_cells(spark, d):
         + [(sid, sh, sec, lab, 2 * k + 3) for k, (sid, sh, sec, lab) in
            enumerate([r for r in REPORT_ROWS if r[1] == "BUY"])],
         "series_id string, sheet string, section string, label string, row_idx int")
-    data = per.join(F.broadcast(layout), "series_id").select(
-        "day", "sheet", "row_idx", F.concat(F.array(F.col("label")), vals).alias("cells"))
-    # section header rows sit above each data row; a 1..96 header row per sheet
-    heads = data.join(F.broadcast(layout.select("sheet", "row_idx", "section")), ["sheet", "row_idx"]) \
-        .select("day", "sheet", (F.col("row_idx") - 1).alias("row_idx"), F.array(F.col("section")).alias("cells"))
-    hdr = data.select("day", "sheet").distinct().select(
-        "day", "sheet", F.lit(1).alias("row_idx"),
-        F.concat(F.array(F.lit("MTU")), F.transform(F.sequence(F.lit(1), F.lit(96)),
-                                                    lambda i: i.cast("string"))).alias("cells"))
-    allc = data.unionByName(heads).unionByName(hdr)
+    # one pass: each (day, series) group emits its value row, the section
+    # header above it and -- for the first row of a sheet -- the 1..96 row
+    g = per.join(F.broadcast(layout), "series_id")
+    mtu_hdr = F.concat(F.array(F.lit("MTU")), F.transform(F.sequence(F.lit(1), F.lit(96)),
+                                                          lambda i: i.cast("string")))
+    rows = F.array(F.struct(F.col("row_idx").alias("r"), F.concat(F.array(F.col("label")), vals).alias("c")),
+                   F.struct((F.col("row_idx") - 1).alias("r"), F.array(F.col("section")).alias("c")),
+                   F.struct(F.lit(1).alias("r"), mtu_hdr.alias("c")))
+    rows = F.filter(rows, lambda x: (x["r"] != 1) | (F.col("row_idx") == 3))
+    allc = g.select("day", "sheet", F.explode(rows).alias("x")).select(
+        "day", "sheet", F.col("x.r").alias("row_idx"), F.col("x.c").alias("cells"))
     fname = F.concat(F.date_format("day", "yyyyMMdd"), F.lit("_EL-DAM_ResultsSummary_EN_v01.xlsx"))
     return allc.select(fname.alias("file"), "sheet", "row_idx", "cells")
 
