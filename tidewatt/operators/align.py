@@ -123,11 +123,13 @@ def interpolate_time(df: DataFrame, cols: list[str], limit: int = 4, key: str =
     # "next valid" as a running frame over the reversed order (an UNBOUNDED
     # FOLLOWING frame would re-aggregate per row, O(n^2))
     w_next = Window.partitionBy(key).orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    base = df.withColumn("_secs", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
-    sel = [F.col(c) for c in base.columns]
+    secs = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    base_cols = [c for c in df.columns if c != "_secs"]
+    sel = [F.col(c) for c in base_cols] + [secs.alias("_secs")]
+    base = df
     for i, c in enumerate(cols):
         valid = F.col(c).isNotNull()
-        sel.append(F.last(F.when(valid, F.struct(F.col("_secs").alias("t"), F.col(c).alias("v"))),
+        sel.append(F.last(F.when(valid, F.struct(secs.alias("t"), F.col(c).alias("v"))),
                           ignorenulls=True).over(w_prev).alias(f"_p{i}"))
     if ffill:
         sel.append(F.last(F.when(F.col("_present"), F.struct(*[F.col(c) for c in ffill])),
@@ -148,9 +150,7 @@ def interpolate_time(df: DataFrame, cols: list[str], limit: int = 4, key: str =
                      .otherwise(interp))
     for c in ffill:
         filled[c] = F.col("_row")[c]
-    out = mid.withColumns(filled)
-    return out.drop("_secs", *[f"_p{i}" for i in range(len(cols))], *[f"_n{i}" for i in range(len(cols))],
-                    *(["_row"] if ffill else []))
+    return mid.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in base_cols])
 
 
 def join_sources(grid: DataFrame, sources: list[DataFrame], key: str = KEY,

@@ -31,7 +31,7 @@ def seasonal_naive_interval(df: DataFrame, target: str = TARGET, lag: int = 96,
     w = Window.partitionBy(key).orderBy(ts)
     fr = w.rowsBetween(-(96 - 1 + lag), -lag)
     sd = F.when(F.count(target).over(fr) == 96, F.stddev_samp(target).over(fr))
-    out = df.withColumn("q50", F.lag(target, lag).over(w)).withColumn("_sd", sd)
+    out = df.select(key, ts, "day", target, F.lag(target, lag).over(w).alias("q50"), sd.alias("_sd"))
     out = out.filter(F.col("q50").isNotNull() & F.col("_sd").isNotNull())
     return out.select(key, ts, "day", target, (F.col("q50") - Z_90 * F.col("_sd")).alias("q05"),
                       "q50", (F.col("q50") + Z_90 * F.col("_sd")).alias("q95"))

@@ -128,8 +128,8 @@ def naive_schedule(df: DataFrame, hour="hour", power="power_mw") -> DataFrame:
     c0, c1 = NAIVE_CHARGE_HOURS
     d0, d1 = NAIVE_DISCHARGE_HOURS
     h = col_(hour)
-    return df.withColumn("n_charge_mw", F.when((h >= c0) & (h < c1), col_(power)).otherwise(F.lit(0.0))) \
-             .withColumn("n_discharge_mw", F.when((h >= d0) & (h < d1), col_(power)).otherwise(F.lit(0.0)))
+    return df.withColumns({"n_charge_mw": F.when((h >= c0) & (h < c1), col_(power)).otherwise(F.lit(0.0)),
+                           "n_discharge_mw": F.when((h >= d0) & (h < d1), col_(power)).otherwise(F.lit(0.0))})
 
 
 def naive_aggs(price: str, delta_h: float = 0.25) -> list[Column]:

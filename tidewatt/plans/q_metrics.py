@@ -62,7 +62,7 @@ naive AS (
      ["mae", "rmse", "r2", "mean_actual", "naive_net_eur", "naive_cycles"]))
 def flagship(spark, d):
     """Forecast errors and the naive plan per series-day in one aggregate pass."""
-    f = with_default_spec(fx.forecast_frame(spark, d)).withColumn("hour", F.hour("ts"))
+    f = fx.forecast_frame(spark, d).withColumns({**{k: F.lit(v) for k, v in DEFAULT_SPEC}, "hour": F.hour("ts")})
     g = metrics.naive_schedule(f).groupBy("series_id", "day").agg(
         *metrics.point_aggs("price", "q50"), *metrics.naive_aggs("q50"))
     out = metrics.naive_finish(metrics.point_finish(g)).drop("naive_gross_eur", "naive_degradation_eur")
