@@ -110,3 +110,33 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def crc_mod(col, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as ''."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+#: Bits of a BitTable, at most 2 ** MOST_BITS (16 MB).
+MOST_BITS = 27
+
+
+class BitTable:
+    """A bounded sieve of hashes to broadcast: one bit per hash, 32 bits for
+    each distinct one until MOST_BITS.  What it lets through is always checked
+    exactly later, so a full table only sifts less and changes no result."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed, self.mask = packed, np.int64(8 * len(packed) - 1)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes & self.mask
+        return (self.packed[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+    @classmethod
+    def of(cls, table: DataFrame, column: str) -> "BitTable":
+        """Built by Spark; the driver gets the table's 4 KB pieces."""
+        count = table.agg(F.approx_count_distinct(column)).first()[0]
+        size = 1 << min(MOST_BITS, max(17, int(32 * count).bit_length()))
+        place = F.pmod(F.col(column), F.lit(size)) + 1
+        pieces = table.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+        packed = np.zeros(size // 8, np.uint8)
+        for piece in pieces.collect():
+            at = (piece.bucket - 1) * 4096
+            packed[at:at + 4096] = np.frombuffer(bytes(piece.bits), np.uint8)
+        return cls(packed)

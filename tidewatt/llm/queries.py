@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, pii, quality_rules
+from . import bpe, common, decontaminate, jaccard_join, pii, quality_rules, suffix_dedup, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,11 +23,23 @@ def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         named(F.array_sort(F.concat(base, "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def op3_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(common.read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op5_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedupe(common.read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     encoded = bpe.encode(docs, TOKENIZER, bpe.build_lexicon(docs, TOKENIZER))
@@ -35,5 +47,16 @@ def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_skip_chain_pii, op4_adaptive_quality, op7_transducer_bpe)}
+def op8_tiled_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.linked(common.read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = warc.histories(common.read_table(spark, sf_dir, "pages"))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+QUERIES = {f.__name__: f for f in (op2_skip_chain_pii, op3_prefix_decontamination, op4_adaptive_quality, op5_radix_suffix_dedup,
+                                   op7_transducer_bpe, op8_tiled_jaccard_join, op9_warc_index_merge)}
 ORACLE_SQL: dict[str, str] = {}
