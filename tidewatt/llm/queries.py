@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, jaccard_join, pii, quality_rules, suffix_dedup, warc
+from . import bpe, common, decontaminate, jaccard_join, katz, pii, quality_rules, suffix_dedup, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -40,6 +40,11 @@ def op5_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    return katz.score(docs, common.crc_mod(F.col("doc_id"), 7) == 2)
+
+
 def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     encoded = bpe.encode(docs, TOKENIZER, bpe.build_lexicon(docs, TOKENIZER))
@@ -58,5 +63,5 @@ def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op2_skip_chain_pii, op3_prefix_decontamination, op4_adaptive_quality, op5_radix_suffix_dedup,
-                                   op7_transducer_bpe, op8_tiled_jaccard_join, op9_warc_index_merge)}
+                                   op6_katz_scores, op7_transducer_bpe, op8_tiled_jaccard_join, op9_warc_index_merge)}
 ORACLE_SQL: dict[str, str] = {}
