@@ -134,3 +134,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = F.coalesce("n_hit", F.lit(0))
     return joined.select("row", "doc_id", "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                          ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that aren't contaminated, columns as given."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    found = contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark)
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return keyed.join(bad, F.col("_key") == F.col("_bad"), "left_anti").select(docs.columns)

@@ -7,11 +7,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, jaccard_join, katz, pii, quality_rules, suffix_dedup, warc
+from . import bpe, common, decontaminate, jaccard_join, katz, license_scan, pii, pu_quality, quality_rules, suffix_dedup, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(common.read_table(spark, sf_dir, "documents"))
+
+
 def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(common.read_table(spark, sf_dir, "documents"))
     base = F.arrays_zip("starts", "kinds", "ends")
@@ -62,6 +66,13 @@ def op9_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
-QUERIES = {f.__name__: f for f in (op2_skip_chain_pii, op3_prefix_decontamination, op4_adaptive_quality, op5_radix_suffix_dedup,
-                                   op6_katz_scores, op7_transducer_bpe, op8_tiled_jaccard_join, op9_warc_index_merge)}
+def op10_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (common.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    scored = pu_quality.score(docs, labels, common.crc_mod(F.col("doc_id"), 4) == 2)
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_compression, op2_skip_chain_pii, op3_prefix_decontamination, op4_adaptive_quality, op5_radix_suffix_dedup,
+                                   op6_katz_scores, op7_transducer_bpe, op8_tiled_jaccard_join, op9_warc_index_merge,
+                                   op10_positive_unlabelled_quality)}
 ORACLE_SQL: dict[str, str] = {}
