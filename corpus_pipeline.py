@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatt.llm import bpe, common, pii, quality_rules
+from tidewatt.llm import bpe, common, decontaminate, jaccard_join, pii, quality_rules
 from tidewatt.llm.queries import TOKENIZER
 
 
@@ -18,6 +18,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: the smallest doc_id."""
+    return jaccard_join.keep_one(docs)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark doesn't contaminate."""
+    return decontaminate.keep_clean(docs, common.read_table(spark, sf_dir, "benchmark"))
+
+
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data becomes its kind in brackets."""
     return pii.mask(docs)
@@ -29,7 +39,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, TOKENIZER)
 
 
-STAGES = [("quality rules", keep_good), ("PII", mask_personal), ("BPE encoding and decoding", encode)]
+STAGES = [
+    ("quality rules", keep_good),
+    ("n-gram Jaccard join", keep_one_copy),
+    ("benchmark decontamination", keep_uncontaminated),
+    ("PII", mask_personal),
+    ("BPE encoding and decoding", encode),
+]
 
 #: Quantile sketches, links and merges are beyond SQL; tests hold the run
 #: against a brute-force version.
