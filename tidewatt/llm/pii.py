@@ -22,7 +22,6 @@ from collections import Counter
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,24 +136,27 @@ def edges_of(text: str, tokens: list[tuple[int, int, int, int]]) -> tuple[list,
 FOUND = "doc_id long, starts array<int>, kinds array<int>, ends array<int>, token_starts array<int>, token_ends array<int>, labels array<int>, shapes array<int>, chain array<int>, skip array<int>"
 
 
+def found_in(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+    """Rows of FOUND."""
+    rows = []
+    for text in texts:
+        text = text or ""
+        spans = base_spans(text)
+        tokens = tokens_of(text, spans) if "@" in text or DIGIT.search(text) else []
+        chain, skip = edges_of(text, tokens)
+        rows.append(([s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], *([t[k] for t in tokens] for k in range(4)),
+                     [v for e in chain for v in e], [v for e in skip for v in e]))
+    columns = list(zip(*rows)) or [[]] * 9
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.list_(pa.int32())) for c in columns)], [c.split()[0] for c in FOUND.split(", ")])
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Base spans, candidate tokens and their edges, one row a document."""
-    names = [c.split()[0] for c in FOUND.split(", ")]
-
     def run(batches):
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                spans = base_spans(text)
-                tokens = tokens_of(text, spans) if "@" in text or DIGIT.search(text) else []
-                chain, skip = edges_of(text, tokens)
-                rows.append(([s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], *([t[k] for t in tokens] for k in range(4)),
-                             [v for e in chain for v in e], [v for e in skip for v in e]))
-            columns = list(zip(*rows)) or [[]] * 9
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int32())) for c in columns)], names)
+            yield found_in(batch.column(0), batch.column(1).to_pylist())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, FOUND)
 
 
 def train(found: DataFrame, smoothing: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
@@ -202,85 +204,93 @@ def messages(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, round
     return belief / belief.sum(1, keepdims=True)
 
 
-def infer(found: DataFrame, emission: np.ndarray, transition: np.ndarray, agreement: float = 3.0, least: float = 0.8, rounds: int = 8) -> DataFrame:
-    """doc_id, base (arrays) and the spans that the field adds: neighbouring
-    tokens of one label, whose probability is ``least`` or more.
-    ``agreement`` is the skip edges' log potential of equal labels."""
+class Field:
+    """The trained field.  ``agreement``: log potential of equal labels on a
+    skip edge; ``least``: probability that an added span's tokens need."""
+
+    def __init__(self, emission: np.ndarray, transition: np.ndarray, agreement: float = 3.0, least: float = 0.8, rounds: int = 8):
+        self.emission, self.transition, self.least, self.rounds = emission, transition, least, rounds
+        self.skip = agreement * np.eye(LABELS)
+
+    def added(self, batch: pa.RecordBatch) -> list[list[dict]]:
+        """The added spans of each row of FOUND: neighbouring tokens of one
+        label that no base span has."""
+        starts, ends, labels, shapes, chains, skips = (batch.column(k).to_pylist() for k in range(4, 10))
+        edges, kinds, at = [], [], 0
+        for tokens, chain, skip in zip(starts, chains, skips):
+            for flat, kind in ((chain, 0), (skip, 1)):
+                edges += [(at + a, at + b) for a, b in zip(flat[::2], flat[1::2])]
+                kinds += [kind] * (len(flat) // 2)
+            at += len(tokens)
+        observed = np.array([y for x in labels for y in x], int)
+        unary = self.emission[np.array([y for x in shapes for y in x], int)]
+        unary[observed > 0] = -30.0
+        unary[np.flatnonzero(observed), observed[observed > 0]] = 0.0
+        potentials = np.stack([self.transition, self.skip])[np.array(kinds, int)]
+        belief = messages(unary, np.array(edges, int).reshape(-1, 2), potentials, self.rounds)
+        best = np.where((observed == 0) & (belief.max(1) >= self.least), belief.argmax(1), 0)
+        out, at = [], 0
+        for a, b, chain in zip(starts, ends, chains):
+            joined, spans = set(zip(chain[::2], chain[1::2])), []
+            for k in range(len(a)):
+                label = int(best[at + k])
+                if label and spans and k and best[at + k - 1] == label and (k - 1, k) in joined:
+                    spans[-1]["end"] = b[k]
+                elif label:
+                    spans.append({"start": a[k], "kind": label - 1, "end": b[k]})
+            out.append(spans)
+            at += len(a)
+        return out
+
+
+def infer(found: DataFrame, field: Field) -> DataFrame:
+    """doc_id, the base spans (arrays) and those that the field adds."""
     schema = "doc_id long, starts array<int>, kinds array<int>, ends array<int>, added array<struct<start:int,kind:int,end:int>>"
-    skip_potential = agreement * np.eye(LABELS)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(10)]
-            labels = [y for x in cols[6] for y in x]
-            shapes = [y for x in cols[7] for y in x]
-            edges, kinds, at = [], [], 0
-            for tokens, chain, skip in zip(cols[4], cols[8], cols[9]):
-                for flat, kind in ((chain, 0), (skip, 1)):
-                    edges += [(at + a, at + b) for a, b in zip(flat[::2], flat[1::2])]
-                    kinds += [kind] * (len(flat) // 2)
-                at += len(tokens)
-            unary = emission[np.array(shapes, int)] if shapes else np.zeros((0, LABELS))
-            observed = np.array(labels, int)
-            unary[observed > 0] = -30.0
-            unary[np.flatnonzero(observed), observed[observed > 0]] = 0.0
-            potentials = np.stack([transition, skip_potential])[np.array(kinds, int)] if kinds else np.zeros((0, LABELS, LABELS))
-            belief = messages(unary, np.array(edges, int).reshape(-1, 2), potentials, rounds)
-            best, sure = belief.argmax(1), belief.max(1) >= least
-            added, at = [], 0
-            for starts, ends, chain in zip(cols[4], cols[5], cols[8]):
-                joined = set(zip(chain[::2], chain[1::2]))
-                spans: list[dict] = []
-                open_at = -2
-                for k in range(len(starts)):
-                    node = at + k
-                    if observed[node] or not best[node] or not sure[node]:
-                        continue
-                    if spans and open_at == k - 1 and (k - 1, k) in joined and spans[-1]["kind"] == best[node] - 1:
-                        spans[-1]["end"] = ends[k]
-                    else:
-                        spans.append({"start": starts[k], "kind": int(best[node]) - 1, "end": ends[k]})
-                    open_at = k
-                added.append(spans)
-                at += len(starts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(added, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])))], ["doc_id", "starts", "kinds", "ends", "added"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(field.added(batch), kind)], ["doc_id", "starts", "kinds", "ends", "added"])
 
     return found.mapInArrow(run, schema)
 
 
 def spans(docs: DataFrame, **options) -> DataFrame:
-    """Base and added spans of every document; see ``infer``."""
+    """Base and added spans of every document; options as of ``Field``."""
     found = common.store(find(docs), "pii")
-    emission, transition = train(found)
-    return infer(found, emission, transition, **options)
+    return infer(found, Field(*train(found), **options))
 
 
 def mask(docs: DataFrame, **options) -> DataFrame:
-    """The documents, each span replaced by its kind in brackets; n_chars is
-    counted anew.  Texts without spans stay as they are."""
-    columns = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = common.store(find(keyed.select(F.col("_key").alias("doc_id"), "text")), "pii")
-    emission, transition = train(found)
-    marked = infer(found, emission, transition, **options).where((F.size("starts") > 0) | (F.size("added") > 0)).dropDuplicates(["doc_id"])
+    """The documents, each span replaced by its kind in brackets and n_chars
+    counted anew; texts without spans stay as they are.  The text is read
+    twice (to train, then to mask) and never shuffled."""
+    found = common.store(find(docs), "pii")
+    field = Field(*train(found), **options)
+    common.discard(found)
+    row = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, starts: pd.Series, kinds: pd.Series, ends: pd.Series, added: pd.Series) -> pd.Series:
-        return pd.Series([replaced(t, [*zip(a, k, b), *((x["start"], x["kind"], x["end"]) for x in more)]) for t, a, k, b, more in zip(text, starts, kinds, ends, added)])
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            found = found_in(pa.nulls(len(texts), pa.int64()), texts)
+            base = zip(*(found.column(k).to_pylist() for k in (1, 2, 3)))
+            new = [replaced(t, [*zip(*b), *((x["start"], x["kind"], x["end"]) for x in more)]) for t, b, more in zip(texts, base, field.added(found))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], ["row", "text"])
 
-    joined = keyed.join(marked.withColumnRenamed("doc_id", "_marked"), F.col("_key") == F.col("_marked"), "left")
-    text = F.when(F.col("_marked").isNull(), F.col("text")).otherwise(cut("text", "starts", "kinds", "ends", "added"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(columns)
+    masked = row.mapInArrow(run, row.schema)
+    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return masked.select(*(fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def replaced(text: str | None, spans: list) -> str | None:
+    """The text with its spans (start, kind, end) cut out; where spans meet,
+    the first names the gap."""
     if not text or not spans:
         return text
     out, free = [], 0
     for start, kind, end in sorted(spans):
-        if end <= free:
-            continue
         if start >= free:
             out += [text[free:start], f"[{KINDS[kind]}]"]
-        free = end
+        free = max(free, end)
     return "".join([*out, text[free:]])
