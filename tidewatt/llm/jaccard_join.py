@@ -5,16 +5,21 @@ A document's set holds its distinct 5-word shingles, by 64-bit hash.
 * Documents with one and the same set are one class; its first row stands for it.
 * Two sets that link share one of their lowest n - ceil(0.8 n) + 1 hashes.
   Tokens that a single class has are dropped at once.
-* Near copies: each class is compared with the hub (first class) it shares
-  most tokens with.  Verified links give provisional components, so a group of
-  thousands of near copies costs one comparison a member, not all pairs.
-* What is left are tokens whose classes lie in several components.  Their
-  rows are dealt into tiles by token and size band (sizes within 1.25 of each
+* Rows are dealt into tiles by token and size band (sizes within 1.25 of each
   other); a large tile is cut into slices and dealt out by pairs of slices.
   Inside a tile, hashed bitmaps bound each pair's overlap from above by bit
-  counts; pairs that could link are verified by exact sorted-array
-  intersection.  No pair of different components is left out, so the
-  components of all links are exact.
+  counts.  A tile tells a spanning forest of the pairs that could link, never
+  all of them.  The components of these edges hold every link: pairs in
+  different ones are proven apart.  A first round over each row's two lowest
+  tokens joins near copies, so the second needs only the tokens whose rows
+  still lie in several components.
+* Each component's sets then meet once, whole, in tiles of the same kind, with
+  wider bitmaps and, for pairs that these can't rule out, exact sorted-array
+  intersection.  Pairs that a tile has already connected are skipped, and
+  again only a spanning forest of the links is told.
+
+So a group of thousands of near copies or near misses costs bit counts for its
+pairs, but rows only in proportion to its members.
 
 Defined results: null and empty texts have an empty set and link with nothing;
 a null doc_id takes its component's smallest id (null if there is none);
@@ -36,7 +41,9 @@ from . import common, graph
 WORDS = 5
 PERCENT = 80
 #: Rows of a tile's slice.
-SLICE = 1024
+SLICE = 512
+#: Bits a hash of the bitmaps of the exact tiles.
+WIDE = 16
 BAND = math.log(100 / PERCENT)
 
 
@@ -46,9 +53,9 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(common.shingle_hashes(common.hash_words(words), WORDS))
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """One bit per hash, in the next power of two bits (64 at least)."""
-    size = max(64, 1 << (len(hashes) - 1).bit_length())
+def bitmap(hashes: np.ndarray, size: int = 0) -> bytes:
+    """One bit per hash, in ``size`` bits: the next power of two, 64 at least."""
+    size = size or max(64, 1 << (len(hashes) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(hashes >> np.uint64(20)) & np.uint64(size - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -79,65 +86,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
-def sets_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """key and sorted hashes of the documents in ``keys``."""
-    sieve = docs.sparkSession.sparkContext.broadcast(common.BitTable.of(keys, "key"))
-
-    def scan(batches):
-        table = sieve.value
-        for batch in batches:
-            wanted = table.has(batch.column(0).to_numpy())
-            batch = batch.filter(pa.array(wanted))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["key", "hashes"])
-
-    found = keyed(docs).select("key", "text").mapInArrow(scan, "key long, hashes binary")
-    return found.join(keys.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-
-
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, key_a, key_b) that link, by sorted-array intersection."""
-    def scan(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = common.store(pairs, "pairs")
-    sets = common.store(sets_of(docs, pairs.select(F.col("key_a").alias("key")).unionByName(pairs.select(F.col("key_b").alias("key")))), "sets")
-    one = pairs.join(sets.select(F.col("key").alias("key_a"), F.col("hashes").alias("x")), "key_a")
-    two = one.join(sets.select(F.col("key").alias("key_b"), F.col("hashes").alias("y")), "key_b")
-    links = common.store(two.select("a", "b", "x", "y").mapInArrow(scan, "a long, b long"), "verified")
-    common.discard(pairs)
-    common.discard(sets)
-    return links
-
-
 def shared_tokens(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """token and row of the classes' first rows, for tokens that two have."""
+    """token and row of the classes' first rows, for tokens that two rows have."""
     counted = rows.select("row", F.explode("tokens").alias("token")).withColumn("n_rows", F.count("*").over(Window.partitionBy("token")))
     return counted.where("n_rows > 1").drop("n_rows").join(classes.select("row"), "row", "left_semi")
 
 
-def hub_pairs(tokens: DataFrame, light: DataFrame) -> DataFrame:
-    """Each class with the hub it shares most tokens with: a token's hub is
-    its first row."""
-    hubs = tokens.groupBy("token").agg(F.min("row").alias("hub"))
-    met = tokens.join(hubs, "token").where("row <> hub").groupBy("row", "hub").agg(F.count("*").alias("common"))
-    best = met.groupBy("row").agg(F.max(F.struct("common", F.col("hub"))).alias("best")).select(F.col("row").alias("a"), F.col("best.hub").alias("b"))
-    return with_keys(best, light)
-
-
-def with_keys(pairs: DataFrame, light: DataFrame) -> DataFrame:
-    named = lambda x: light.select(F.col("row").alias(x), F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"))
-    joined = pairs.join(named("a"), "a").join(named("b"), "b")
-    return joined.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT).select("a", "b", "key_a", "key_b")
-
-
 def folded(bits: list[bytes]) -> np.ndarray:
     """Bitmaps as rows of 64-bit words, the wider ones folded to the narrowest."""
     width = min(len(b) for b in bits)
@@ -147,69 +101,134 @@ def folded(bits: list[bytes]) -> np.ndarray:
     return out
 
 
-def tile_pairs(rows: list[tuple], low: int, high: int) -> list[tuple[int, int]]:
-    """Pairs of a tile that could link, by sizes, components and bit counts.
-    rows: (row, label, n, home, slice, bits); a pair needs a home row, and one
-    row from slice ``low`` and one from ``high``."""
-    rows.sort(key=lambda r: r[2])
-    ids, labels, sizes = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-    home, part = np.array([r[3] for r in rows], bool), np.array([r[4] for r in rows], np.int64)
-    maps = folded([r[5] for r in rows])
+def forest(sizes: np.ndarray, maps: np.ndarray, home: np.ndarray, part: np.ndarray, low: int, high: int, group: np.ndarray, test=None) -> list[tuple[int, int]]:
+    """Spanning edges, by place, of the tile's pairs that could link or, with
+    ``test``, that it accepts.  Rows come by size.  A pair needs a home row, a
+    row from slice ``low`` and one from ``high``, and different groups."""
+    group, out = group.copy(), []
     last = np.searchsorted(sizes, sizes * 100 // PERCENT, "right")
-    out = []
-    for k in range(len(rows)):
+    for k in range(len(sizes)):
         j = np.arange(k + 1, last[k])
-        j = j[(labels[j] != labels[k]) & (home[j] | home[k]) & ((part[j] == low + high - part[k]) if low != high else True)]
+        apart = (group[j] != group[k]) & (home[j] | home[k])
+        if low != high:
+            apart &= part[j] == low + high - part[k]
+        j = j[apart]
         if not len(j):
             continue
         need = -(-PERCENT * (sizes[k] + sizes[j]) // (100 + PERCENT))
         most = sizes[k] - np.bitwise_count(maps[k] & ~maps[j]).sum(1).astype(np.int64)
         j, need = j[most >= need], need[most >= need]
         most = sizes[j] - np.bitwise_count(maps[j] & ~maps[k]).sum(1).astype(np.int64)
-        out.extend((min(ids[k], x), max(ids[k], x)) for x in ids[j[most >= need]])
+        j, most = j[most >= need], most[most >= need]
+        if test is None:
+            j = j[np.unique(group[j], return_index=True)[1]]
+        for other in j[np.argsort(-most[:len(j)], kind="stable")] if test else j:
+            if group[other] != group[k] and (test is None or test(k, other)):
+                out.append((k, int(other)))
+                group[group == group[other]] = group[k]
     return out
 
 
-def tiles(tokens: DataFrame, light: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different provisional components."""
-    label = F.coalesce("label", "row")
-    known = light.select("row", "n", "bits").join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", "n", "bits", label.alias("label"))
-    by_token = Window.partitionBy("token")
-    mixed = tokens.join(known.drop("bits"), "row").withColumns({"least": F.min("label").over(by_token), "most": F.max("label").over(by_token)}).where("least <> most")
+def dealt(rows: DataFrame, group: str, banded) -> DataFrame:
+    """Adds a tile to rows (row, n and ``group``): band, low, high, home and
+    slice.  Where ``banded`` is true a row goes to its size band's tile and, as
+    a guest, to the next lower one's; else its group is one tile."""
     band = F.floor(F.log(F.col("n")) / F.lit(BAND)).cast("int")
-    # home tile, and as guest the tile of the next lower band
-    dealt = mixed.select("token", "row", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band - 1).alias("band"), F.lit(False).alias("home")))).alias("at"))
-    dealt = dealt.select("token", "row", "at.band", "at.home")
-    sizes = dealt.groupBy("token", "band").agg(F.count("*").alias("rows"), F.max("home").alias("any_home")).where("rows > 1 and any_home")
-    dealt = dealt.join(sizes.drop("any_home"), ["token", "band"]).withColumn("slices", F.ceil(F.col("rows") / SLICE).cast("int"))
-    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("row"), F.col("slices")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    dealt = dealt.withColumns({"low": F.least("slice", "other"), "high": F.greatest("slice", "other")}).drop("rows", "slices", "other")
-    full = dealt.join(known, "row")
+    place = lambda b, home: F.struct(b.alias("band"), F.lit(home).alias("home"))
+    at = F.when(banded, F.array(place(band, True), place(band - 1, False))).otherwise(F.array(place(F.lit(-1), True)))
+    tiled = rows.withColumn("at", F.explode(at)).select("*", "at.band", "at.home").drop("at")
+    sizes = tiled.groupBy(group, "band").agg(F.count("*").alias("tile_rows"), F.max("home").alias("any_home")).where("tile_rows > 1 and any_home")
+    tiled = tiled.join(sizes.drop("any_home"), [group, "band"]).withColumn("slices", F.ceil(F.col("tile_rows") / SLICE).cast("int"))
+    tiled = tiled.withColumn("slice", F.pmod(F.xxhash64("row"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return tiled.withColumns({"low": F.least("slice", "other"), "high": F.greatest("slice", "other")}).drop("tile_rows", "slices", "other")
+
+
+def in_tiles(rows: DataFrame, group: str, column: str, work) -> DataFrame:
+    """Edges (a, b) that ``work`` finds in each tile's rows."""
+    keys = [group, "band", "low", "high"]
 
     def scan(batches):
         rows, at = [], None
+
+        def told():
+            rows.sort(key=lambda r: (r[2], r[0]))
+            found = work(rows, at[2], at[3]) if len(rows) > 1 else []
+            ids = [r[0] for r in rows]
+            return pa.RecordBatch.from_arrays([pa.array([min(ids[x], ids[y]) for x, y in found], pa.int64()), pa.array([max(ids[x], ids[y]) for x, y in found], pa.int64())], ["a", "b"])
+
         for batch in batches:
-            for token, band, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != (token, band, low, high):
-                    if len(rows) > 1:
-                        yield from pairs_of(rows, at)
-                    rows, at = [], (token, band, low, high)
-                rows.append(tuple(row))
-        if len(rows) > 1:
-            yield from pairs_of(rows, at)
-
-    def pairs_of(rows, at):
-        found = tile_pairs(rows, at[2], at[3])
-        if found:
-            a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    keys = ["token", "band", "low", "high"]
-    sorted_ = full.select(*keys, "row", "label", "n", "home", "slice", "bits").repartition(*keys).sortWithinPartitions(*keys)
+            for *key, row, label, n, home, part, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != key:
+                    if rows:
+                        yield told()
+                    rows, at = [], key
+                rows.append((row, label, n, home, part, data))
+        if rows:
+            yield told()
+
+    sorted_ = rows.select(*keys, "row", "label", "n", "home", "slice", column).repartition(*keys).sortWithinPartitions(*keys)
     return sorted_.mapInArrow(scan, "a long, b long").distinct()
 
 
+def columns_of(rows: list[tuple]) -> list[np.ndarray]:
+    """sizes, home, slice and group of a tile's rows."""
+    sizes, home, part = (np.array([r[k] for r in rows], t) for k, t in ((2, np.int64), (3, bool), (4, np.int64)))
+    return [sizes, home, part, np.unique([r[1] for r in rows], return_inverse=True)[1]]
+
+
+def possible(rows: list[tuple], low: int, high: int) -> list[tuple[int, int]]:
+    sizes, home, part, group = columns_of(rows)
+    return forest(sizes, folded([r[5] for r in rows]), home, part, low, high, group)
+
+
+def certain(rows: list[tuple], low: int, high: int) -> list[tuple[int, int]]:
+    sizes, home, part, _ = columns_of(rows)
+    sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+    width = 1 << (WIDE * int(sizes[-1]) - 1).bit_length()
+    maps = np.stack([np.frombuffer(bitmap(x, max(64, width)), np.uint64) for x in sets])
+
+    def test(x: int, y: int) -> bool:
+        small, large = sets[x], sets[y]  # by size
+        both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+        return 100 * both >= PERCENT * (len(small) + len(large) - both)
+
+    return forest(sizes, maps, home, part, low, high, np.arange(len(rows)), test)
+
+
+def possible_edges(tokens: DataFrame, light: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Edges between rows of a token whose bit counts don't rule a link out,
+    for the tokens whose rows have several labels."""
+    label = F.col("row")
+    known = light
+    if labels is not None:
+        known, label = light.join(labels.withColumnRenamed("node", "row"), "row", "left"), F.coalesce("label", "row")
+    known = known.select("row", "n", "bits", label.alias("label"))
+    met = tokens.join(known.drop("bits"), "row")
+    if labels is not None:
+        by_token = Window.partitionBy("token")
+        met = met.withColumns({"least": F.min("label").over(by_token), "most": F.max("label").over(by_token)}).where("least <> most").drop("least", "most")
+    tiled = dealt(met.drop("label"), "token", F.lit(True)).join(known.drop("n"), "row")
+    return in_tiles(tiled, "token", "bits", possible)
+
+
+def exact_links(docs: DataFrame, light: DataFrame, labels: DataFrame) -> DataFrame:
+    """Spanning links of each component of possible links."""
+    members = common.store(labels.withColumnRenamed("node", "row").join(light.drop("bits"), "row"), "members")
+    sieve = docs.sparkSession.sparkContext.broadcast(common.BitTable.of(members, "key"))
+
+    def scan(batches):
+        table = sieve.value
+        for batch in batches:
+            batch = batch.filter(pa.array(table.has(batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["key", "hashes"])
+
+    # a member's row stands for all rows of its key: copies are one class
+    sets = keyed(docs).select("key", "text").mapInArrow(scan, "key long, hashes binary").dropDuplicates(["key"])
+    sizes = members.groupBy("label").agg(F.count("*").alias("members"))
+    tiled = dealt(members.join(sizes, "label"), "label", F.col("members") > SLICE).drop("members")
+    return in_tiles(tiled.join(sets, "key"), "label", "hashes", certain)
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, key, row, n and component_id (smallest linked doc_id) of every
     row, and ``keeper``: the component's first row."""
@@ -218,11 +237,10 @@ def linked(docs: DataFrame) -> DataFrame:
     classes = common.store(full.groupBy("d1", "d2").agg(F.min("row").alias("row")), "classes")
     light = full.select("row", "key", "n", "bits")
     tokens = common.store(shared_tokens(full, classes), "tokens")
-    near = verified(docs, hub_pairs(tokens, light))
-    labels = graph.components(near)
-    far = verified(docs, with_keys(tiles(tokens, light, labels), light))
-    if far.limit(1).count():
-        labels = graph.components(near.unionByName(far))
+    lowest = tokens.groupBy("row").agg(F.slice(F.array_sort(F.collect_list("token")), 1, 2).alias("tokens")).select("row", F.explode("tokens").alias("token"))
+    near = common.store(possible_edges(lowest, light, None), "edges")
+    far = common.store(possible_edges(tokens, light, graph.components(near)), "edges")
+    labels = graph.components(exact_links(docs, light, graph.components(near.unionByName(far))))
     common.discard(tokens)
     placed = rows.select("doc_id", "key", "row", "n", "d1", "d2").join(classes.withColumnRenamed("row", "first"), ["d1", "d2"], "left")
     placed = placed.join(labels, F.col("first") == F.col("node"), "left").select("doc_id", "key", "row", "n", F.coalesce("label", "first", "row").alias("label"))
