@@ -34,7 +34,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 #: Pieces and words whose ids an encoder remembers.
-MEMO = 250_000
+MEMO = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -220,7 +220,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, limit: int) -> list[str]:
     which no more than ``limit`` words have it or a larger one."""
     def count(batches):
         merger = Merger(tokenizer)
-        for batch in batches:
+        for batch in parts(batches, 2000):
             pieces: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 if text:
@@ -307,25 +307,40 @@ def encoder_of(tokenizer: str, lexicon: str) -> Encoder:
     return _ENCODERS[tokenizer, lexicon]
 
 
-def encode(docs: DataFrame, tokenizer: str, lexicon: str) -> DataFrame:
-    """doc_id, n_tokens and ``ids``: little-endian unsigned 32-bit integers."""
+def parts(batches, rows: int = 500):
+    """Batches cut to ``rows``, so that a task holds few texts at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def texts_of(tokens: list[bytes], ids: list[bytes]) -> pa.Array:
+    """The tokens' strings joined by spaces, specials kept."""
+    return pa.array([b" ".join([tokens[k] for k in memoryview(x).cast("I")]).decode() for x in ids], pa.string())
+
+
+def encode(docs: DataFrame, tokenizer: str, lexicon: str, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ``ids``: little-endian unsigned 32-bit integers;
+    with ``decoded`` also the text that ``decode`` makes of them, in the same
+    worker."""
+    names = ["doc_id", "n_tokens", "ids", "decoded"][:4 if decoded else 3]
+
     def run(batches):
         encoder = encoder_of(tokenizer, lexicon)
-        for batch in batches:
+        for batch in parts(batches):
             ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, texts_of(encoder.merger.tokens, ids)] if decoded else columns, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """Adds ``decoded``: the tokens' strings joined by spaces, specials kept."""
-    schema = "doc_id long, n_tokens long, ids binary, decoded string"
-
+    """Adds ``decoded``, made of the ids alone."""
     def run(batches):
         tokens = Merger(tokenizer).tokens
-        for batch in batches:
-            texts = [b" ".join([tokens[k] for k in memoryview(x).cast("I")]).decode() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+        for batch in parts(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(tokens, batch.column(2).to_pylist())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, schema)
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

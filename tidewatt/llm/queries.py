@@ -51,9 +51,8 @@ def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
-    encoded = bpe.encode(docs, TOKENIZER, bpe.build_lexicon(docs, TOKENIZER))
-    return bpe.decode(encoded, TOKENIZER).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs, TOKENIZER, bpe.build_lexicon(docs, TOKENIZER), decoded=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_tiled_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
