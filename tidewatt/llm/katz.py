@@ -37,13 +37,16 @@ from . import common
 
 #: Tokens of a chunk (a longer text is a chunk of its own), and of a bucket.
 CHUNK, BUCKET = 2_000_000, 10_000_000
+#: Tokens of a context that may be split, at least.
+LEAST_HOT = 1000
 #: Hashes of the marks before and after a text.
 BEGIN, END = np.int64(1), np.int64(2)
 
 
 def pack(x: np.ndarray) -> bytes:
     """Type, then the compressed byte planes."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T
+    x = np.ascontiguousarray(x)
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
     return x.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
@@ -329,7 +332,7 @@ def score(docs: DataFrame, held: object, most: int = 5) -> DataFrame:
     buckets = max(2, -(-int(sizes.tokens or 0) // BUCKET))
     word_answers = common.store(ask_words(chunks, buckets, most), "word-counts")
     model = Words(summed(word_answers, most + 3), training, most)
-    hot = max(1000, model.total // (4 * buckets))
+    hot = max(LEAST_HOT, model.total // (4 * buckets))
     told = chunks.join(gathered(word_answers, ["counts"], "word_answers"), "chunk", "left")
     told = told.withColumn("word_answers", F.coalesce("word_answers", F.array()))
     pair_answers = common.store(ask_pairs(told, model, training, buckets, hot, most), "pair-counts")
