@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Tokens of a chunk (a longer text is a chunk of its own), and of a bucket.
-CHUNK, BUCKET = 2_000_000, 10_000_000
+CHUNK, BUCKET = 1_000_000, 4_000_000
 #: Tokens of a context that may be split, at least.
 LEAST_HOT = 1000
 #: Hashes of the marks before and after a text.
