@@ -13,8 +13,6 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from tidewatt.session import get_session
     s = get_session("local[4]", 8, app_name="tidewatt-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidewatt-test-ckpt-"))
     s.sparkContext.setLogLevel("ERROR")
     yield s
 

@@ -19,17 +19,21 @@ landed and stops (restartable from the checkpoint after a failure).
 
 from __future__ import annotations
 
+import collections
 import datetime
 import uuid
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType, TimestampNTZType
 
+from tidewatt.operators.windows import limit_call
 from tidewatt.session import scratch_path
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -48,11 +52,11 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _run(writer, timeout_s: int = 600):
+def _run(writer):
+    """Drain everything that has landed: waits until the query ends by itself
+    and raises its error, so a result is never partial."""
     q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
+    q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
 
@@ -88,15 +92,23 @@ def stream_ingest(spark: SparkSession, d: str, watermark: str = "1 hour") -> Dat
 
 def stream_windows(spark: SparkSession, d: str, width: str = "15 minutes", slide: str | None = None,
                    watermark: str = "1 hour") -> DataFrame:
-    """H2: tumbling (or sliding) window mean / count per series."""
+    """H2: tumbling (or sliding) window mean / count per series.  A sliding
+    window adds up the sums of its steps, so an event is never copied once per
+    window it lies in."""
     out, ck = _paths(spark, "windows")
-    win = F.window("ts", width, slide) if slide else F.window("ts", width)
-    s = (event_stream(spark, d).withWatermark("ts", watermark)
-         .groupBy(F.col("event_type").alias("series_id"), win.alias("w"))
-         .agg(F.avg("value").alias("price"), F.count(F.lit(1)).alias("n_obs"))
-         .select("series_id", F.col("w.start").cast("timestamp_ntz").alias("ts"), "price", "n_obs"))
-    _run(s.writeStream.outputMode("update").foreachBatch(_upsert_sink(out)).option("checkpointLocation", ck))
-    return read_upserts(spark, out, ["series_id", "ts"])
+    step = slide or width
+    slots = (event_stream(spark, d).withWatermark("ts", watermark)
+             .groupBy(F.col("event_type").alias("series_id"), F.window("ts", step).alias("w"))
+             .agg(F.sum("value").alias("total"), F.count("value").alias("n_values"), F.count(F.lit(1)).alias("n_obs"))
+             .select("series_id", F.col("w.start").alias("ts"), "total", "n_values", "n_obs"))
+    _run(slots.writeStream.outputMode("update").foreachBatch(_upsert_sink(out)).option("checkpointLocation", ck))
+    landed = read_upserts(spark, out, ["series_id", "ts"])
+    if slide:
+        landed = (landed.groupBy("series_id", F.window("ts", width, slide).alias("w"))
+                  .agg(*(F.sum(c).alias(c) for c in ("total", "n_values", "n_obs")))
+                  .withColumn("ts", F.col("w.start")).drop("w"))
+    price = F.col("total") / F.nullif(F.col("n_values"), F.lit(0))
+    return landed.select("series_id", F.col("ts").cast("timestamp_ntz").alias("ts"), price.alias("price"), "n_obs")
 
 
 def stream_metering(spark: SparkSession, d: str) -> DataFrame:
@@ -122,36 +134,28 @@ def stream_rate_limit(spark: SparkSession, d: str, max_requests: int = 3, window
 
     class Limiter(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            # at most max_requests timestamps per key; entries older than the
-            # window are dropped whenever the key is seen.  (State TTL needs
+            # the last max_requests accepted times per key.  (State TTL needs
             # processing-time mode, which keeps an availableNow query alive.)
             self.log = handle.getListState("log", log_schema)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            pdf = pd.concat(list(rows)).sort_values(["ts", "call_id"])
-            kept = [int(r[0]) for r in self.log.get()] if self.log.exists() else []
-            micros = pd.to_datetime(pdf["ts"]).astype("int64").to_numpy() // 1000
-            acc, retry = [], []
-            w = window_seconds * 1_000_000
-            for now in micros:
-                kept = [t for t in kept if t >= now - w]
-                if len(kept) >= max_requests:
-                    acc.append(False)
-                    retry.append(max(1, int((kept[0] + w - now) / 1_000_000)))
-                else:
-                    kept.append(int(now))
-                    acc.append(True)
-                    retry.append(0)
+            # a micro-batch's rows of a key come in any order: only their
+            # times and ids are held to sort them
+            parts = [(pd.to_datetime(p["ts"]).to_numpy().astype("datetime64[us]"), p["call_id"].to_numpy()) for p in rows]
+            ts, ids = (np.concatenate([p[k] for p in parts]) for k in range(2))
+            order = np.lexsort((ids, ts))
+            ts, ids = ts[order], ids[order]
+            accepted = collections.deque((int(r[0]) for r in self.log.get()) if self.log.exists() else (), max_requests)
+            verdicts = [limit_call(accepted, us, max_requests, window_seconds * 1_000_000) for us in ts.astype("int64").tolist()]
             self.log.clear()
-            if kept:
-                self.log.put(pd.DataFrame({"t": kept}))
-            yield pd.DataFrame({"key_id": key[0], "call_id": pdf["call_id"].to_numpy(),
-                                "ts": pdf["ts"].to_numpy(), "accepted": acc, "retry_after": retry})
+            if accepted:
+                self.log.put(pd.DataFrame({"t": list(accepted)}))
+            yield pd.DataFrame({"key_id": key[0], "call_id": ids, "ts": ts.astype("datetime64[ns]"),
+                                "accepted": [w == 0 for w in verdicts], "retry_after": verdicts})
 
         def close(self) -> None:
             pass
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     out, ck = _paths(spark, "ratelimit")
     calls = event_stream(spark, d).select(
         F.concat(F.lit("key-"), F.col("user_id").cast("string")).alias("key_id"),
@@ -159,7 +163,13 @@ def stream_rate_limit(spark: SparkSession, d: str, max_requests: int = 3, window
     schema = "key_id string, call_id long, ts timestamp_ntz, accepted boolean, retry_after int"
     s = calls.groupBy("key_id").transformWithStateInPandas(
         statefulProcessor=Limiter(), outputStructType=schema, outputMode="Append", timeMode="None")
-    _run(s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append"))
+    # the state API needs RocksDB; the session's own provider is put back
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        _run(s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append"))
+    finally:
+        spark.conf.set(PROVIDER, before)
     return spark.read.parquet(out)
 
 
