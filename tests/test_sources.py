@@ -19,7 +19,7 @@ def test_scan_latest_highest_file_wins(spark, tmpdir_path):
 def test_latest_version(spark):
     names = ["20260401_EL-DAM_ResultsSummary_EN_v01.xlsx", "20260401_EL-DAM_ResultsSummary_EN_v02.xlsx",
              "20260401_EL-DAM_Results_EN_v01.xlsx", "20260402_EL-DAM_ResultsSummary_EN_v01.xlsx"]
-    df = spark.createDataFrame([(n,) for n in names], "file string")
+    df = spark.createDataFrame([(n,) for n in [*names, "notes.txt", "99999999_EL-DAM_Results_EN_v01.xlsx", "20260401_EL-DAM_Results_EN.xlsx"]], "file string")
     out = sorted(r.file for r in feeds.latest_version(df).collect())
     assert out == sorted([names[1], names[2], names[3]])
 
@@ -69,6 +69,9 @@ def test_fanout_and_append_once(spark):
         "id string, owner string, label string, url string, events string, secret_hash string, disabled int")
     out = sorted((r.event, r.subscription_id) for r in tables.fanout_subscriptions(ev, subs).collect())
     assert out == [("forecast.refreshed", "w1"), ("optimize.completed", "w1"), ("optimize.completed", "w2")]
+    every = spark.createDataFrame([("optimize.completed", None), ("forecast.refreshed", None)], "event string, owner string")
+    out = sorted((r.event, r.subscription_id) for r in tables.fanout_subscriptions(every, subs).collect())
+    assert out == [("forecast.refreshed", "w1"), ("optimize.completed", "w1"), ("optimize.completed", "w2"), ("optimize.completed", "w4")]
     log = spark.createDataFrame([("2026-01-01", 1.0)], "date string, c double")
     inc = spark.createDataFrame([("2026-01-01", 9.0), ("2026-01-02", 2.0)], "date string, c double")
     assert sorted(tuple(r) for r in tables.append_once(log, inc, ["date"]).collect()) == \
@@ -82,3 +85,29 @@ def test_audit_query_clamps_limit(spark):
     out = tables.audit_query(df, limit=0).collect()
     assert len(out) == 1 and out[0].id == 9
     assert [r.id for r in tables.audit_query(df, since=103, limit=5000).collect()] == [9, 8, 7, 6]
+
+
+def test_a_table_sees_files_that_land_later(spark, tmpdir_path):
+    from tidewatt.plans import fixtures as fx
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    rows.write.parquet(f"{tmpdir_path}/events.parquet")
+    assert fx.table(spark, tmpdir_path, "events").count() == 1
+    rows.write.mode("append").parquet(f"{tmpdir_path}/events.parquet")
+    assert fx.table(spark, tmpdir_path, "events").count() == 2
+
+
+def test_report_without_price_or_date_is_skipped(spark):
+    buy = {"BUY": [["DEMAND / MTU"], ["HV LOAD"] + ["1.5"] * 24]}
+    assert reports.tidy_market_report(_cells(spark, 24, buy)).count() == 0
+    sell = {"SELL": [["Market Clearing Price"], ["Greece Mainland"] + ["10"] * 24]}
+    cells = _cells(spark, 24, sell)
+    assert reports.tidy_market_report(cells.withColumn("file", F.lit("summary.xlsx"))).count() == 0
+    assert reports.tidy_market_report(cells).count() == 24
+
+
+def test_unknown_series_is_an_error(spark):
+    from tidewatt.plans import fixtures as fx
+    import pytest
+    df = spark.createDataFrame([("a",), ("b",)], "s string").select(fx.known_series(F.col("s"), ["a"]))
+    with pytest.raises(Exception, match="no place for series b"):
+        df.collect()

@@ -54,18 +54,18 @@ def worst_days(daily: DataFrame, n: int = 5, metric: str = "capture_ratio", orde
 
 def fanout_subscriptions(events: DataFrame, subs: DataFrame, event_col: str = "event",
                          owner_col: str = "owner") -> DataFrame:
-    """one delivery row per (event, active subscription listing the
-    event [, same owner when the event names one]).  Subscriptions are
-    joined on the owner key (equi-join, never a cross product) and the
-    event list is tested with ``array_contains``; the signing key is derived
-    from the stored hash (sha256 hex)."""
+    """one delivery row per (event, active subscription that lists it):
+    the owner's subscriptions where the event names an owner, everybody's
+    where its owner is NULL.  Subscriptions are exploded to one row per listed
+    event; named owners meet on (event, owner), and only the ownerless events
+    on the event alone.  The signing key is derived from the stored hash
+    (sha256 hex)."""
     s = (subs.filter(F.col("disabled") == 0)
-         .withColumn("event_list", F.split(F.col("events"), ","))
-         .withColumnRenamed("owner", "_sub_owner"))
-    j = events.join(s, events[owner_col] == s["_sub_owner"])
-    j = j.filter(F.array_contains(F.col("event_list"), F.col(event_col)))
-    return j.select(*events.columns, F.col("id").alias("subscription_id"), "url",
-                    F.sha2(F.col("secret_hash"), 256).alias("signing_key"))
+         .select(F.explode(F.split("events", ",")).alias("_event"), F.col("owner").alias("_owner"),
+                 F.col("id").alias("subscription_id"), "url", F.sha2("secret_hash", 256).alias("signing_key")).distinct())
+    named = events.join(s, (events[event_col] == s["_event"]) & (events[owner_col] == s["_owner"]))
+    open_ = events.filter(F.col(owner_col).isNull()).join(s, F.col(event_col) == F.col("_event"))
+    return named.unionByName(open_).select(*events.columns, "subscription_id", "url", "signing_key")
 
 
 def last_delivery_status(deliveries: DataFrame, key: str = "subscription_id",

@@ -17,36 +17,13 @@ SIGNALS = ["price", "load_mw", "solar_mw", "wind_mw", "cloud_pct"]
 INTERP_SIGNALS = ["load_mw", "solar_mw", "wind_mw", "cloud_pct"]
 
 
-_PLANS: dict = {}
-
-
-def _memo(fn):
-    """Keep the (immutable, lazy) DataFrame a role builder returns, per session
-    and arguments.  Only the logical plan is reused -- no data is cached --
-    so later queries skip re-listing files, re-reading Parquet footers and
-    rebuilding long expression trees over py4j on the driver."""
-    def wrapper(spark, *args):
-        key = (fn.__name__, id(spark), args)
-        df = _PLANS.get(key)
-        if df is None or df.sparkSession is not spark:
-            df = fn(spark, *args)
-            if len(_PLANS) >= 256:          # bounded (e.g. per-batch ranges of a stream)
-                _PLANS.pop(next(iter(_PLANS)))
-            _PLANS[key] = df
-        return df
-    wrapper.__name__, wrapper.__doc__ = fn.__name__, fn.__doc__
-    return wrapper
-
-
-@_memo
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """The driver table as a DataFrame."""
+    """The driver table as a DataFrame, its files listed anew at each call."""
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 # ------------------------------------------------------------ price slots --
 
-@_memo
 def price_slots(spark: SparkSession, d: str, since=None, until=None) -> DataFrame:
     """H2 batch twin: 15-minute tumbling aggregates of ``events`` per series
     (``event_type``).  price = mean value; the other signals are the sum,
@@ -76,7 +53,6 @@ SQL_GRID = """grid AS (
   FROM slots GROUP BY series_id)"""
 
 
-@_memo
 def market_grid(spark: SparkSession, d: str, since=None, until=None) -> DataFrame:
     """P1 aligned frame: B1 grid, B2 as-of price, B3 interpolated signals."""
     slots = price_slots(spark, d, since, until)
@@ -122,7 +98,6 @@ market AS (
 
 # ------------------------------------------------------------ forecasts ----
 
-@_memo
 def forecast_frame(spark: SparkSession, d: str, since=None, until=None) -> DataFrame:
     """M10 seasonal-naive interval forecast on the market grid:
     q50 = price 96 slots ago, q05/q95 = q50 -/+ 1.645 x the gate-close
@@ -145,13 +120,20 @@ fc AS (
 
 # --------------------------------------------------------------- assets ----
 
-@_memo
 def zones(spark: SparkSession, d: str) -> DataFrame:
-    """Zone dimension: region i <-> the i-th series in name order."""
+    """Zone dimension: region i <-> the i-th series in name order.  A series
+    without a region is an error, not a row that goes missing."""
     ev_types = (table(spark, d, "events").select(F.col("event_type").alias("series_id")).distinct()
                 .withColumn("zone_rank", F.row_number().over(Window.orderBy("series_id")) - 1))
     reg = table(spark, d, "region").select("r_regionkey", "r_name")
-    return reg.join(ev_types, reg.r_regionkey == ev_types.zone_rank).drop("zone_rank")
+    z = ev_types.join(reg, reg.r_regionkey == ev_types.zone_rank, "left")
+    lost = F.raise_error(F.concat(F.lit("no region for series "), F.col("series_id"))).cast("string")
+    return z.select(F.col("zone_rank").cast("int").alias("r_regionkey"), F.coalesce("r_name", lost).alias("r_name"), "series_id")
+
+
+def known_series(col, known: list[str]):
+    """The series name; one that a fixed layout has no place for is an error."""
+    return F.when(col.isin(*known), col).otherwise(F.raise_error(F.concat(F.lit("no place for series "), col)).cast("string"))
 
 
 SQL_ZONES = """zones AS (
@@ -161,7 +143,6 @@ SQL_ZONES = """zones AS (
     ON r.r_regionkey = e.zone_rank)"""
 
 
-@_memo
 def assets(spark: SparkSession, d: str) -> DataFrame:
     """One battery per supplier, sited in its nation's region zone.
     power = 10 + 5 x floor(|acctbal| / 1000) MW, two-hour energy; the other

@@ -214,7 +214,7 @@ piv AS (
 FROM piv""", _PIV_COLS + ["zone_mean", "zone_std"]))
 def a8_c11(spark, d):
     ev = fx.table(spark, d, "events")
-    long = (ev.groupBy(F.window("ts", "1 hour").start.alias("ts"), F.col("event_type").alias("zone"))
+    long = (ev.groupBy(F.window("ts", "1 hour").start.alias("ts"), fx.known_series(F.col("event_type"), ZONES).alias("zone"))
             .agg(F.avg("value").alias("price")))
     p = feeds.neighbor_prices(long, ZONES)
     p = p.withColumns({"zone_mean": row_mean(*_PIV_COLS), "zone_std": row_std(*_PIV_COLS)})
@@ -233,7 +233,7 @@ FROM j WINDOW w AS (PARTITION BY series_id ORDER BY ts)""",
 def d5(spark, d):
     m = fx.market_grid(spark, d).select("series_id", "ts", "price")
     ev = fx.table(spark, d, "events")
-    long = (ev.groupBy(F.window("ts", "1 hour").start.alias("ts"), F.col("event_type").alias("zone"))
+    long = (ev.groupBy(F.window("ts", "1 hour").start.alias("ts"), fx.known_series(F.col("event_type"), ZONES).alias("zone"))
             .agg(F.avg("value").alias("price")))
     p = feeds.neighbor_prices(long, ZONES).withColumnRenamed("ts", "hour_ts")
     j = m.join(p, F.date_trunc("hour", "ts").cast("timestamp_ntz") == F.col("hour_ts"), "left").drop("hour_ts")

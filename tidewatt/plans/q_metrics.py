@@ -355,12 +355,12 @@ def k3(spark, d):
          f"SELECT {i} AS fold, f.series_id, avg(f.price) AS week_mean_price, count(*) AS n FROM fc f JOIN ends e "
          f"USING (series_id) WHERE f.ts >= e.end_ts - INTERVAL 16 DAY + INTERVAL {7 * i} DAY "
          f"AND f.ts < e.end_ts - INTERVAL 16 DAY + INTERVAL {7 * (i + 1)} DAY GROUP BY f.series_id"
-         for i in range(2)), ["week_mean_price"]))
+         for i in range(3)), ["week_mean_price"]))
 def f7(spark, d):
     f = fx.forecast_frame(spark, d)
     f = f.withColumn("_end", F.max("ts").over(Window.partitionBy("series_id")))
     parts = []
-    for i in range(2):
+    for i in range(3):  # the last week is cut short by the data's end
         lo = F.col("_end") - F.expr("INTERVAL 16 DAYS") + F.expr(f"INTERVAL {7 * i} DAYS")
         hi = F.col("_end") - F.expr("INTERVAL 16 DAYS") + F.expr(f"INTERVAL {7 * (i + 1)} DAYS")
         p = f.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).groupBy("series_id").agg(
@@ -413,7 +413,7 @@ SELECT id, CAST(json_extract_string(details, '$.k') AS INTEGER) AS k,
 FROM audit"""))
 def c24(spark, d):
     a = fx.audit_rows(spark, d).withColumn("m", feeds.json_details("details"))
-    return a.select("id", F.col("m")["k"].cast("int").alias("k"), F.to_json("m").alias("details_norm"))
+    return a.select("id", F.col("m")["k"].try_cast("int").alias("k"), F.to_json("m").alias("details_norm"))
 
 
 # F5 + F6: webhook fan-out (owner-scoped) and last delivery per subscription.
@@ -423,10 +423,12 @@ ser AS (SELECT series_id, row_number() OVER (ORDER BY series_id) - 1 AS rk FROM
 ev AS (
   SELECT 'optimize.completed' AS event, f.series_id, f.day, segs.owner,
          CAST(f.day AS TIMESTAMP) + INTERVAL 11 HOUR AS delivered_at
-  FROM (SELECT DISTINCT series_id, day FROM fc) f JOIN ser USING (series_id) JOIN segs ON segs.rk = ser.rk),
+  FROM (SELECT DISTINCT series_id, day FROM fc) f JOIN ser USING (series_id) JOIN segs ON segs.rk = ser.rk
+  UNION ALL
+  SELECT 'forecast.refreshed', min(series_id), day, NULL, CAST(day AS TIMESTAMP) + INTERVAL 11 HOUR FROM fc GROUP BY day),
 deliv AS (
   SELECT ev.*, s.id AS subscription_id, s.url, sha256(s.secret_hash) AS signing_key
-  FROM ev JOIN subs s ON s.owner = ev.owner
+  FROM ev JOIN subs s ON ev.owner IS NULL OR s.owner = ev.owner
   WHERE s.disabled = 0 AND list_contains(string_split(s.events, ','), ev.event))"""
 
 
@@ -435,8 +437,12 @@ def webhook_events(spark, d):
     segs = (fx.table(spark, d, "customer").select(F.col("c_mktsegment").alias("owner")).distinct()
             .withColumn("rk", F.row_number().over(Window.orderBy("owner")) - 1))
     ser = f.select("series_id").distinct().withColumn("rk", F.row_number().over(Window.orderBy("series_id")) - 1)
-    ev = f.join(ser, "series_id").join(segs, "rk")
-    return ev.select(F.lit("optimize.completed").alias("event"), "series_id", "day", "owner",
+    ev = f.join(ser, "series_id").join(segs, "rk").withColumn("event", F.lit("optimize.completed"))
+    # one refresh a day concerns every owner
+    every = f.groupBy("day").agg(F.min("series_id").alias("series_id")).withColumns(
+        {"event": F.lit("forecast.refreshed"), "owner": F.lit(None).cast("string")})
+    ev = ev.select("event", "series_id", "day", "owner").unionByName(every)
+    return ev.select("event", "series_id", "day", "owner",
                      (F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL 11 HOURS")).alias("delivered_at"))
 
 

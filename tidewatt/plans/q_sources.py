@@ -3,6 +3,8 @@ writers (A3, A5, A7, A11, A12, F4)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatt.functions.columns import round_doubles
@@ -52,6 +54,7 @@ def report_cells(spark, d):
         "series_id string, sheet string, section string, label string, row_idx int")
     # one pass: each (day, series) group emits its value row, the section
     # header above it and -- for the first row of a sheet -- the 1..96 row
+    per = per.withColumn("series_id", fx.known_series(F.col("series_id"), [r[0] for r in REPORT_ROWS]))
     g = per.join(F.broadcast(layout), "series_id")
     mtu_hdr = F.concat(F.array(F.lit("MTU")), F.transform(F.sequence(F.lit(1), F.lit(96)),
                                                           lambda i: i.cast("string")))
@@ -69,9 +72,10 @@ _A3_COLS = ["dam_price_eur_mwh", "gen_lignite_mw", "gen_gas_mw", "load_hv_mw"]
 
 
 @reg("A3_tidy_market_report", oracle([fx.SQL_SLOTS, """days AS (
-  SELECT CAST(ts AS DATE) AS day, max(CAST(series_id = 'click' AS INTEGER)) AS has_sell_price
+  SELECT CAST(ts AS DATE) AS day, max(CAST(series_id = 'click' AS INTEGER)) AS has_sell_price,
+    max(CAST(series_id IN ('click', 'view') AS INTEGER)) AS has_price
   FROM slots GROUP BY 1),
-mtus AS (SELECT day, has_sell_price, strftime(day, '%Y%m%d') || '_EL-DAM_ResultsSummary_EN_v01.xlsx' AS file,
+mtus AS (SELECT day, has_sell_price, has_price, strftime(day, '%Y%m%d') || '_EL-DAM_ResultsSummary_EN_v01.xlsx' AS file,
                 CAST(day AS TIMESTAMP) + i * INTERVAL 15 MINUTE AS ts FROM days, range(96) r(i))"""], """
 SELECT m.file, m.ts, CASE WHEN m.has_sell_price = 1 THEN c.price ELSE v.price END AS dam_price_eur_mwh,
   e.price AS gen_lignite_mw, p.price AS gen_gas_mw, s.price AS load_hv_mw
@@ -80,7 +84,8 @@ LEFT JOIN slots c ON c.series_id = 'click' AND c.ts = m.ts
 LEFT JOIN slots v ON v.series_id = 'view' AND v.ts = m.ts
 LEFT JOIN slots e ON e.series_id = 'error' AND e.ts = m.ts
 LEFT JOIN slots p ON p.series_id = 'purchase' AND p.ts = m.ts
-LEFT JOIN slots s ON s.series_id = 'signup' AND s.ts = m.ts""", _A3_COLS))
+LEFT JOIN slots s ON s.series_id = 'signup' AND s.ts = m.ts
+WHERE m.has_price = 1""", _A3_COLS))
 def a3(spark, d):
     t = reports.tidy_market_report(report_cells(spark, d))
     return round_doubles(t.select("file", "ts", *_A3_COLS))
@@ -97,7 +102,7 @@ _A5_COLS = [f"{z}_value_mean" for z in ZONES]
     _A5_COLS))
 def a5(spark, d):
     ev = fx.table(spark, d, "events")
-    hourly = ev.groupBy(F.col("event_type").alias("city"), F.to_date("ts").alias("day"),
+    hourly = ev.groupBy(fx.known_series(F.col("event_type"), ZONES).alias("city"), F.to_date("ts").alias("day"),
                         F.window("ts", "1 hour").start.alias("hts")).agg(F.avg("value").alias("v"))
     per = hourly.groupBy("city", "day").agg(F.array_sort(F.collect_list(F.struct("hts", "v"))).alias("a"))
     payload = F.to_json(F.struct(F.struct(
@@ -109,13 +114,18 @@ def a5(spark, d):
 
 
 @reg("A7_normalize_grid_feed", oracle([fx.SQL_MARKET],
-     "SELECT ts, solar_mw AS forecast_solar_mw, wind_mw AS forecast_wind_onshore_mw FROM market "
-     "WHERE series_id = 'click'", ["forecast_solar_mw", "forecast_wind_onshore_mw"]))
-def a7(spark, d, zone: str = "click"):
-    """One zone's forecast feed with provider-style names, renamed."""
-    m = fx.market_grid(spark, d).filter(F.col("series_id") == zone)
-    raw = m.select("ts", F.col("solar_mw").alias("Solar"), F.col("wind_mw").alias("Wind Onshore"))
-    return round_doubles(feeds.normalize_grid_feed(raw, "forecast"))
+     "SELECT series_id, ts, solar_mw AS forecast_solar_mw, wind_mw AS forecast_wind_onshore_mw, load_mw AS load_forecast_mw, "
+     "price AS gen_hydro_river_mw FROM market", ["forecast_solar_mw", "forecast_wind_onshore_mw", "load_forecast_mw", "gen_hydro_river_mw"]))
+def a7(spark, d):
+    """Every zone's forecast, load and generation feeds with provider-style
+    names, renamed."""
+    m = fx.market_grid(spark, d)
+    keys = ["series_id", "ts"]
+    forecast = m.select(*keys, F.col("solar_mw").alias("Solar"), F.col("wind_mw").alias("Wind Onshore"))
+    load = m.select(*keys, F.col("load_mw").alias("Forecasted Load"))
+    made = m.select(*keys, F.col("price").alias("('Hydro', 'River')"))
+    named = [feeds.normalize_grid_feed(x, kind, keys=("series_id",)) for x, kind in ((forecast, "forecast"), (load, "load"), (made, "generation"))]
+    return round_doubles(named[0].join(named[1], keys).join(named[2], keys))
 
 
 @reg("A11_write_snapshots", oracle([fx.SQL_MARKET], """
@@ -131,28 +141,31 @@ def a11(spark, d):
     full = windows.add_lags_rolls(m, "price", gate_close=False)
     realistic = windows.add_lags_rolls(m, "price", gate_close=True)
     clean = windows.lag_realized(realistic, ["load_mw", "solar_mw", "wind_mw"], 96)
-    path = scratch_path(spark, "snapshots")
+    path = scratch_path(spark, f"snapshots/{uuid.uuid4().hex[:12]}")
     reports.write_snapshots({"features": full, "features_realistic": realistic, "features_clean": clean}, path)
     back = spark.read.parquet(f"{path}/features_clean")
     return round_doubles(back.select("series_id", "ts", "delivery_date", "price", "price_lag96",
                                      "load_mw_lag96", "cloud_pct"))
 
 
-@reg("A12_write_reports")
+@reg("A12_write_reports", oracle([], """
+SELECT CAST(day AS VARCHAR) AS date, total_perfect, total_realized FROM (
+  SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS total_perfect, count(DISTINCT o_custkey) AS total_realized
+  FROM orders GROUP BY 1) x"""))
 def a12(spark, d):
-    """Summary JSON + daily CSV + per-day folders of the capture table."""
-    from tidewatt.operators import metrics
-    from tidewatt.plans.q_metrics import capture_days
-    daily = capture_days(spark, d)
-    path = scratch_path(spark, "reports")
-    reports.write_reports(metrics.capture_summary(daily), daily, path)
-    return spark.read.option("header", True).option("inferSchema", False).csv(f"{path}/daily")
+    """Summary JSON, daily CSV and per-day folders of a daily table (orders
+    and ordering customers a day); the per-day folders are read back."""
+    daily = fx.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
+        F.count(F.lit(1)).alias("total_perfect"), F.count_distinct("o_custkey").alias("total_realized"))
+    path = scratch_path(spark, f"reports/{uuid.uuid4().hex[:12]}")
+    reports.write_reports(daily.agg(F.sum("total_perfect").alias("orders")), daily, path)
+    back = spark.read.option("header", True).schema("total_perfect long, total_realized long, date string").csv(f"{path}/by_day")
+    return back.select("date", "total_perfect", "total_realized")
 
 
 @reg("F4_append_audit", oracle([], "SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1"))
 def f4(spark, d):
     """Insert-only audit log: append the audit rows to a fresh log, read it back."""
-    import uuid
     path = scratch_path(spark, f"audit_log/{uuid.uuid4().hex[:12]}")
     tables.append_audit(fx.audit_rows(spark, d), path)
     return spark.read.parquet(path).groupBy("action").agg(F.count(F.lit(1)).alias("n"))

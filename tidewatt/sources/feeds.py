@@ -50,11 +50,12 @@ def scan_latest(spark: SparkSession, paths, keys=(KEY, "ts"), fmt: str = "parque
 
 
 def latest_version(files: DataFrame, name: str = "file") -> DataFrame:
-    """A4: newest ``_vN`` per (report date, document type) from file names."""
-    f = files.withColumns({
-        "report_date": F.to_date(F.regexp_extract(name, REPORT_DATE_RE, 1), "yyyyMMdd"),
+    """A4: newest ``_vN`` per (report date, document type) from file names;
+    names of any other form, or without a real date, are left out."""
+    f = files.where(F.col(name).rlike(REPORT_TYPE_RE) & F.col(name).rlike(REPORT_VERSION_RE)).withColumns({
+        "report_date": F.try_to_date(F.regexp_extract(name, REPORT_DATE_RE, 1), "yyyyMMdd"),
         "doc_type": F.regexp_extract(name, REPORT_TYPE_RE, 1),
-        "version": F.regexp_extract(name, REPORT_VERSION_RE, 1).cast("int")})
+        "version": F.regexp_extract(name, REPORT_VERSION_RE, 1).try_cast("int")}).where("report_date is not null")
     w = Window.partitionBy("report_date", "doc_type").orderBy(F.col("version").desc(), F.col(name).desc())
     return f.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk")
 
@@ -88,12 +89,13 @@ def merge_daily_fuels(gas: DataFrame, carbon: DataFrame, day: str = "day") -> Da
     return both.select(day, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in vals])
 
 
-def normalize_grid_feed(df: DataFrame, kind: str, ts: str = "ts") -> DataFrame:
+def normalize_grid_feed(df: DataFrame, kind: str, ts: str = "ts", keys: tuple = ()) -> DataFrame:
     """Rename generation / forecast columns to ``gen_*_mw`` /
     ``forecast_*_mw``; the first value column of a load frame is the load;
-    multi-level names ``a.b`` / ``(a, b)`` are flattened."""
+    multi-level names ``a.b`` / ``(a, b)`` are flattened.  ``keys`` (the zone,
+    say) stay as they are."""
     out = []
-    value_cols = [c for c in df.columns if c != ts]
+    value_cols = [c for c in df.columns if c != ts and c not in keys]
     for i, c in enumerate(value_cols):
         flat = re.sub(r"[^0-9a-z]+", "_", c.lower()).strip("_")
         if kind == "load":
@@ -103,7 +105,7 @@ def normalize_grid_feed(df: DataFrame, kind: str, ts: str = "ts") -> DataFrame:
         else:
             name = f"forecast_{flat}_mw"
         out.append(F.col(f"`{c}`").alias(name))
-    return df.select(F.col(ts), *out)
+    return df.select(*keys, F.col(ts), *out)
 
 
 def neighbor_prices(long: DataFrame, zones: list[str], zone: str = "zone", ts: str = "ts",

@@ -80,7 +80,7 @@ def tidy_market_report(cells: DataFrame, date_re: str = r"^(\d{8})_") -> DataFra
     c = c.withColumn("section", F.last("sec_here", ignorenulls=True).over(w))
 
     # MTU count: a header row among the first five whose values start 1..5
-    vals = F.slice("cells", 2, 200)
+    vals = F.slice("cells", 2, F.size("cells"))
     ints = F.transform(vals, lambda v: F.trim(v).try_cast("int"))
     is_hdr = (F.col("row_idx") <= 5) & (F.slice(ints, 1, 5) == F.array(*[F.lit(i) for i in range(1, 6)]))
     mx = F.array_max(ints)
@@ -94,7 +94,10 @@ def tidy_market_report(cells: DataFrame, date_re: str = r"^(\d{8})_") -> DataFra
     first = Window.partitionBy("file", "column").orderBy("sheet_rank", "row_idx")
     rows = rows.withColumn("_rk", F.row_number().over(first)).filter("_rk = 1")
 
-    date = F.to_date(F.regexp_extract("file", date_re, 1), "yyyyMMdd")
+    # a file without a date in its name, or without any price row, is skipped
+    date = F.try_to_date(F.regexp_extract("file", date_re, 1), "yyyyMMdd")
+    priced = F.max((F.col("column") == LABELS[0][2]).cast("int")).over(Window.partitionBy("file"))
+    rows = rows.withColumn("_priced", priced).where((F.col("_priced") == 1) & date.isNotNull())
     step = F.when(F.col("mtu_count") == 96, 15).otherwise(60)
     long = rows.select("file", "column", date.alias("date"), step.alias("step"),
                        F.posexplode("values").alias("pos", "raw"))
@@ -116,4 +119,4 @@ def write_reports(summary: DataFrame, daily: DataFrame, path: str, date_col: str
     """One summary JSON document, the daily CSV and one folder per day."""
     summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")   # one summary row
     daily.write.mode("overwrite").option("header", True).csv(f"{path}/daily")
-    daily.write.mode("overwrite").partitionBy(date_col).csv(f"{path}/by_day", header=True)
+    daily.repartition(date_col).write.mode("overwrite").partitionBy(date_col).csv(f"{path}/by_day", header=True)
