@@ -35,8 +35,7 @@ def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every remaining text, and the text decoded from them."""
-    encoded = bpe.encode(docs, TOKENIZER, bpe.build_lexicon(docs, TOKENIZER))
-    return bpe.decode(encoded, TOKENIZER)
+    return bpe.encode(docs, TOKENIZER, bpe.build_lexicon(docs, TOKENIZER), decoded=True)
 
 
 STAGES = [

@@ -203,24 +203,63 @@ def naive_rows(spark, d):
         "discharge_mw": F.col("n_discharge_mw") * F.col("_scale")})
 
 
-@reg("E13_E15_realized_revenue", oracle([fx.SQL_FORECAST, fx.SQL_ASSETS, _SQL_NAIVE], """
-SELECT asset_id, day, sum(price * (n_discharge_mw - n_charge_mw) * scale * 0.25) AS realized_gross_eur,
-  sum(2.0 * (n_charge_mw + n_discharge_mw) * scale * 0.25) AS realized_degradation_eur,
-  sum(price * (n_discharge_mw - n_charge_mw) * scale * 0.25) - sum(2.0 * (n_charge_mw + n_discharge_mw) * scale * 0.25)
-    AS realized_eur,
-  sum(abs(n_discharge_mw - n_charge_mw) * scale * 0.25) AS abs_net_mwh,
-  sum(q50 * (n_discharge_mw - n_charge_mw) * scale * 0.25) / nullif(sum(abs(n_discharge_mw - n_charge_mw) * scale * 0.25), 0)
-    AS revenue_per_mwh
-FROM nv GROUP BY 1, 2""", ["realized_gross_eur", "realized_degradation_eur", "realized_eur", "abs_net_mwh",
-                           "revenue_per_mwh"]))
+# Money of a day on the naive plan, per MW of each normalised spec: legs are
+# -1, 0 or 1 MW, so sums are taken once per (zone, spec, day), in time order,
+# and the budget scale and the asset's power multiply last.
+_SQL_NAIVE_DAY = """leg AS (
+  SELECT series_id, day, ts, price, q50,
+    CASE WHEN hour(ts) >= 18 AND hour(ts) < 22 THEN 1.0 WHEN hour(ts) >= 2 AND hour(ts) < 6 THEN -1.0 ELSE 0.0 END::DOUBLE AS net
+  FROM fc),
+legs AS (
+  SELECT series_id, day, list(price * net * 0.25 ORDER BY ts) AS gross, list(q50 * net * 0.25 ORDER BY ts) AS planned,
+    count(*) FILTER (WHERE net <> 0) * 0.25 AS traded
+  FROM leg GROUP BY 1, 2),
+unit AS (
+  SELECT series_id, day, traded, list_reduce(list_prepend(0.0::DOUBLE, gross), lambda a, b: a + b) AS gross,
+    list_reduce(list_prepend(0.0::DOUBLE, planned), lambda a, b: a + b) AS planned
+  FROM legs)"""
+
+
+def naive_day(spark, d):
+    """Unit money of the naive plan per (zone, normalised spec, day), with the
+    scale that keeps it inside the cycle budget."""
+    a = dispatch.normalise_specs(fx.assets(spark, d)).withColumn("spec_id", F.xxhash64(*dispatch.SPEC_COLS))
+    h = F.hour("ts")
+    net = F.when((h >= 18) & (h < 22), 1.0).when((h >= 2) & (h < 6), -1.0).otherwise(0.0)
+    rows = fx.forecast_frame(spark, d).withColumn("net", net)
+    row = F.struct("ts", (F.col("price") * F.col("net") * 0.25).alias("gross"), (F.col("q50") * F.col("net") * 0.25).alias("planned"))
+    days = rows.groupBy("series_id", "day").agg(F.array_sort(F.collect_list(row)).alias("rows"),  # 96 slots at most
+                                                (F.count_if(F.col("net") != 0) * 0.25).alias("traded"))
+    total = lambda part: F.aggregate("rows", F.lit(0.0), lambda t, x: t + x[part])
+    unit = days.select("series_id", "day", "traded", total("gross").alias("gross"), total("planned").alias("planned"))
+    specs = a.select("series_id", "spec_id", *dispatch.SPEC_COLS).distinct()
+    budget = F.col("duration_h") * (F.col("soc_max_frac") - F.col("soc_min_frac")) * F.col("max_cycles_per_day")
+    scale = F.when((F.col("traded") > budget) & (F.col("traded") > 0), budget / F.col("traded")).otherwise(F.lit(1.0))
+    return unit.join(specs, "series_id").withColumn("scale", scale), a.select("asset_id", "series_id", "spec_id", "power_mw")
+
+
+_E13_COLS = ["realized_gross_eur", "realized_degradation_eur", "realized_eur", "abs_net_mwh", "revenue_per_mwh"]
+
+
+@reg("E13_E15_realized_revenue", oracle([fx.SQL_FORECAST, fx.SQL_ASSETS, _SQL_NAIVE_DAY], """
+SELECT asset_id, day, gross * scale * power_mw AS realized_gross_eur,
+  degradation_eur_per_mwh * traded * scale * power_mw AS realized_degradation_eur,
+  gross * scale * power_mw - degradation_eur_per_mwh * traded * scale * power_mw AS realized_eur,
+  traded * scale * power_mw AS abs_net_mwh, planned / nullif(traded, 0) AS revenue_per_mwh
+FROM (SELECT u.*, a.asset_id, a.power_mw, a.degradation_eur_per_mwh,
+        CASE WHEN traded > a.energy_mwh / a.power_mw * (a.soc_max_frac - a.soc_min_frac) * a.max_cycles_per_day AND traded > 0
+             THEN a.energy_mwh / a.power_mw * (a.soc_max_frac - a.soc_min_frac) * a.max_cycles_per_day / traded ELSE 1.0 END AS scale
+      FROM unit u JOIN assets a USING (series_id)) x""", money=_E13_COLS, money_places=9))
 def e13(spark, d):
-    s = naive_rows(spark, d)
-    sched = s.select("asset_id", "day", "ts", "charge_mw", "discharge_mw", "degradation_eur_per_mwh", "q50", "price")
-    rr = metrics.realized_revenue(sched, None, ["asset_id", "ts"], ["asset_id", "day"],
-                                  extra=metrics.revenue_per_mwh_aggs("q50"))
-    return round_doubles(rr.withColumn("revenue_per_mwh", F.col("_gross_fc") / F.nullif(F.col("abs_net_mwh"),
-                                                                                       F.lit(0.0)))
-                         .drop("_gross_fc"))
+    """E13 + E15 on the naive plan: one row of money per (zone, spec, day),
+    scaled to each asset by a join."""
+    unit, assets = naive_day(spark, d)
+    j = unit.join(assets, ["series_id", "spec_id"])
+    gross = F.col("gross") * F.col("scale") * F.col("power_mw")
+    worn = F.col("degradation_eur_per_mwh") * F.col("traded") * F.col("scale") * F.col("power_mw")
+    return round_doubles(j.select("asset_id", "day", gross.alias("realized_gross_eur"), worn.alias("realized_degradation_eur"),
+                                  (gross - worn).alias("realized_eur"), (F.col("traded") * F.col("scale") * F.col("power_mw")).alias("abs_net_mwh"),
+                                  (F.col("planned") / F.nullif(F.col("traded"), F.lit(0.0))).alias("revenue_per_mwh")), money=_E13_COLS, money_places=9)
 
 
 @reg("J5_soc_trace", oracle([fx.SQL_FORECAST, fx.SQL_ASSETS, _SQL_NAIVE], """
