@@ -304,7 +304,10 @@ def forecast_daily(frame: DataFrame, specs: DataFrame, extra_keys: list[str] = (
             (F.col(idle_col) if idle_col else F.lit(False)).alias("is_idle"),
             (F.col(horizon_col) if horizon_col else F.lit(1)).alias("horizon_days")]
     base = frame.select(*cols)
-    hg = horizon_groups(base, "horizon_days", [KEY, *extra])
+    if horizon_col is None:  # every day by itself: nothing to pair
+        hg = base.withColumnsRenamed({"day": "dj", "horizon_days": "_h"}).withColumns({"d0": F.col("dj"), "offset": F.lit(0), "_ndays": F.lit(1)})
+    else:
+        hg = horizon_groups(base, "horizon_days", [KEY, *extra])
     if discount is None:
         hg = hg.withColumn("disc", F.lit(1.0))
     else:
@@ -353,14 +356,17 @@ def backtest_daily(frame: DataFrame, assets: DataFrame, extra_keys: list[str] =
                    cyclic_penalty: float = 3.0, **kw) -> DataFrame:
     """Perfect vs forecast schedule per (zone, spec, day[, sweep keys])
     -> realized, perfect, capture (E14), idle MTUs, buy / sell MWh; days with
-    < 90 MTUs skipped.  Perfect solves run once, whatever the sweep."""
+    < 90 MTUs skipped.  Perfect solves run once, whatever the sweep.  Money
+    and energy are those of all installed power of the spec in the zone."""
     from tidewatt.session import materialize
-    specs = _spec_table(normalise_specs(assets, cyclic_penalty))
+    normal = normalise_specs(assets, cyclic_penalty)
+    specs = _spec_table(normal)
     actual = kw.get("actual_col", "price")
-    # the frame feeds the day table, the horizon pairs and the rows: cut its
-    # lineage once (reliable checkpoint in the shared folder) instead of
-    # recomputing the feature pipeline for each use
-    frame = materialize(frame)
+    if extra_keys or kw.get("horizon_col"):
+        # the frame feeds the day table, the horizon pairs and the rows: cut
+        # its lineage once (reliable checkpoint in the shared folder) instead
+        # of recomputing the feature pipeline for each use
+        frame = materialize(frame)
     if not extra_keys:
         # one grouped pass: each D0 group also solves its perfect schedule
         j = forecast_daily(frame, specs, [], with_perfect=True, **kw)
@@ -371,6 +377,9 @@ def backtest_daily(frame: DataFrame, assets: DataFrame, extra_keys: list[str] =
         perf = perfect_daily(base, specs, actual)
         fc = forecast_daily(frame, specs, list(extra_keys), **kw)
         j = fc.join(perf, [KEY, "spec_id", "day"])
+    installed = normal.withColumn("spec_id", F.xxhash64(*SPEC_COLS)).groupBy(KEY, "spec_id").agg(F.sum("power_mw").alias("installed_mw"))
+    j = j.join(installed, [KEY, "spec_id"])
+    j = j.withColumns({c: F.col(c) * F.col("installed_mw") for c in ("realized_eur", "perfect_eur", "buy_mwh", "sell_mwh")})
     return j.withColumn("capture_ratio", F.when(F.col("perfect_eur") > 0,
                                                 F.col("realized_eur") / F.col("perfect_eur")).otherwise(F.lit(0.0)))
 

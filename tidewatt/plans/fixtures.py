@@ -145,16 +145,17 @@ SQL_ZONES = """zones AS (
 
 def assets(spark: SparkSession, d: str) -> DataFrame:
     """One battery per supplier, sited in its nation's region zone.
-    power = 10 + 5 x floor(|acctbal| / 1000) MW, two-hour energy; the other
-    fields are the default spec."""
+    power = 10 + 5 x floor(|acctbal| / 1000) MW; two hours of energy, four for
+    suppliers in debit; the other fields are the default spec."""
     s = table(spark, d, "supplier")
     n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
     z = zones(spark, d)
     power = F.lit(10.0) + F.lit(5.0) * F.floor(F.abs(F.col("s_acctbal")) / 1000.0)
+    hours = F.when(F.col("s_acctbal") < 0, 4.0).otherwise(2.0)
     return (s.join(n, s.s_nationkey == n.n_nationkey)
             .join(z, F.col("n_regionkey") == z.r_regionkey)
             .select(F.col("s_suppkey").alias("asset_id"), "series_id",
-                    power.alias("power_mw"), (power * 2.0).alias("energy_mwh"),
+                    power.alias("power_mw"), (power * hours).alias("energy_mwh"),
                     F.lit(0.95).alias("eta_charge"), F.lit(0.95).alias("eta_discharge"),
                     F.lit(0.05).alias("soc_min_frac"), F.lit(0.95).alias("soc_max_frac"),
                     F.lit(0.5).alias("soc_init_frac"), F.lit(1.5).alias("max_cycles_per_day"),
@@ -165,7 +166,7 @@ SQL_ASSETS = SQL_ZONES + """,
 assets AS (
   SELECT s.s_suppkey AS asset_id, z.series_id,
          10.0 + 5.0 * floor(abs(s.s_acctbal) / 1000.0) AS power_mw,
-         (10.0 + 5.0 * floor(abs(s.s_acctbal) / 1000.0)) * 2.0 AS energy_mwh,
+         (10.0 + 5.0 * floor(abs(s.s_acctbal) / 1000.0)) * CASE WHEN s.s_acctbal < 0 THEN 4.0 ELSE 2.0 END AS energy_mwh,
          0.95 AS eta_charge, 0.95 AS eta_discharge, 0.05 AS soc_min_frac, 0.95 AS soc_max_frac,
          0.5 AS soc_init_frac, 1.5 AS max_cycles_per_day, 2.0 AS degradation_eur_per_mwh
   FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey

@@ -289,6 +289,28 @@ def j4(spark, d):
     return round_doubles(dispatch.check_schedule(s))
 
 
+# J4 on the naive plan, whose stated SoC is held inside the bounds: the plan
+# ignores the battery's level, so the check has something to find.
+@reg("J4_check_schedule_naive_plan", oracle([fx.SQL_FORECAST, fx.SQL_ASSETS, _SQL_NAIVE, """tr AS (
+  SELECT asset_id, day, ts, power_mw, energy_mwh AS e, n_charge_mw * scale AS c, n_discharge_mw * scale AS x,
+    0.5 * energy_mwh + sum((0.95 * n_charge_mw * scale - n_discharge_mw * scale / 0.95) * 0.25)
+      OVER (PARTITION BY asset_id, day ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS trace
+  FROM nv),
+pd AS (
+  SELECT asset_id, day, count(*) FILTER (WHERE c > power_mw + 1e-6 OR x > power_mw + 1e-6) AS power_v,
+    count(*) FILTER (WHERE abs(least(greatest(trace, 0.05 * e), 0.95 * e) - trace) > 1e-6 * greatest(e, 1.0)) AS bal_v,
+    count(*) FILTER (WHERE c > 1e-6 AND x > 1e-6) AS mode_v, sum((c + x) * 0.25) AS thr, first(2.0 * 1.5 * e) AS cap
+  FROM tr GROUP BY 1, 2)"""], """
+SELECT asset_id, CAST(sum(power_v) AS BIGINT) AS power_violations, CAST(0 AS BIGINT) AS soc_violations,
+  CAST(sum(bal_v) AS BIGINT) AS balance_violations, CAST(sum(mode_v) AS BIGINT) AS mode_violations,
+  count(*) FILTER (WHERE thr > cap + 1e-6) AS throughput_violations, sum(thr) AS throughput_mwh, count(*) AS days
+FROM pd GROUP BY 1""", ["throughput_mwh"]))
+def j4_naive(spark, d):
+    s = dispatch.soc_trace(naive_rows(spark, d))
+    held = F.least(F.greatest("soc_trace_mwh", F.col("soc_min_frac") * F.col("energy_mwh")), F.col("soc_max_frac") * F.col("energy_mwh"))
+    return round_doubles(dispatch.check_schedule(s.withColumn("soc_mwh", held).drop("soc_trace_mwh")))
+
+
 @reg("E11_dispatch_kpis")
 def e11(spark, d):
     f = dispatch_frame(spark, d)

@@ -517,9 +517,26 @@ def d16(spark, d):
     return c.select("key_id", "call_id", "ts", "n_prev", (F.col("n_prev") < F.col("rate_limit")).alias("accepted"))
 
 
-@reg("D16_rate_limit_exact")
+# D16 / H3 (accepted-only rule) at a limit that turns a good part of the calls
+# away.  The oracle walks each key's calls one by one, carrying the accepted
+# times that are still in the window.
+LIMIT, LIMIT_SECONDS = 2, 86400
+SQL_LIMIT = f"""WITH RECURSIVE {fx.SQL_CALLS},
+c AS (SELECT key_id, ts, call_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY key_id ORDER BY ts, call_id) AS n FROM calls),
+walk AS (
+  SELECT key_id, ts, call_id, us, n, true AS accepted, 0 AS retry_after, [us] AS taken FROM c WHERE n = 1
+  UNION ALL
+  SELECT key_id, ts, call_id, us, n, len(open) < {LIMIT},
+    CASE WHEN len(open) < {LIMIT} THEN 0 ELSE CAST(greatest(1, (open[1] + {LIMIT_SECONDS * 1_000_000} - us) // 1000000) AS INTEGER) END,
+    CASE WHEN len(open) < {LIMIT} THEN list_append(open, us) ELSE open END
+  FROM (SELECT c.*, list_filter(w.taken, lambda t: t >= c.us - {LIMIT_SECONDS * 1_000_000}) AS open
+        FROM walk w JOIN c ON c.key_id = w.key_id AND c.n = w.n + 1) x)
+SELECT key_id, ts, call_id, accepted, retry_after FROM walk"""
+
+
+@reg("D16_rate_limit_exact", SQL_LIMIT)
 def d16_exact(spark, d):
-    return windows.rate_limit_exact(fx.api_calls(spark, d), max_requests=3, window_seconds=3600)
+    return windows.rate_limit_exact(fx.api_calls(spark, d), LIMIT, LIMIT_SECONDS)
 
 
 # A1: keep the latest raw row per (series, slot).

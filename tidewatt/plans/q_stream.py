@@ -1,11 +1,12 @@
-"""Registered queries: streaming twins (H1-H5), rows-only; the H2 batch twin
-carries the SQL check (q_core) and tests/test_streaming.py asserts stream =
+"""Registered queries: streaming twins (H1-H5).  Only the dispatch KPI (H4)
+has no SQL form; its gate has.  tests/test_streaming.py asserts stream =
 batch."""
 
 from __future__ import annotations
 
 from tidewatt.functions.columns import round_doubles
 from tidewatt.plans import fixtures as fx
+from tidewatt.plans.q_metrics import LIMIT, LIMIT_SECONDS, SQL_LIMIT
 from tidewatt.plans.sqlutil import oracle
 from tidewatt.streaming import jobs
 
@@ -43,14 +44,23 @@ def h2s(spark, d):
     return round_doubles(jobs.stream_windows(spark, d, "24 hours", "15 minutes", watermark="1 day"))
 
 
-@reg("H3_stream_rate_limit")
+@reg("H3_stream_rate_limit", SQL_LIMIT)
 def h3(spark, d):
-    return jobs.stream_rate_limit(spark, d)
+    return jobs.stream_rate_limit(spark, d, LIMIT, LIMIT_SECONDS)
+
+
+@reg("H4_complete_days", oracle([fx.SQL_SLOTS], """
+SELECT series_id, CAST(ts AS DATE) AS day, count(price) AS n_slots FROM slots GROUP BY 1, 2
+HAVING count(price) >= 48 AND count(price) >= 0.5 * 96"""))
+def h4_gate(spark, d):
+    """The gate of H4 at a level that the sparse test feed reaches."""
+    return jobs.complete_days(fx.price_slots(spark, d), 48, 0.5)
 
 
 @reg("H4_stream_kpi")
 def h4(spark, d):
-    return round_doubles(jobs.stream_kpi(spark, d))
+    """At the gate that the sparse test feed reaches (see H4_complete_days)."""
+    return round_doubles(jobs.stream_kpi(spark, d, 48, 0.5))
 
 
 @reg("H5_stream_metering", oracle([], """

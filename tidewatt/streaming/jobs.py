@@ -175,6 +175,13 @@ def stream_rate_limit(spark: SparkSession, d: str, max_requests: int = 3, window
 
 # ------------------------------------------------------------------ KPI ----
 
+def complete_days(slots: DataFrame, min_mtus: int = 90, max_missing: float = 0.10) -> DataFrame:
+    """H4 gate: days with ``min_mtus`` observed slots and at most
+    ``max_missing`` of the 96 without one."""
+    seen = slots.groupBy("series_id", F.to_date("ts").alias("day")).agg(F.count("price").alias("n_slots"))
+    return seen.filter((F.col("n_slots") >= min_mtus) & (F.col("n_slots") >= (1 - max_missing) * 96))
+
+
 def stream_kpi(spark: SparkSession, d: str, min_mtus: int = 90, max_missing: float = 0.10) -> DataFrame:
     """H4: for each micro-batch, evaluate the days it touched once they hold
     >= 90 MTUs with <= 10 % missing slots, and append each date once."""
@@ -197,12 +204,15 @@ def stream_kpi(spark: SparkSession, d: str, min_mtus: int = 90, max_missing: flo
         since = datetime.datetime.combine(lo - datetime.timedelta(days=3), datetime.time())
         until = datetime.datetime.combine(hi + datetime.timedelta(days=1), datetime.time())
         frame = dispatch_frame(spark, d, since, until).join(days, ["series_id", "day"], "left_semi")
-        # realised prices on the aligned grid: >= 90 MTUs, <= 10 % missing
-        slots = frame.groupBy("series_id", "day").agg(F.count("price").alias("n_slots"))
-        ok = slots.filter((F.col("n_slots") >= min_mtus) & (F.col("n_slots") >= (1 - max_missing) * 96))
+        # slots that were observed, before any filling: an outage counts
+        ok = complete_days(fx.price_slots(spark, d, since, until), min_mtus, max_missing).join(days, ["series_id", "day"], "left_semi")
         bt = dispatch.backtest_daily(frame.join(ok.select("series_id", "day"), ["series_id", "day"], "left_semi"),
                                      fx.assets(spark, d))
-        rec = bt.select("series_id", "day", "perfect_eur", "realized_eur", "capture_ratio", "n_mtus").distinct()
+        # one row per series and day over all its specs
+        rec = bt.groupBy("series_id", "day").agg(F.sum("perfect_eur").alias("perfect_eur"), F.sum("realized_eur").alias("realized_eur"),
+                                                 F.max("n_mtus").alias("n_mtus"))
+        rec = rec.select("series_id", "day", "perfect_eur", "realized_eur",
+                         F.when(F.col("perfect_eur") > 0, F.col("realized_eur") / F.col("perfect_eur")).otherwise(F.lit(0.0)).alias("capture_ratio"), "n_mtus")
         log = spark.read.parquet(log_path + "/log")
         new = rec.join(log.select("series_id", "day"), ["series_id", "day"], "left_anti")
         new.write.mode("append").parquet(log_path + "/log")
