@@ -8,7 +8,8 @@ no pinball loss, so the tails are q50 plus per-hour residual quantiles
 
 from __future__ import annotations
 
-import json
+import re
+from collections import Counter
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -97,9 +98,10 @@ def fit_point(train: DataFrame, features: list[str], target: str = TARGET, weigh
 def fit_quantiles(train: DataFrame, valid: DataFrame, features: list[str], target: str = TARGET,
                   weight: str | None = None, max_iter: int = 20, seed: int = 42,
                   key=KEY, hour: str = "hour") -> tuple[PipelineModel, DataFrame]:
-    """M2: q50 model (absolute loss) + per (series, hour) residual quantiles
-    of the validation set for the 5 % / 95 % tails."""
-    model = fit_point(train, features, target, weight, max_iter, seed, loss="absolute")
+    """M2: q50 model (absolute loss, stopped early on the validation rows) +
+    per (series, hour) residual quantiles of these for the 5 % / 95 % tails."""
+    both = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
+    model = fit_point(both, features, target, weight, max_iter, seed, loss="absolute", valid_flag="_valid")
     res = model.transform(valid).withColumn("_r", F.col(target) - F.col("prediction"))
     tails = res.groupBy(key, hour).agg(F.percentile("_r", 0.05).alias("lo_shift"),
                                        F.percentile("_r", 0.95).alias("hi_shift"))
@@ -123,11 +125,12 @@ def fit_ensemble(train: DataFrame, features: list[str], seeds=(42, 7, 1337), **k
 
 
 def fit_ridge(train: DataFrame, features: list[str], target: str = TARGET, alpha: float = 1.0) -> PipelineModel:
-    """M6: median impute -> standardise -> ridge (L2 only).  Spark's
-    ``regParam`` scales the loss by 1/n, so alpha/n matches sum-of-squares
-    ridge; n comes from one count."""
-    n = max(train.count(), 1)
-    lr = LinearRegression(featuresCol="scaled", labelCol=target, regParam=alpha / n, elasticNetParam=0.0)
+    """M6: median impute -> standardise -> ridge (L2 only).  Spark scales the
+    loss by 1/n and divides the penalty by the label's deviation, so
+    ``alpha * std / n`` matches sum-of-squares ridge; both come from one
+    aggregate."""
+    n, std = train.agg(F.count(target), F.coalesce(F.stddev_samp(target), F.lit(0.0))).first()
+    lr = LinearRegression(featuresCol="scaled", labelCol=target, regParam=alpha * (std or 1.0) / max(n, 1), elasticNetParam=0.0)
     return Pipeline(stages=[imputer(features), _assembler(features),
                             StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
                             lr]).fit(train)
@@ -140,10 +143,12 @@ def evaluate(pred: DataFrame, target: str = TARGET) -> dict:
 
 
 def importance_table(spark: SparkSession, model: PipelineModel, features: list[str], top: int = 20) -> DataFrame:
-    """Gain importance, gain share and rank; top 20."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    rows = [(f, float(g)) for f, g in zip(features, imp)]
-    df = spark.createDataFrame(rows, "feature string, gain double")
+    """Gain importance, split count, gain share and rank; top 20."""
+    gbt = model.stages[-1]
+    imp = gbt.featureImportances.toArray().tolist()
+    splits = Counter(int(k) for k in re.findall(r"If \(feature (\d+) ", "".join(t.toDebugString for t in gbt.trees)))
+    rows = [(f, float(g), splits[k]) for k, (f, g) in enumerate(zip(features, imp))]
+    df = spark.createDataFrame(rows, "feature string, gain double, split int")
     w = Window.orderBy(F.col("gain").desc(), F.col("feature"))
     tot = F.sum("gain").over(Window.partitionBy(F.lit(1)))
     return (df.withColumn("gain_pct", F.col("gain") * 100.0 / F.nullif(tot, F.lit(0.0)))
@@ -163,10 +168,10 @@ def save_model(spark: SparkSession, model: PipelineModel, path: str, name: str,
 
 def load_models(spark: SparkSession, path: str, prefer: list[str]) -> dict:
     """M8: load by preference (ensemble first, then single); missing -> absent."""
-    try:
-        reg = spark.read.parquet(f"{path}/_registry").collect()
-    except Exception:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_registry")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return {}
+    reg = spark.read.parquet(f"{path}/_registry").collect()
     by_name = {r["name"]: r for r in reg}
     out = {}
     for name in prefer:
@@ -180,7 +185,3 @@ def rank_model(train: DataFrame, features: list[str], label: str = "rank_label",
     """M7: pointwise ranking head -- GBT on the within-day rank label.
     (A listwise LambdaRank learner is not part of Spark ML.)"""
     return fit_point(train, features, target=label, max_iter=max_iter, seed=seed)
-
-
-def dumps_metrics(m: dict) -> str:
-    return json.dumps({k: round(float(v), 6) for k, v in m.items()}, sort_keys=True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatt.functions import composites as cp
 from tidewatt.functions.columns import round_doubles
-from tidewatt.operators import metrics, tables, windows
+from tidewatt.operators import metrics, tables, walkforward, windows
 from tidewatt.operators import forecast as fc_ops
 from tidewatt.plans import fixtures as fx
 from tidewatt.plans.sqlutil import oracle
@@ -349,6 +349,59 @@ def k3(spark, d):
     return tables.rolling_origin_folds(fx.market_grid(spark, d))
 
 
+# P2 on the seasonal-naive forecast and the naive plan: the walk-forward chain
+# (folds, conformal shift, threshold, week, summary) end to end in SQL.
+_SQL_P2 = """ends AS (SELECT series_id, max(ts) AS end_ts FROM fc GROUP BY 1),
+folds AS (
+  SELECT * FROM (
+    SELECT series_id, CAST(i AS INTEGER) AS fold, end_ts - INTERVAL 16 DAY + i * INTERVAL 7 DAY AS fold_start,
+      least(end_ts - INTERVAL 16 DAY + (i + 1) * INTERVAL 7 DAY, end_ts + INTERVAL 1 SECOND) AS fold_end
+    FROM ends, range(3) r(i)) x WHERE fold_end >= fold_start + INTERVAL 1 DAY),
+ro AS (
+  SELECT m.*, f.fold, CASE WHEN m.ts < f.fold_start THEN 'valid' ELSE 'week' END AS role
+  FROM fc m JOIN folds f ON m.series_id = f.series_id AND m.ts >= f.fold_start - INTERVAL 7 DAY AND m.ts < f.fold_end),
+sh AS (
+  SELECT series_id, fold, quantile_cont(price - q05, 0.05) AS s05, quantile_cont(price - q50, 0.5) AS s50, quantile_cont(price - q95, 0.95) AS s95
+  FROM ro WHERE role = 'valid' GROUP BY 1, 2),
+ca AS (
+  SELECT ro.series_id, ro.fold, role, ts, day, price, (q95 + s95) - (q05 + s05) AS spread,
+    CASE WHEN hour(ts) >= 18 AND hour(ts) < 22 THEN 1.0 WHEN hour(ts) >= 2 AND hour(ts) < 6 THEN -1.0 ELSE 0.0 END::DOUBLE AS net
+  FROM ro JOIN sh USING (series_id, fold)),
+gr AS (
+  SELECT series_id, fold, unnest([0, 5, 10, 15, 20, 25, 30, 40]) AS pct,
+    unnest(quantile_cont(spread, [0.0, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40])) AS v
+  FROM ca WHERE role = 'valid' GROUP BY 1, 2),
+pgrid AS (SELECT series_id, fold, pct, CASE WHEN pct = 0 THEN 0.0 ELSE v END AS threshold FROM gr),
+tried AS (
+  SELECT series_id, fold, pct, day, sum(CASE WHEN net <> 0 AND NOT spread < threshold THEN price * net * 0.25 ELSE 0 END) AS gross,
+    count(*) FILTER (WHERE net <> 0 AND NOT spread < threshold) * 0.25 AS mwh
+  FROM ca JOIN pgrid USING (series_id, fold) WHERE role = 'valid' GROUP BY 1, 2, 3, 4),
+best AS (
+  SELECT series_id, fold, pct FROM (
+    SELECT series_id, fold, pct, round(sum((gross - 2.0 * mwh) * least(1.0, coalesce(2.7 / nullif(mwh, 0), 1.0))), 6) AS total FROM tried GROUP BY 1, 2, 3) x
+  QUALIFY row_number() OVER (PARTITION BY series_id, fold ORDER BY total DESC, pct) = 1),
+wk AS (
+  SELECT ca.series_id, ca.fold, day, first(pct) AS pct, first(threshold) AS threshold,
+    sum(CASE WHEN net <> 0 AND NOT spread < threshold THEN price * net * 0.25 ELSE 0 END) AS gross,
+    count(*) FILTER (WHERE net <> 0 AND NOT spread < threshold) * 0.25 AS mwh,
+    sum(CASE WHEN net <> 0 AND price * net * 0.25 > 0.5 THEN price * net * 0.25 - 0.5 ELSE 0 END) AS top,
+    count(*) FILTER (WHERE net <> 0 AND price * net * 0.25 > 0.5) * 0.25 AS top_mwh, count(*) FILTER (WHERE spread < threshold) AS idle
+  FROM ca JOIN best USING (series_id, fold) JOIN pgrid USING (series_id, fold, pct) WHERE role = 'week' GROUP BY 1, 2, 3),
+res AS (
+  SELECT series_id, fold, count(*) AS n_days, sum((gross - 2.0 * mwh) * least(1.0, coalesce(2.7 / nullif(mwh, 0), 1.0))) AS realized_eur,
+    sum(top * least(1.0, coalesce(2.7 / nullif(top_mwh, 0), 1.0))) AS perfect_eur, CAST(sum(idle) AS BIGINT) AS idle_mtus,
+    first(pct) AS pct, first(threshold) AS threshold
+  FROM wk GROUP BY 1, 2)"""
+
+
+@reg("P2_walkforward_naive", oracle([fx.SQL_FORECAST, _SQL_P2], """
+SELECT *, CASE WHEN perfect_eur > 0 THEN realized_eur / perfect_eur ELSE 0.0 END AS capture_ratio FROM res""",
+     ["realized_eur", "perfect_eur", "capture_ratio", "threshold"]))
+def p2_naive(spark, d):
+    f = fx.forecast_frame(spark, d)
+    return round_doubles(walkforward.naive_walkforward(f, tables.walkforward_folds(f)))
+
+
 # per-fold week results concatenated.
 @reg("F7_union_folds", oracle([fx.SQL_FORECAST, """ends AS (SELECT series_id, max(ts) AS end_ts FROM fc GROUP BY 1)"""],
      " UNION ALL ".join(
