@@ -43,3 +43,28 @@ def test_queries_return_the_contract(spark, name):
     if not name.startswith("op1_"):
         table = "pages" if name.startswith("op9") else "documents"
         assert found.count() == common.read_table(spark, SMALL, table).count()
+
+
+def test_digests_of_personal_data(spark):
+    import hashlib
+    texts = {r.doc_id: r.text for r in common.read_table(spark, SMALL, "documents").collect()}
+    kinds = ["email", "ip", "card", "phone"]
+    for r in queries.op2_skip_chain_pii(spark, SMALL).collect():
+        spans = test_pii.plain(texts[r.doc_id])
+        named = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
+        assert r.base_sha256 == hashlib.sha256(named.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == j for _, k, _ in spans) for j in range(4)]
+        every = [x for x in r.spans.split(",") if x]
+        assert set(named.split(",")) - {""} <= set(every)
+        assert every == sorted(every, key=lambda x: (int(x.split(":")[1]), kinds.index(x.split(":")[0])))
+
+
+def test_digests_of_tokens(spark):
+    import hashlib
+
+    import numpy as np
+    texts = {r.doc_id: r.text for r in common.read_table(spark, SMALL, "documents").collect()}
+    for r in queries.op7_transducer_bpe(spark, SMALL).collect():
+        ids = test_bpe.LIBRARY.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(test_bpe.LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest()

@@ -22,7 +22,8 @@ def op2_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.transform(base, lambda x: F.struct(x["starts"].alias("start"), x["kinds"].alias("kind"), x["ends"].alias("end")))
     kinds = F.array(*map(F.lit, pii.KINDS))
     named = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kinds[x["kind"]], x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("kinds", lambda x, k=k: x == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    number = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long")
+    counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(named(base), 256).alias("base_sha256"),
                         named(F.array_sort(F.concat(base, "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
