@@ -8,15 +8,15 @@ A document's set holds its distinct 5-word shingles, by 64-bit hash.
 * Rows are dealt into tiles by token and size band (sizes within 1.25 of each
   other); a large tile is cut into slices and dealt out by pairs of slices.
   Inside a tile, hashed bitmaps bound each pair's overlap from above by bit
-  counts.  A tile tells a spanning forest of the pairs that could link, never
-  all of them.  The components of these edges hold every link: pairs in
+  counts.  A tile tells which rows such pairs join, as stars, never all
+  pairs.  The components of these edges hold every link: pairs in
   different ones are proven apart.  A first round over each row's two lowest
   tokens joins near copies, so the second needs only the tokens whose rows
   still lie in several components.
 * Each component's sets then meet once, whole, in tiles of the same kind, with
   wider bitmaps and, for pairs that these can't rule out, exact sorted-array
   intersection.  Pairs that a tile has already connected are skipped, and
-  again only a spanning forest of the links is told.
+  again only stars of joined rows are told.
 
 So a group of thousands of near copies or near misses costs bit counts for its
 pairs, but rows only in proportion to its members.
@@ -102,10 +102,12 @@ def folded(bits: list[bytes]) -> np.ndarray:
 
 
 def forest(sizes: np.ndarray, maps: np.ndarray, home: np.ndarray, part: np.ndarray, low: int, high: int, group: np.ndarray, test=None) -> list[tuple[int, int]]:
-    """Spanning edges, by place, of the tile's pairs that could link or, with
-    ``test``, that it accepts.  Rows come by size.  A pair needs a home row, a
-    row from slice ``low`` and one from ``high``, and different groups."""
-    group, out = group.copy(), []
+    """Connects the tile's rows, by place, over the pairs that could link or,
+    with ``test``, that it accepts.  Rows come by size.  A pair needs a home
+    row, a row from slice ``low`` and one from ``high``, and different groups.
+    Every set of groups that this joins is told as a star: the first row of
+    its first group with the first rows of the others."""
+    before, group = group, group.copy()
     last = np.searchsorted(sizes, sizes * 100 // PERCENT, "right")
     for k in range(len(sizes)):
         j = np.arange(k + 1, last[k])
@@ -120,13 +122,15 @@ def forest(sizes: np.ndarray, maps: np.ndarray, home: np.ndarray, part: np.ndarr
         j, need = j[most >= need], need[most >= need]
         most = sizes[j] - np.bitwise_count(maps[j] & ~maps[k]).sum(1).astype(np.int64)
         j, most = j[most >= need], most[most >= need]
-        if test is None:
-            j = j[np.unique(group[j], return_index=True)[1]]
-        for other in j[np.argsort(-most[:len(j)], kind="stable")] if test else j:
+        # without a test one pair a group is enough; with one, likely pairs first
+        order = np.unique(group[j], return_index=True)[1] if test is None else np.argsort(-most, kind="stable")
+        for other in j[order]:
             if group[other] != group[k] and (test is None or test(k, other)):
-                out.append((k, int(other)))
                 group[group == group[other]] = group[k]
-    return out
+    firsts = np.unique(before, return_index=True)[1]
+    firsts.sort()
+    root: dict[int, int] = {}
+    return [(root[g], k) for k, g in zip(firsts.tolist(), group[firsts].tolist()) if root.setdefault(g, k) != k]
 
 
 def dealt(rows: DataFrame, group: str, banded) -> DataFrame:
@@ -212,7 +216,7 @@ def possible_edges(tokens: DataFrame, light: DataFrame, labels: DataFrame | None
 
 
 def exact_links(docs: DataFrame, light: DataFrame, labels: DataFrame) -> DataFrame:
-    """Spanning links of each component of possible links."""
+    """Stars of linked rows inside each component of possible links."""
     members = common.store(labels.withColumnRenamed("node", "row").join(light.drop("bits"), "row"), "members")
     sieve = docs.sparkSession.sparkContext.broadcast(common.BitTable.of(members, "key"))
 
