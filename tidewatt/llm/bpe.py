@@ -32,9 +32,10 @@ from . import common
 # White space and the word pattern of the tokenizer file.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+NONE = 1 << 62
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 #: Pieces and words whose ids an encoder remembers.
-MEMO = 150_000
+MEMO = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -56,10 +57,13 @@ class Merger:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.end = model.get("end_of_word_suffix") or ""
-        self.rank = {tuple(pair): k for k, pair in enumerate(model["merges"])}
+        end = model.get("end_of_word_suffix") or ""
+        letters = byte_letters()
+        self.inner = [self.vocab[x] for x in letters]
+        self.last = [self.vocab[x + end] for x in letters]
+        # two ids, as one number: the merge's rank and the id that it makes
+        self.pairs = {self.vocab[x] << 20 | self.vocab[y]: k << 20 | self.vocab[x + y] for k, (x, y) in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.letters = byte_letters()
         size = 1 + max([*self.vocab.values(), *self.special.values()])
         self.tokens = [b""] * size
         for token, k in [*self.vocab.items(), *self.special.items()]:
@@ -84,6 +88,8 @@ class Merger:
         return text.split() if not SEPARATORS.search(text) else WORD.findall(text)
 
     def words(self, chunk: str) -> list[str]:
+        if chunk.isascii() and chunk.isalpha():  # one run of letters
+            return [chunk]
         return [chunk] if chunk[0] == "\0" and chunk[1:] in self.special else WORD.findall(chunk)
 
     @staticmethod
@@ -98,25 +104,23 @@ class Merger:
     def merge(self, word: str) -> list[int]:
         if word[0] == "\0" and word[1:] in self.special:
             return [self.special[word[1:]]]
-        parts = [self.letters[b] for b in word.encode()]
-        parts[-1] += self.end
-        rank, none = self.rank, len(self.rank)
-        while len(parts) > 1:
-            ranks = [rank.get(pair, none) for pair in zip(parts, parts[1:])]
-            best = min(ranks)
-            if best == none:
+        raw, pairs = word.encode(), self.pairs
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        ranks = [pairs.get(x << 20 | y, NONE) for x, y in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)  # lowest rank, leftmost place
+            if best == NONE:
                 break
-            left, right = parts[ranks.index(best):][:2]
-            merged, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == left and parts[k + 1] == right:
-                    merged.append(left + right)
-                    k += 2
-                else:
-                    merged.append(parts[k])
-                    k += 1
-            parts = merged
-        return [self.vocab[p] for p in parts if p in self.vocab]
+            k = ranks.index(best)
+            made = best & 0xFFFFF
+            ids[k:k + 2] = [made]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = pairs.get(ids[k - 1] << 20 | made, NONE)
+            if k < len(ranks):
+                ranks[k] = pairs.get(made << 20 | ids[k + 1], NONE)
+        return ids
 
 
 # --- transducer -----------------------------------------------------------------
@@ -273,17 +277,24 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.seen: dict[str, bytes] = {}
 
-    def word(self, word: str) -> bytes:
+    def ids(self, word: str) -> bytes:
         known = self.lexicon.get(word.encode()) if self.lexicon else None
         ids = self.merger.merge(word) if known is None else known
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(self, word: str) -> bytes:
+        out = self.ids(word)
         if len(self.seen) >= MEMO:
             self.seen.clear()
         self.seen[word] = out
         return out
 
     def piece(self, piece: str) -> bytes:
-        out = b"".join([self.seen.get(w) or self.word(w) for w in self.merger.words(piece)])
+        words = self.merger.words(piece)
+        if len(words) == 1:
+            out = self.seen.get(words[0]) or self.ids(words[0])
+        else:  # the same word with other marks around it
+            out = b"".join([self.seen.get(w) or self.word(w) for w in words])
         if len(self.memo) >= MEMO:
             self.memo.clear()
         self.memo[piece] = out
