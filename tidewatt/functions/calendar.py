@@ -27,13 +27,14 @@ def local_to_utc(ts, zone: str = MARKET_ZONE) -> Column:
     return F.to_utc_timestamp(col_(ts).cast("timestamp"), zone).cast("timestamp_ntz")
 
 
-def localize(df: DataFrame, ts: str = "ts", keys: tuple = ("series_id",), order: str | None = None,
+def localize(df: DataFrame, ts: str = "ts", keys: tuple = ("series_id",), *, order: str,
              zone: str = MARKET_ZONE, out: str = "ts_utc") -> DataFrame:
     """A2: naive market-local wall times -> UTC instants.
 
     * repeated autumn hour: the first pass of a local time is summer time,
-      the second (by ``order``, default the row's arrival id) winter time --
-      a ``row_number`` over (keys, local ts) picks the pass;
+      the second (by ``order``, the row's place in its feed) winter time -- a
+      ``row_number`` over (keys, local ts) picks the pass, so ``keys`` must
+      name the file where several files may repeat a row;
     * spring gap: a non-existent local time moves forward to the first valid
       local time after the gap."""
     t = F.col(ts)
@@ -41,7 +42,7 @@ def localize(df: DataFrame, ts: str = "ts", keys: tuple = ("series_id",), order:
     back = F.from_utc_timestamp(utc, zone).cast("timestamp_ntz")
     gap_fix = F.to_utc_timestamp((F.date_trunc("hour", t.cast("timestamp")) + F.expr("INTERVAL 1 HOUR")), zone)
     base = F.when(back != t, gap_fix).otherwise(utc)
-    w = Window.partitionBy(*keys, ts).orderBy(F.col(order) if order else F.monotonically_increasing_id())
+    w = Window.partitionBy(*keys, ts).orderBy(order)
     second_pass = F.row_number().over(w) == 2
     # an ambiguous local time resolves to the earlier (summer) offset; the
     # second pass is one hour later in UTC

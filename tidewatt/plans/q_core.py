@@ -184,3 +184,22 @@ def a2(spark, d):
     loc = cal.utc_to_local("ts")
     return s.select("series_id", F.col("ts").alias("ts_utc"), loc.alias("ts_local"),
                     cal.local_to_utc("ts").alias("ts_local_as_utc"), F.to_date(loc).alias("local_day"))
+
+
+# A2 over the days of both clock changes: the full grid (so that both passes of
+# the repeated hour are there) moved to March and October, written as naive
+# local times by two files each, and localized again.
+SHIFTS = (70, 285)  # days from January 2024 to the changes of 31 March and 27 October
+
+
+@reg("A2_localize_clock_changes", oracle([fx.SQL_SLOTS, fx.SQL_GRID], " UNION ALL ".join(
+    f"SELECT series_id, '{s}-{k}' AS file, ts + INTERVAL {s} DAY AS ts_utc, timezone('Europe/Athens', timezone('UTC', ts + INTERVAL {s} DAY)) AS ts_local FROM grid"
+    for s in SHIFTS for k in (1, 2))))
+def a2_changes(spark, d):
+    s = fx.market_grid(spark, d).select("series_id", "ts")
+    files = F.array(*(F.struct(F.lit(f"{n}-{k}").alias("file"), F.lit(n).alias("days")) for n in SHIFTS for k in (1, 2)))
+    moved = s.select("series_id", "ts", F.explode(files).alias("f")).select(
+        "series_id", F.col("f.file").alias("file"), (F.col("ts") + F.make_dt_interval(F.col("f.days"))).alias("seen"))
+    naive = moved.withColumn("ts_local", cal.utc_to_local("seen"))
+    out = cal.localize(naive, "ts_local", ("series_id", "file"), order="seen")
+    return out.select("series_id", "file", "ts_utc", "ts_local")

@@ -355,6 +355,17 @@ def k4(spark, d):
     return round_doubles(best.join(g, ["series_id", "pct"]))
 
 
+def sweep_conclusion(summary, point):
+    """Marks each zone's best point by mean capture and by EUR (ties: the
+    lowest) and adds the EUR gained over the lowest point.  A zone has as many
+    rows as the sweep has points."""
+    zone = Window.partitionBy("series_id")
+    best = lambda metric: F.max_by(point, F.struct(metric, -F.col(point))).over(zone)
+    return summary.withColumns({
+        "best_by_capture": F.col(point) == best("mean_capture"), "best_by_eur": F.col(point) == best("total_realized_eur"),
+        "delta_eur": F.col("total_realized_eur") - F.min_by("total_realized_eur", point).over(zone)})
+
+
 ALPHAS = [round(0.1 * i, 1) for i in range(11)]
 
 
@@ -365,7 +376,7 @@ def k5(spark, d):
     fa = f.withColumn("alpha", F.explode(F.array(*[F.lit(x) for x in ALPHAS])))   # 11-point grid
     bt = dispatch.backtest_daily(fa, fx.assets(spark, d), extra_keys=["alpha"], idle_col="is_idle",
                                  horizon_col="h", discount=("alpha", 1.0))
-    return round_doubles(metrics.capture_summary(bt, ["series_id", "alpha"]))
+    return round_doubles(sweep_conclusion(metrics.capture_summary(bt, ["series_id", "alpha"]), "alpha"))
 
 
 @reg("K6_horizon_sweep")
@@ -375,7 +386,7 @@ def k6(spark, d):
     fh = f.withColumn("h", F.explode(F.sequence(F.lit(2), F.lit(7))))   # horizons 2..7
     bt = dispatch.backtest_daily(fh, fx.assets(spark, d), extra_keys=["h"], idle_col="is_idle",
                                  horizon_col="h", discount=(0.1, 1.0))
-    return round_doubles(metrics.capture_summary(bt, ["series_id", "h"]))
+    return round_doubles(sweep_conclusion(metrics.capture_summary(bt, ["series_id", "h"]), "h"))
 
 
 @reg("K7_dynamic_backtest")

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tidewatt.operators import metrics, tables, walkforward, windows
 from tidewatt.operators import forecast as fc_ops
 from tidewatt.plans import fixtures as fx
 from tidewatt.plans.sqlutil import oracle
+from tidewatt.session import scratch_path
 from tidewatt.sources import feeds
 
 Q, SQL = {}, {}
@@ -147,9 +150,8 @@ fs AS (SELECT fold, """ + _SUM_SQL + """ FROM wk GROUP BY fold)"""
 
 def weekly(spark, d):
     c = capture_days(spark, d)
-    first = c.agg(F.min("date").alias("_d0"))
-    return c.crossJoin(F.broadcast(first)).withColumn(
-        "fold", F.floor(F.datediff("date", "_d0") / 7).cast("int")).drop("_d0")
+    (first,) = c.agg(F.min("date")).first()
+    return c.withColumn("fold", F.floor(F.datediff("date", F.lit(first)) / 7).cast("int"))
 
 
 @reg("E8_fold_summary", oracle([SQL_CAPS, _SQL_FOLDS], "SELECT * FROM fs", _SUM_COLS, _MONEY))
@@ -162,9 +164,9 @@ SELECT fold, overall_capture, total_realized_eur FROM (
   SELECT *, row_number() OVER (ORDER BY overall_capture DESC, fold ASC) AS rk FROM fs) WHERE rk = 1""",
      ["overall_capture", "total_realized_eur"]))
 def e10(spark, d):
-    s = metrics.capture_summary(weekly(spark, d), ["fold"]).withColumn("_all", F.lit(1))
-    b = metrics.best_by(s, "overall_capture", ["_all"], ["fold"])
-    return round_doubles(b.select("fold", "overall_capture", "total_realized_eur"))
+    s = metrics.capture_summary(weekly(spark, d), ["fold"])
+    best = s.agg(F.max_by(F.struct("fold", "overall_capture", "total_realized_eur"), F.struct("overall_capture", -F.col("fold"))).alias("best"))
+    return round_doubles(best.where("best is not null").select("best.*"))
 
 
 @reg("D15_rolling_kpi", oracle([SQL_CAPS], """
@@ -605,6 +607,23 @@ def a1(spark, d):
     return round_doubles(out.select("series_id", F.col("slot").alias("ts"), "event_id", "value"))
 
 
+# A1 on real files: three landings of one feed, of which a later one corrects
+# some slots of the earlier ones.
+@reg("A1_scan_latest_files", oracle([fx.SQL_SLOTS], """
+SELECT series_id, ts, CASE WHEN hour(ts) = 7 THEN price + 2 WHEN hour(ts) < 8 THEN price + 1 ELSE price END AS price,
+  CASE WHEN hour(ts) = 7 THEN 'c' WHEN hour(ts) < 8 THEN 'b' ELSE 'a' END AS landing FROM slots""", ["price"]))
+def a1_files(spark, d):
+    path = scratch_path(spark, f"landings/{uuid.uuid4().hex[:12]}")
+    s = fx.price_slots(spark, d).select("series_id", "ts", "price")
+    landings = {"a": s, "b": s.where(F.hour("ts") < 8).withColumn("price", F.col("price") + 1),
+                "c": s.where(F.hour("ts") == 7).withColumns({"price": F.col("price") + 2, "note": F.lit("corrected")})}
+    for name, rows in landings.items():
+        rows.write.parquet(f"{path}/landing={name}")
+    files = feeds.read_many(spark, [f"{path}/landing={n}" for n in landings], basePath=path)
+    out = feeds.keep_latest(files, ["series_id", "ts"], [F.col("_file").desc()])
+    return round_doubles(out.select("series_id", "ts", "price", "landing"))
+
+
 # A4: newest version per (date, document type) from report file names.
 _SQL_FILES = """files AS (
   SELECT DISTINCT strftime(o_orderdate, '%Y%m%d') || '_'
