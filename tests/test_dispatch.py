@@ -108,3 +108,27 @@ def test_derating_scenarios(spark):
     assert set(out) == {"Base", "Mild Degradation", "Severe Degradation"}
     assert abs(out["Severe Degradation"].power_mw - 42.5) < 1e-9
     assert abs(out["Mild Degradation"].eta_charge - 0.95 * 0.97) < 1e-12
+
+
+def test_scenarios_stay_apart_and_kpis_scale(spark):
+    from pyspark.sql import functions as F
+
+    from tidewatt.functions import composites as cp
+    from tidewatt.operators import metrics
+    from tidewatt.plans import fixtures as fx
+    from tidewatt.plans.q_dispatch import dispatch_frame
+    d = "/root/testdata/sf0.001"
+    f = dispatch_frame(spark, d)
+    assets = cp.derate_assets(fx.assets(spark, d).limit(4)).cache()
+    s = dispatch.fleet_dispatch(f, assets, price_col="dispatch_price", idle_col="is_idle").cache()
+    check = dispatch.check_schedule(s).collect()
+    assert len(check) == assets.count() and len({r.scenario for r in check}) == 3
+    assert all(r.power_violations + r.soc_violations + r.balance_violations + r.mode_violations + r.throughput_violations == 0 for r in check)
+    a = dispatch.normalise_specs(assets)
+    k = dispatch.fleet_kpis(dispatch.spec_dispatch(f, a, price_col="dispatch_price", idle_col="is_idle"), a)
+    direct = {(r.asset_id, r.scenario): r for r in metrics.dispatch_kpis(s, ["asset_id", "scenario"]).collect()}
+    for r in k.collect():
+        other = direct[r.asset_id, r.scenario]
+        assert r.total_mtus == other.total_mtus
+        for c in ("gross_revenue_eur", "net_profit_eur", "cycles_used", "energy_traded_mwh"):
+            assert abs(r[c] - other[c]) <= 1e-6 * max(1.0, abs(other[c]))

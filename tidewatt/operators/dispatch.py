@@ -186,17 +186,24 @@ def _spec_table(assets_norm: DataFrame) -> DataFrame:
     return specs.withColumn("spec_id", F.xxhash64(*SPEC_COLS))
 
 
-def fleet_dispatch(prices: DataFrame, assets: DataFrame, price_col: str = "price",
-                   idle_col: str | None = None, cyclic_penalty: float = 0.0, price_gates: bool = False,
-                   soc_steps: int = DEFAULT_SOC_STEPS, min_mtus: int = MIN_MTUS_PER_DAY) -> DataFrame:
+def fleet_dispatch(prices: DataFrame, assets: DataFrame, cyclic_penalty: float = 0.0, **options) -> DataFrame:
     """Schedule every asset for every day of its zone's price series.
 
     ``prices``: (series_id, ts, day, <price_col>[, idle_col]).
-    ``assets``: asset_id, series_id, power_mw, energy_mwh + spec columns.
-    Returns per-asset schedule rows (asset_id, series_id, day, ts, price,
-    charge_mw, discharge_mw, net_mw, soc_mwh, is_idle)."""
+    ``assets``: asset_id, series_id, power_mw, energy_mwh + spec columns, and
+    a ``scenario`` column if they are derated (C16); it stays a key.
+    Returns per-asset schedule rows (asset_id[, scenario], series_id, day, ts,
+    price, charge_mw, discharge_mw, net_mw, soc_mwh, is_idle); the options are
+    those of ``spec_dispatch``."""
     a = normalise_specs(assets, cyclic_penalty)
-    specs = _spec_table(a)
+    return scale_to_assets(spec_dispatch(prices, a, **options), a)
+
+
+def spec_dispatch(prices: DataFrame, assets_norm: DataFrame, price_col: str = "price",
+                  idle_col: str | None = None, price_gates: bool = False,
+                  soc_steps: int = DEFAULT_SOC_STEPS, min_mtus: int = MIN_MTUS_PER_DAY) -> DataFrame:
+    """Schedules per MW of each distinct normalised spec (SCHEDULE_SCHEMA)."""
+    specs = _spec_table(assets_norm)
     p = prices.select(KEY, "ts", "day", F.col(price_col).alias("price"),
                       (F.col(idle_col) if idle_col else F.lit(False)).alias("is_idle"))
     if price_gates:   # C18 gates from the zone's mean price (one aggregate row per zone)
@@ -222,9 +229,24 @@ def fleet_dispatch(prices: DataFrame, assets: DataFrame, price_col: str = "price
                              "price": pdf["price"].to_numpy(), "charge_mw": ch, "discharge_mw": dis,
                              "soc_mwh": soc, "is_idle": pdf["is_idle"].to_numpy().astype(bool)})
 
-    sched = _spread(groups, [KEY, "spec_id", "day"]).groupBy(KEY, "spec_id", "day") \
+    return _spread(groups, [KEY, "spec_id", "day"]).groupBy(KEY, "spec_id", "day") \
         .applyInPandas(solve_group, SCHEDULE_SCHEMA)
-    return scale_to_assets(sched, a)
+
+
+def asset_keys(df: DataFrame) -> list[str]:
+    return [c for c in ("asset_id", "scenario") if c in df.columns]
+
+
+def fleet_kpis(sched: DataFrame, assets_norm: DataFrame, price: str = "price") -> DataFrame:
+    """E11 + E15 per asset[, scenario]: summed per spec on the unit schedule,
+    then scaled by power; no asset x MTU rows."""
+    from tidewatt.operators import metrics
+    a = assets_norm.withColumn("spec_id", F.xxhash64(*SPEC_COLS))
+    units = a.select(KEY, "spec_id", F.col("duration_h").alias("energy_mwh"), "degradation_eur_per_mwh").distinct()
+    unit = metrics.dispatch_kpis(sched.join(units, [KEY, "spec_id"]), [KEY, "spec_id"], price=price)
+    j = unit.join(a.select(*asset_keys(a), KEY, "spec_id", "power_mw"), [KEY, "spec_id"])
+    scaled = ("gross_revenue_eur", "degradation_eur", "net_profit_eur", "energy_traded_mwh", "abs_net_mwh", "daily_profit_eur", "annualized_revenue_eur")
+    return j.withColumns({c: F.col(c) * F.col("power_mw") for c in scaled}).drop("power_mw")
 
 
 SCHEDULE_SCHEMA_COLS = [c.split()[0] for c in SCHEDULE_SCHEMA.split(", ")]
@@ -233,11 +255,11 @@ SCHEDULE_SCHEMA_COLS = [c.split()[0] for c in SCHEDULE_SCHEMA.split(", ")]
 def scale_to_assets(sched: DataFrame, assets_norm: DataFrame) -> DataFrame:
     """Scale normalised schedules by each asset's power (exact by homogeneity)."""
     a = assets_norm.withColumn("spec_id", F.xxhash64(*SPEC_COLS)) \
-                   .select("asset_id", KEY, "spec_id", "power_mw", "energy_mwh", "degradation_eur_per_mwh",
+                   .select(*asset_keys(assets_norm), KEY, "spec_id", "power_mw", "energy_mwh", "degradation_eur_per_mwh",
                            "eta_charge", "eta_discharge", "soc_min_frac", "soc_max_frac", "soc_init_frac",
                            "max_cycles_per_day")
     j = sched.join(a, [KEY, "spec_id"])
-    return j.select("asset_id", KEY, "day", "ts", "price",
+    return j.select(*asset_keys(assets_norm), KEY, "day", "ts", "price",
                     (F.col("charge_mw") * F.col("power_mw")).alias("charge_mw"),
                     (F.col("discharge_mw") * F.col("power_mw")).alias("discharge_mw"),
                     ((F.col("discharge_mw") - F.col("charge_mw")) * F.col("power_mw")).alias("net_mw"),
@@ -385,13 +407,14 @@ def backtest_daily(frame: DataFrame, assets: DataFrame, extra_keys: list[str] =
 
 
 def check_schedule(sched: DataFrame, delta_h: float = 0.25, tol: float = 1e-6) -> DataFrame:
-    """Invariant violations per asset (all counts must be 0): power and
+    """Invariant violations per asset[, scenario] (all counts must be 0): power and
     SoC bounds, SoC balance against the J5 trace, simultaneous modes,
     daily throughput <= 2 x cycles x energy.  Limits come from the asset
     columns carried on the schedule."""
     trace = soc_trace(sched, delta_h)
     e = F.col("energy_mwh")
-    per_day = trace.groupBy("asset_id", "day").agg(
+    keys = asset_keys(sched)
+    per_day = trace.groupBy(*keys, "day").agg(
         F.sum(((F.col("charge_mw") > F.col("power_mw") + tol) | (F.col("discharge_mw") > F.col("power_mw") + tol)
                | (F.col("charge_mw") < -tol) | (F.col("discharge_mw") < -tol)).cast("int")).alias("power_v"),
         F.sum(((F.col("soc_mwh") < F.col("soc_min_frac") * e - tol)
@@ -401,7 +424,7 @@ def check_schedule(sched: DataFrame, delta_h: float = 0.25, tol: float = 1e-6) -
         F.sum(((F.col("charge_mw") > tol) & (F.col("discharge_mw") > tol)).cast("int")).alias("mode_v"),
         F.sum((F.col("charge_mw") + F.col("discharge_mw")) * delta_h).alias("thr"),
         F.first(2.0 * F.col("max_cycles_per_day") * e).alias("cap"))
-    return per_day.groupBy("asset_id").agg(
+    return per_day.groupBy(*keys).agg(
         F.sum("power_v").alias("power_violations"), F.sum("soc_v").alias("soc_violations"),
         F.sum("bal_v").alias("balance_violations"), F.sum("mode_v").alias("mode_violations"),
         F.sum((F.col("thr") > F.col("cap") + tol).cast("int")).alias("throughput_violations"),
@@ -411,6 +434,6 @@ def check_schedule(sched: DataFrame, delta_h: float = 0.25, tol: float = 1e-6) -
 def soc_trace(sched: DataFrame, delta_h: float = 0.25) -> DataFrame:
     """SoC recomputed as a running sum of eta_c*ch - dis/eta_d from the
     initial SoC of each asset-day (one running window per asset-day)."""
-    w = Window.partitionBy("asset_id", "day").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*asset_keys(sched), "day").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     step = (F.col("eta_charge") * F.col("charge_mw") - F.col("discharge_mw") / F.col("eta_discharge")) * delta_h
     return sched.withColumn("soc_trace_mwh", F.col("soc_init_frac") * F.col("energy_mwh") + F.sum(step).over(w))

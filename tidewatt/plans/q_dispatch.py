@@ -313,13 +313,37 @@ def j4_naive(spark, d):
 
 @reg("E11_dispatch_kpis")
 def e11(spark, d):
+    return round_doubles(kpis_with_uplift(spark, d, fx.assets(spark, d)))
+
+
+@reg("E11_dispatch_kpis_scenarios")
+def e11_scenarios(spark, d):
+    """The same for every derating scenario of C16."""
+    return round_doubles(kpis_with_uplift(spark, d, cp.derate_assets(fx.assets(spark, d))))
+
+
+@reg("J4_check_schedule_scenarios")
+def j4_scenarios(spark, d):
+    s = dispatch.fleet_dispatch(dispatch_frame(spark, d), cp.derate_assets(fx.assets(spark, d)), price_col="dispatch_price", idle_col="is_idle")
+    return round_doubles(dispatch.check_schedule(s))
+
+
+def kpis_with_uplift(spark, d, assets):
+    """E11 per asset[, scenario] and the uplift over the naive plan, both
+    summed per (zone, spec) and scaled to the assets."""
     f = dispatch_frame(spark, d)
-    a = fx.assets(spark, d)
-    s = dispatch.fleet_dispatch(f, a, price_col="dispatch_price", idle_col="is_idle")
-    k = metrics.dispatch_kpis(s.join(f.select("series_id", "ts", "q50"), ["series_id", "ts"])
-                              .withColumn("price", F.col("q50")), ["asset_id"])
-    naive = metrics.naive_baseline(f.join(a, "series_id"), "q50", ["asset_id"])
-    return round_doubles(metrics.uplift(k, naive, ["asset_id"]))
+    a = dispatch.normalise_specs(assets)
+    s = dispatch.spec_dispatch(f, a, price_col="dispatch_price", idle_col="is_idle")
+    k = dispatch.fleet_kpis(s.join(f.select("series_id", "ts", "q50"), ["series_id", "ts"]), a, price="q50")
+    specs = a.withColumn("spec_id", F.xxhash64(*dispatch.SPEC_COLS))
+    units = specs.select("series_id", "spec_id", *dispatch.SPEC_COLS).distinct() \
+        .withColumns({"power_mw": F.lit(1.0), "energy_mwh": F.col("duration_h")})
+    naive = metrics.naive_baseline(f.join(units, "series_id"), "q50", ["series_id", "spec_id"])
+    keys = dispatch.asset_keys(a)
+    scaled = naive.join(specs.select(*keys, "series_id", "spec_id", "power_mw"), ["series_id", "spec_id"])
+    money = [c for c in naive.columns if c.endswith("_eur")]
+    scaled = scaled.withColumns({c: F.col(c) * F.col("power_mw") for c in money}).select(*keys, *money, "naive_cycles")
+    return metrics.uplift(k.drop("spec_id", "series_id"), scaled, keys)
 
 
 @reg("J3_backtest_daily")
