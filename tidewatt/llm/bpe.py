@@ -224,7 +224,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, limit: int) -> list[str]:
     which no more than ``limit`` words have it or a larger one."""
     def count(batches):
         merger = Merger(tokenizer)
-        for batch in parts(batches, 2000):
+        for batch in common.parts(batches, 2000):
             pieces: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 if text:
@@ -318,13 +318,6 @@ def encoder_of(tokenizer: str, lexicon: str) -> Encoder:
     return _ENCODERS[tokenizer, lexicon]
 
 
-def parts(batches, rows: int = 500):
-    """Batches cut to ``rows``, so that a task holds few texts at once."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
-
-
 def texts_of(tokens: list[bytes], ids: list[bytes]) -> pa.Array:
     """The tokens' strings joined by spaces, specials kept."""
     return pa.array([b" ".join([tokens[k] for k in memoryview(x).cast("I")]).decode() for x in ids], pa.string())
@@ -338,7 +331,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str, decoded: bool = False)
 
     def run(batches):
         encoder = encoder_of(tokenizer, lexicon)
-        for batch in parts(batches):
+        for batch in common.parts(batches):
             ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, texts_of(encoder.merger.tokens, ids)] if decoded else columns, names)
@@ -351,7 +344,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """Adds ``decoded``, made of the ids alone."""
     def run(batches):
         tokens = Merger(tokenizer).tokens
-        for batch in parts(batches):
+        for batch in common.parts(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(tokens, batch.column(2).to_pylist())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

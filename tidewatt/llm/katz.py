@@ -84,7 +84,7 @@ def chunk_table(docs: DataFrame, held: object) -> DataFrame:
             return pa.RecordBatch.from_arrays([blob(words), blob(small(counts)), blob(tokens.astype(np.int32)), pa.array([ids], pa.list_(pa.int64())),
                                                pa.array([sizes], pa.list_(pa.int32())), pa.array([marks], pa.list_(pa.bool_()))], [x.split()[0] for x in CHUNKS.split(", ")])
 
-        for batch in batches:
+        for batch in common.parts(batches):
             for doc_id, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
                 words = (text or "").encode().translate(common.ASCII_LOWER).split()
                 if ids and total + len(words) > CHUNK:
