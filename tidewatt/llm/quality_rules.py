@@ -28,7 +28,7 @@ LETTERS = bytes([*range(65, 91), *range(97, 123)])
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COUNTS = [*BASE, "n_lines", "n_upper", "n_letters"]
 #: measure: (smallest spread that counts, fence below the median too)
-MEASURES = {"symbol_rate": (0.02, False), "dup_line_rate": (0.05, False), "repeat_rate": (0.03, False), "upper_rate": (0.04, False), "word_length": (0.6, True)}
+MEASURES = {"symbol_rate": (0.02, False), "dup_line_rate": (0.07, False), "repeat_rate": (0.035, False), "upper_rate": (0.04, False), "word_length": (0.8, True)}
 
 
 def repeated_words(ids: np.ndarray, width: int = 5) -> int:
