@@ -34,8 +34,9 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 NONE = 1 << 62
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
-#: Pieces and words whose ids an encoder remembers.
-MEMO = 200_000
+#: Pieces, and words with marks around them, whose ids a worker remembers from
+#: task to task: about 150 MB of each at most.
+MEMO = 600_000
 
 
 def byte_letters() -> list[str]:
@@ -88,7 +89,7 @@ class Merger:
         return text.split() if not SEPARATORS.search(text) else WORD.findall(text)
 
     def words(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isalpha():  # one run of letters
+        if chunk.isalpha():  # one run of letters
             return [chunk]
         return [chunk] if chunk[0] == "\0" and chunk[1:] in self.special else WORD.findall(chunk)
 
@@ -199,19 +200,23 @@ class Lexicon:
     def number(self, word: bytes) -> int:
         """The word's place in the sorted lexicon, -1 if it isn't there."""
         state, out = self.root, 0
-        first, labels = self.first, self.labels
+        first, labels, targets, outputs = self.first, self.labels, self.targets, self.outputs
         for byte in word:
-            low, high = first[state], first[state + 1]
-            while low < high:
-                mid = (low + high) // 2
-                if labels[mid] < byte:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == first[state + 1] or labels[low] != byte:
+            low, end = first[state], first[state + 1]
+            if end - low > 4:  # else few enough to look at in turn
+                high = end
+                while low < high:
+                    mid = (low + high) >> 1
+                    if labels[mid] < byte:
+                        low = mid + 1
+                    else:
+                        high = mid
+            while low < end and labels[low] < byte:
+                low += 1
+            if low == end or labels[low] != byte:
                 return -1
-            out += self.outputs[low]
-            state = self.targets[low]
+            out += outputs[low]
+            state = targets[low]
         return out if self.final[state] else -1
 
     def get(self, word: bytes) -> list[int] | None:
