@@ -96,6 +96,18 @@ def test_a_table_sees_files_that_land_later(spark, tmpdir_path):
     assert fx.table(spark, tmpdir_path, "events").count() == 2
 
 
+def test_a_kept_plan_sees_files_that_land_later(spark, tmpdir_path):
+    from tidewatt.plans import fixtures as fx
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    day = F.to_date("ts") < F.lit("2024-01-10")
+    events.where(day).write.parquet(f"{tmpdir_path}/events.parquet")
+    first = fx.price_slots(spark, tmpdir_path)
+    assert fx.price_slots(spark, tmpdir_path) is first
+    before = first.count()
+    events.where(~day).write.mode("append").parquet(f"{tmpdir_path}/events.parquet")
+    assert fx.price_slots(spark, tmpdir_path).count() > before
+
+
 def test_report_without_price_or_date_is_skipped(spark):
     buy = {"BUY": [["DEMAND / MTU"], ["HV LOAD"] + ["1.5"] * 24]}
     assert reports.tidy_market_report(_cells(spark, 24, buy)).count() == 0
