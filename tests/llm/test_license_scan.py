@@ -37,3 +37,13 @@ def test_long_blocks_are_looked_at_whole():
     text = "license terms " * 3000 + license_scan.TEMPLATES["MIT-text"]
     parts = license_scan.pieces(text, 0, len(text))
     assert parts[0][0] == 0 and parts[-1][1] == len(text) and all(a[1] >= b[0] for a, b in zip(parts, parts[1:]))
+
+
+@pytest.mark.parametrize("notice, name", [
+    ("All rights reserved.", "LicenseRef-reserved"), ("Copyright (c) 2021 Some Holder. All rights reserved.", "LicenseRef-reserved"),
+    ("Licensed under the MIT License", "MIT"),
+    ("Our code is available under the GNU General Public License, version 3.", "GPL-3.0"), ("You may use it under the Apache License 2.0.", "Apache-2.0"),
+    ("Distributed under the GNU GPL v3.", "GPL-3.0")])
+def test_notices_as_they_stand_in_documents(frame, prose, notice, name):
+    rows = license_scan.scan(frame([(1, f"{prose(1, 60)}\n{notice}\n{prose(2, 60)}")])).collect()
+    assert [(r.license, r.confirmed) for r in rows] == [(name, True)]

@@ -46,7 +46,29 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "LicenseRef-reserved": "Copyright <> All rights reserved.",
 }
-MARKS = re.compile(r"licen[sc]|copyright|permission|warrant|redistribut|public domain|rights reserved", re.IGNORECASE)
+#: Plain forms that stand for the same licences.
+PLAIN = {
+    "Apache-2.0": ["under the Apache License, Version 2.0", "under the Apache License 2.0", "under the Apache 2.0 License", "SPDX-License-Identifier: Apache-2.0"],
+    "MIT": ["under the MIT License", "under the terms of the MIT License", "under an MIT License", "under MIT License", "SPDX-License-Identifier: MIT"],
+    "GPL-3.0": ["under the GNU General Public License, version 3", "under the terms of the GNU General Public License, version 3", "under the GNU GPL, version 3", "under the GNU General Public License v3.0",
+                "under the GNU GPL v3", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "GPL-2.0": ["under the GNU General Public License, version 2", "under the terms of the GNU General Public License, version 2", "under the GNU GPL, version 2", "under the GNU General Public License v2.0",
+                "under the GNU GPL v2", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "LGPL-3.0": ["under the GNU Lesser General Public License, version 3", "under the GNU LGPL, version 3", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "AGPL-3.0": ["under the GNU Affero General Public License, version 3", "under the GNU AGPL, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "MPL-2.0": ["under the Mozilla Public License, v. 2.0", "under the Mozilla Public License, Version 2.0", "under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "BSD-3-Clause": ["under the BSD 3-Clause License", "under the 3-Clause BSD License", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSD-2-Clause": ["under the BSD 2-Clause License", "under the 2-Clause BSD License", "SPDX-License-Identifier: BSD-2-Clause"],
+    "ISC": ["under the ISC License", "SPDX-License-Identifier: ISC"],
+    "CC-BY-4.0": ["under CC BY 4.0", "under a Creative Commons Attribution 4.0 International License", "under the Creative Commons Attribution 4.0 International License", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-SA-4.0": ["under CC BY-SA 4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC-BY-NC-4.0": ["under CC BY-NC 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY-ND-4.0": ["under CC BY-ND 4.0", "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "CC0-1.0": ["to the public domain under CC0 1.0", "under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"],
+    "Unlicense": ["released into the public domain", "SPDX-License-Identifier: Unlicense"],
+    "LicenseRef-reserved": ["All rights reserved."],
+}
+MARKS = re.compile(r"licen[sc]|copyright|permission|warrant|redistribut|public domain|rights reserved|\b[al]?gpl|\bcc0\b|\bcc[ -]by\b", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9<>]+")
 #: Words of a piece of a block, and of the overlap between pieces.
 PIECE, OVERLAP = 2000, 500
@@ -126,15 +148,16 @@ def examine(block: str, most: float) -> tuple:
     and added, whether it is confirmed, and the differences."""
     own, best = words(block), None
     for rank, (saved, name) in enumerate(reductions(block)[:RANKED]):
-        wording = words(TEMPLATES[name])
-        found = differences(own, wording)
-        missing = sum(len(a.split()) for a, _ in found)
-        added = sum(len(b.split()) for _, b in found)
-        numbers = any(any(ch.isdigit() for ch in a + b) for a, b in found)
-        # equally few differences: the longer template explains more
-        order = (numbers, (missing + added) / len(wording), -len(wording), rank)
-        if best is None or order < best[0]:
-            best = order, (name, saved, missing, added, not numbers and missing + added <= most * len(wording), "; ".join(f"{a or '-'} > {b or '-'}" for a, b in found))
+        for text in (TEMPLATES[name], *PLAIN.get(name, [])):
+            wording = words(text)
+            found = differences(own, wording)
+            missing = sum(len(a.split()) for a, _ in found)
+            added = sum(len(b.split()) for _, b in found)
+            numbers = any(any(ch.isdigit() for ch in a + b) for a, b in found)
+            # equally few differences: the longer template explains more
+            order = (numbers, (missing + added) / len(wording), -len(wording), rank)
+            if best is None or order < best[0]:
+                best = order, (name, saved, missing, added, not numbers and missing + added <= most * len(wording), "; ".join(f"{a or '-'} > {b or '-'}" for a, b in found))
     return best[1]
 
 
