@@ -41,9 +41,17 @@ def test_long_blocks_are_looked_at_whole():
 
 @pytest.mark.parametrize("notice, name", [
     ("All rights reserved.", "LicenseRef-reserved"), ("Copyright (c) 2021 Some Holder. All rights reserved.", "LicenseRef-reserved"),
-    ("Licensed under the MIT License", "MIT"),
+    ("Licensed under the MIT License", "MIT"), ("This file is distributed under the terms of the MIT license.", "MIT"),
     ("Our code is available under the GNU General Public License, version 3.", "GPL-3.0"), ("You may use it under the Apache License 2.0.", "Apache-2.0"),
-    ("Distributed under the GNU GPL v3.", "GPL-3.0")])
+    ("Distributed under the GNU GPL v3.", "GPL-3.0"), ("// SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause")])
 def test_notices_as_they_stand_in_documents(frame, prose, notice, name):
     rows = license_scan.scan(frame([(1, f"{prose(1, 60)}\n{notice}\n{prose(2, 60)}")])).collect()
     assert [(r.license, r.confirmed) for r in rows] == [(name, True)]
+
+
+@pytest.mark.parametrize("name", ["MIT", "CC-BY-NC-4.0", "GPL-3.0", "ISC", "MIT-text"])
+def test_notices_within_long_lines(prose, name):
+    for seed in range(12):
+        for n in (400, 1000):
+            found = license_scan.examine(f"{prose(seed, n // 2)} {license_scan.TEMPLATES[name]} {prose(seed + 90, n // 2)}", 0.1)
+            assert found[0] == name and found[4]

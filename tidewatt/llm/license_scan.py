@@ -3,8 +3,7 @@
 Lines that mention licensing, and their neighbours written in licence words,
 form candidate blocks.  Each block is compressed alone and with every
 template as a zstandard raw dictionary; templates are ranked by how much
-smaller the block becomes.  The best are then compared word by word, and the
-one with the fewest differences is confirmed if they are few and none touches
+smaller the block becomes.  All are then compared word by word, and the one with the fewest differences is confirmed if they are few and none touches
 a number: versions must agree exactly.
 
 Defined results: null and empty texts have no blocks; null ids and repeated
@@ -72,8 +71,6 @@ MARKS = re.compile(r"licen[sc]|copyright|permission|warrant|redistribut|public d
 WORD = re.compile(r"[a-z0-9<>]+")
 #: Words of a piece of a block, and of the overlap between pieces.
 PIECE, OVERLAP = 2000, 500
-#: Ranked templates that are compared word by word.
-RANKED = 4
 LEVEL = 12
 
 
@@ -147,7 +144,7 @@ def examine(block: str, most: float) -> tuple:
     """Best template of a block: its name, the size reduction, words missing
     and added, whether it is confirmed, and the differences."""
     own, best = words(block), None
-    for rank, (saved, name) in enumerate(reductions(block)[:RANKED]):
+    for rank, (saved, name) in enumerate(reductions(block)):
         for text in (TEMPLATES[name], *PLAIN.get(name, [])):
             wording = words(text)
             found = differences(own, wording)
@@ -155,7 +152,7 @@ def examine(block: str, most: float) -> tuple:
             added = sum(len(b.split()) for _, b in found)
             numbers = any(any(ch.isdigit() for ch in a + b) for a, b in found)
             # equally few differences: the longer template explains more
-            order = (numbers, (missing + added) / len(wording), -len(wording), rank)
+            order = (numbers or missing + added > most * len(wording), (missing + added) / len(wording), -len(wording), rank)
             if best is None or order < best[0]:
                 best = order, (name, saved, missing, added, not numbers and missing + added <= most * len(wording), "; ".join(f"{a or '-'} > {b or '-'}" for a, b in found))
     return best[1]
