@@ -49,9 +49,35 @@ def test_notices_as_they_stand_in_documents(frame, prose, notice, name):
     assert [(r.license, r.confirmed) for r in rows] == [(name, True)]
 
 
+@pytest.mark.parametrize("notice", ["Licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under CC BY 3.0.", "The MIT has a permission form."])
+def test_other_notices_stay_unconfirmed(notice):
+    assert not any(r[6] for r in license_scan.examine_all(notice, 0.1))
+
+
+def test_every_licence_of_a_block():
+    plain = {n: license_scan.TEMPLATES[n] for n in ("MIT", "Apache-2.0", "MIT-text", "Apache-2.0-header", "LGPL-3.0", "CC-BY-SA-4.0")}
+    for glue in ("\n", " "):
+        text = glue.join([*plain.values(), *plain.values()])
+        found = license_scan.examine_all(text, 0.1)
+        assert [r[2] for r in found if r[6]] == [*plain, *plain]
+        assert [text[a:b] for a, b, *_ in found] == [*plain.values(), *plain.values()]
+    text = "Copyright 2020 A Holder\nReleased under the MIT License.\nAll rights reserved."
+    assert sorted(r[2] for r in license_scan.examine_all(text, 0.1)) == ["LicenseRef-reserved", "MIT"]
+    text = "Released under the MIT License.\nLicensed under the Some Other License, version 8.\nReleased under the BSD 2-Clause License."
+    assert [(r[2], r[6]) for r in sorted(license_scan.examine_all(text, 0.1)) if r[6]] == [("MIT", True), ("BSD-2-Clause", True)]
+    assert [text[a:b] for a, b, *r in license_scan.examine_all(text, 0.1) if not r[4]] == ["Licensed under the Some Other License, version 8."]
+
+
+def test_many_notices_in_a_block_are_quick():
+    text = "Released under the MIT License. All rights reserved. " * 3000
+    assert len(license_scan.examine_all(text, 0.1)) == 6000
+
+
 @pytest.mark.parametrize("name", ["MIT", "CC-BY-NC-4.0", "GPL-3.0", "ISC", "MIT-text"])
 def test_notices_within_long_lines(prose, name):
+    notice = license_scan.TEMPLATES[name]
     for seed in range(12):
-        for n in (400, 1000):
-            found = license_scan.examine(f"{prose(seed, n // 2)} {license_scan.TEMPLATES[name]} {prose(seed + 90, n // 2)}", 0.1)
-            assert found[0] == name and found[4]
+        for n in (400, 1000, 5000):
+            text = f"{prose(seed, n // 2)} {notice} {prose(seed + 90, n // 2)}"
+            found = [(r[2], text[r[0]:r[1]]) for r in license_scan.examine_all(text, 0.1) if r[6]]
+            assert found == [(name, notice)]

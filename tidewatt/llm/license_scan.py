@@ -1,21 +1,27 @@
 """Operator 1: licence scans by conditional compression.
 
 Lines that mention licensing, and their neighbours written in licence words,
-form candidate blocks.  Each block is compressed alone and with every
-template as a zstandard raw dictionary; templates are ranked by how much
-smaller the block becomes.  All are then compared word by word, and the one with the fewest differences is confirmed if they are few and none touches
-a number: versions must agree exactly.
+form candidate blocks.  Every wording of every template is compared word by
+word with the stretches of the block that could hold it; it is confirmed if
+the differences are few and none touches a number: versions must agree
+exactly.  The words of a confirmed stretch are cut out and the rest is
+examined again until nothing is confirmed.  What the stretch saves when it is
+compressed with the wording as a zstandard raw dictionary is its reduction.
+Lines without a confirmed stretch are compressed with every template and keep
+the one with the fewest differences, unconfirmed.
 
 Defined results: null and empty texts have no blocks; null ids and repeated
-rows give their rows each; blocks of more than PIECE words are looked at in
-overlapping pieces, all of them.
+rows give their rows each; unconfirmed runs of more than PIECE words are
+reported in overlapping pieces, all of them.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import groupby, pairwise
 
 import pyarrow as pa
 import zstandard
@@ -69,8 +75,13 @@ PLAIN = {
 }
 MARKS = re.compile(r"licen[sc]|copyright|permission|warrant|redistribut|public domain|rights reserved|\b[al]?gpl|\bcc0\b|\bcc[ -]by\b", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9<>]+")
-#: Words of a piece of a block, and of the overlap between pieces.
+PLACE = re.compile(r"[A-Za-z0-9<>]+")
+#: What may end a notice after its last word.
+TAIL = re.compile(r"[.,;:!?)\]\"'”’/]*")
+#: Words of a piece of an unconfirmed run, and of the overlap between pieces.
 PIECE, OVERLAP = 2000, 500
+#: Words that <> may stand for.
+HOLDER = 20
 LEVEL = 12
 
 
@@ -106,71 +117,166 @@ def pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
 
 
 @lru_cache(1)
-def compressors() -> dict[str, zstandard.ZstdCompressor]:
+def wordings() -> list[tuple[str, str, list[str]]]:
+    """(template's name, text, words) of every template and plain form."""
+    return [(name, t, words(t)) for name, main in TEMPLATES.items() for t in (main, *PLAIN.get(name, []))]
+
+
+@lru_cache(None)
+def compressor(text: str | None) -> zstandard.ZstdCompressor:
     kind = zstandard.DICT_TYPE_RAWCONTENT
-    return {name: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=kind)) for name, t in TEMPLATES.items()}
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=kind) if text else None)
 
 
-@lru_cache(1)
-def alone() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=LEVEL)
+def saved(data: bytes, text: str) -> float:
+    """Share of the compressed size that the dictionary ``text`` saves."""
+    return 1 - len(compressor(text).compress(data)) / len(compressor(None).compress(data))
 
 
 def reductions(block: str) -> list[tuple[float, str]]:
     """(share of the compressed size saved, template), largest first."""
     data = block.encode()
-    plain = len(alone().compress(data))
-    return sorted(((1 - len(c.compress(data)) / plain, name) for name, c in compressors().items()), key=lambda x: (-x[0], x[1]))
-
-
-def differences(block: list[str], template: list[str]) -> list[tuple[str, str]]:
-    """(wording in the template, wording in the block) wherever they differ
-    inside the stretch of the block that the template covers."""
-    steps = [s for s in SequenceMatcher(None, template, block, autojunk=False).get_opcodes()]
-    while steps and steps[0][0] == "insert":
-        steps.pop(0)
-    while steps and steps[-1][0] == "insert":
-        steps.pop()
+    return sorted(((saved(data, t), name) for name, t in TEMPLATES.items()), key=lambda x: (-x[0], x[1]))
+
+
+def compared(block: list[str | None], template: list[str]) -> tuple[list[int], list[tuple[str, str]]]:
+    """Places of the block's words that the template matches, and (wording in
+    the template, wording in the block) wherever they differ between the
+    first and the last of them."""
+    steps = SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
+    hits = [j for kind, _, _, c, d in steps if kind == "equal" for j in range(c, d)]
     out = []
     for kind, a, b, c, d in steps:
         gone = [w for w in template[a:b] if w != "<>"]
-        if kind != "equal" and (gone or "<>" not in template[a:b]):
-            out.append((" ".join(gone), " ".join(block[c:d])))
+        if hits and c > hits[-1]:  # outside the stretch: what stands for the template's words
+            d = min(d, c + b - a)
+        elif hits and d <= hits[0]:
+            c = max(c, d - b + a)
+        more = [w or "-" for w in block[c:d]]
+        if kind != "equal" and (gone or more and ("<>" not in template[a:b] or len(more) > HOLDER)):
+            out.append((" ".join(gone), " ".join(more)))
+    return hits, out
+
+
+def judged(found: list[tuple[str, str]], n: int, most: float) -> tuple[int, int, bool, str]:
+    """Words missing and added, whether a template of ``n`` words is
+    confirmed, and the differences as text."""
+    missing, added = (sum(len(x[k].split()) for x in found) for k in (0, 1))
+    numbers = any(ch.isdigit() for x in found for ch in x[0] + x[1])
+    return missing, added, not numbers and missing + added <= most * n, "; ".join(f"{a or '-'} > {b or '-'}" for a, b in found)
+
+
+def parts(template: list[str], most: int) -> list[tuple[int, list[str]]]:
+    """(place, words) of parts of the template, more than ``most`` of them:
+    one at least stands unchanged wherever so few words differ."""
+    out, at = [], 0
+    for holder, run in groupby(template, lambda w: w == "<>"):
+        run = list(run)
+        n = 0 if holder else min(most + 1, len(run))
+        cuts = [len(run) * k // n for k in range(n + 1)] if n else []
+        out += [(at + a, run[a:b]) for a, b in pairwise(cuts)]
+        at += len(run)
     return out
 
 
+def candidates(own: list[str | None], open_ends: set[int], most: float) -> list[tuple]:
+    """(-words matched, differences, rank, places, name, text, missing, added,
+    differences as text) of every confirmed wording at every place, the one
+    that matches most first.  ``open_ends``: places of version numbers that
+    the next word goes on with."""
+    line = " " + " ".join(w or "-" for w in own) + " "
+    starts = [m.start() for m in re.finditer(" ", line)]
+    out = []
+    for rank, (name, text, wording) in enumerate(wordings()):
+        slack = int(most * len(wording))
+        room = slack + HOLDER * wording.count("<>")
+        places = set()
+        for place, part in parts(wording, slack):
+            needle, at = " " + " ".join(part) + " ", -1
+            while (at := line.find(needle, at + 1)) >= 0:
+                places.add(bisect_left(starts, at) - place)
+        for place in places:
+            begin = max(0, place - room)
+            hits, found = compared(own[begin:max(0, place + len(wording) + room)], wording)
+            missing, added, confirmed, says = judged(found, len(wording), most)
+            if confirmed and hits and begin + hits[-1] not in open_ends:
+                out.append((-len(hits), missing + added, rank, [begin + j for j in hits], name, text, missing, added, says))
+    return sorted(out)
+
+
+def confirmed_in(block: str, most: float) -> list[tuple]:
+    """(start, end, name, reduction, words missing and added, True, differences)
+    of every confirmed stretch of the block."""
+    spans = [m.span() for m in PLACE.finditer(block)]
+    own: list[str | None] = [block[a:b].lower() for a, b in spans]
+    open_ends = {k for k, (x, y) in enumerate(pairwise(spans)) if block[x[1]:y[0]] == "." and own[k].isdigit() and own[k + 1].isdigit()}
+    out, left = [], 1
+    while left:
+        left = 0
+        for _, _, _, hits, name, text, missing, added, says in candidates(own, open_ends, most):
+            if all(own[j] for j in hits):
+                start, end = spans[hits[0]][0], TAIL.match(block, spans[hits[-1]][1]).end()
+                out.append((start, end, name, saved(block[start:end].encode(), text), missing, added, True, says))
+                for j in hits:
+                    own[j] = None
+                left += 1
+    return sorted(out)
+
+
+def closest(block: str, most: float) -> tuple:
+    """The template with the fewest differences from the whole block: its
+    name, the size reduction, words missing and added, whether it is
+    confirmed, and the differences."""
+    own, best = words(block), None
+    for rank, (share, name) in enumerate(reductions(block)):
+        wording = words(TEMPLATES[name])
+        missing, added, confirmed, says = judged(compared(own, wording)[1], len(wording), most)
+        # equally few differences: the longer template explains more
+        order = (not confirmed, (missing + added) / len(wording), -len(wording), rank)
+        if best is None or order < best[0]:
+            best = order, (name, share, missing, added, confirmed, says)
+    return best[1]
+
+
+def examine_all(block: str, most: float) -> tuple[tuple, ...]:
+    """Rows of a block: every confirmed stretch, and every run of marked lines
+    that none of them touches."""
+    out = confirmed_in(block, most)
+    at, runs = 0, []
+    for line in block.split("\n"):
+        end = at + len(line)
+        if not any(a < end and at < b for a, b, *_ in out):
+            runs.append((runs.pop()[0], end) if runs and runs[-1][1] == at - 1 else (at, end))
+        at = end + 1
+    rest = [p for a, b in runs if MARKS.search(block[a:b]) for p in pieces(block, a, b)]
+    return (*out, *((a, b, *closest(block[a:b], most)) for a, b in rest))
+
+
 @lru_cache(20_000)
+def examine_short(block: str, most: float) -> tuple[tuple, ...]:
+    return examine_all(block, most)
+
+
 def examine(block: str, most: float) -> tuple:
     """Best template of a block: its name, the size reduction, words missing
     and added, whether it is confirmed, and the differences."""
-    own, best = words(block), None
-    for rank, (saved, name) in enumerate(reductions(block)):
-        for text in (TEMPLATES[name], *PLAIN.get(name, [])):
-            wording = words(text)
-            found = differences(own, wording)
-            missing = sum(len(a.split()) for a, _ in found)
-            added = sum(len(b.split()) for _, b in found)
-            numbers = any(any(ch.isdigit() for ch in a + b) for a, b in found)
-            # equally few differences: the longer template explains more
-            order = (numbers or missing + added > most * len(wording), (missing + added) / len(wording), -len(wording), rank)
-            if best is None or order < best[0]:
-                best = order, (name, saved, missing, added, not numbers and missing + added <= most * len(wording), "; ".join(f"{a or '-'} > {b or '-'}" for a, b in found))
-    return best[1]
+    best = max(confirmed_in(block, most), key=lambda x: x[1] - x[0], default=None)
+    return best[2:] if best else closest(block, most)
 
 
 FOUND = "doc_id long, start long, end long, license string, reduction double, n_missing long, n_added long, confirmed boolean, differences string"
 
 
 def scan(docs: DataFrame, most: float = 0.1) -> DataFrame:
-    """One row for each candidate block (code points start to end).  ``most``:
-    differing words that a confirmed block may have, as a share of the
-    template's."""
+    """One row for each confirmed stretch and each candidate without one (code
+    points start to end).  ``most``: differing words that a confirmed stretch
+    may have, as a share of the template's."""
     def run(batches):
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text and MARKS.search(text):
-                    rows += [(doc_id, a, b, *examine(text[a:b], most)) for x, y in blocks(text) for a, b in pieces(text, x, y)]
+                    rows += [(doc_id, x + a, x + b, *found) for x, y in blocks(text) for a, b, *found in (examine_short if y - x < 2000 else examine_all)(text[x:y], most)]
             columns = list(zip(*rows)) or [[]] * 9
             kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, FOUND.split(", "))], [x.split()[0] for x in FOUND.split(", ")])
