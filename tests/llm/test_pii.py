@@ -82,3 +82,24 @@ def test_odd_rows_and_masking(frame, odd):
 
 def test_empty_table(frame):
     assert pii.spans(frame([])).collect() == [] and pii.mask(frame([])).collect() == []
+
+
+def test_repeats_are_found_however_many(frame, prose):
+    # a third of the tokens of this shape are parts of phone numbers
+    rows = [(k, f"{prose(k, 20)} +1 ({100 + k % 800}) 555-{1000 + k} {prose(k, 9)}") for k in range(900)]
+    rows += [(2000 + k, f"{prose(k, 20)} part 444-{1000 + k} {prose(k, 9)}") for k in range(1800)]
+    rows += [(9000 + n, " ".join([f"+1 (487) 333-{n:04d}", *(f"{prose(j, 9)} 333-{n:04d}" for j in range(n)), prose(n, 9)])) for n in (1, 3, 12, 100)]
+    rows += [(9500 + n, " ".join([*(f"{prose(j, 9)} 222{n:04d}" for j in range(n)), prose(n, 9), f"+1 (487) 222-{n:04d}"])) for n in (1, 3, 12, 100)]
+    found = {r.doc_id: r for r in pii.spans(frame(rows)).collect()}
+    texts = dict(rows)
+    for n in (1, 3, 12, 100):
+        assert [texts[9000 + n][x.start:x.end] for x in found[9000 + n].added] == [f"333-{n:04d}"] * n
+        assert [texts[9500 + n][x.start:x.end] for x in found[9500 + n].added] == [f"222{n:04d}"] * n
+        assert all(x.kind == 3 for d in (9000 + n, 9500 + n) for x in found[d].added)
+    assert not any(found[2000 + k].added for k in range(1800))
+
+
+def test_tied_tokens_are_no_negatives():
+    batch = pii.found_in(pii.pa.array([1]), ["+1 (487) 555-7209 so 5557209 and 7654321 or x1234567@a.de then 1234567"])
+    ties = dict(zip((batch.column(4).to_pylist()[0]), batch.column(10).to_pylist()[0]))
+    assert list(ties.values()) == [4, 4, 4, 4, 0, 1, 0]

@@ -2,12 +2,14 @@
 
 Patterns find the base spans.  A conditional random field then labels the
 tokens around them: adjacent tokens form the chain, and distant tokens with
-the same digits or the same address are tied by skip edges, so that a number
-named once in full is found again in a shortened form.  Loopy messages run
-over each document's tokens; base tokens are observed.
+the same digits or the same address are tied by skip edges, each to the base
+token that has them too, so that a number named once in full is found again in
+a shortened form however often it comes.  Loopy messages run over each
+document's tokens; base tokens are observed.
 
 Emission and transition weights are trained here, piecewise: smoothed log
-ratios of the counts over the whole corpus, with base labels as truth.
+ratios of the counts over the whole corpus, with base labels as truth, also
+for the tokens tied to a base token.
 
 Defined results: null and empty texts have no spans; null ids and repeated
 rows give one result row each.
@@ -122,18 +124,38 @@ def keys_of(token: str) -> list[str]:
 
 def edges_of(text: str, tokens: list[tuple[int, int, int, int]]) -> tuple[list, list]:
     """Chain edges between neighbours in the text, and skip edges between
-    each token and the next one with a common key."""
+    each token and the first base token with a common key; where no base token
+    has the key, between each token and the next one.  The digits of an address
+    tie it to no number."""
     chain = [(k, k + 1) for k, (x, y) in enumerate(pairwise(tokens)) if y[0] - x[1] <= 3 and not text[x[1]:y[0]].strip(EDGE_MARKS + " \t\n")]
-    skip, last = set(), {}
-    for k, (a, b, _, _) in enumerate(tokens):
+    meets: dict[str, list[int]] = {}
+    for k, (a, b, label, _) in enumerate(tokens):
         for key in keys_of(text[a:b]):
-            if key in last:
-                skip.add((last[key], k))
-            last[key] = k
-    return chain, sorted(skip - set(chain))
+            if label == 1 and key[0] != "@":
+                continue
+            meets.setdefault(key, []).append(k)
+    hubs, loose = set(), set()
+    for key, met in meets.items():
+        hub = next((k for k in met if tokens[k][2]), None)
+        if hub is None:
+            loose.update(pairwise(met))
+        else:
+            hubs.update((min(hub, k), max(hub, k)) for k in met if k != hub)
+    tied = {k for e in hubs for k in e}
+    return chain, sorted(hubs | {e for e in loose - set(chain) if not tied.issuperset(e)})
+
+
+def ties_of(tokens: list[tuple[int, int, int, int]], skip: list) -> list[int]:
+    """Each token's label for training: its own or that of the base token it
+    is tied to, else 0."""
+    out = [t[2] for t in tokens]
+    for a, b in skip:
+        for k, other in ((a, b), (b, a)):
+            out[k] = out[k] or tokens[other][2]
+    return out
 
 
-FOUND = "doc_id long, starts array<int>, kinds array<int>, ends array<int>, token_starts array<int>, token_ends array<int>, labels array<int>, shapes array<int>, chain array<int>, skip array<int>"
+FOUND = "doc_id long, starts array<int>, kinds array<int>, ends array<int>, token_starts array<int>, token_ends array<int>, labels array<int>, shapes array<int>, chain array<int>, skip array<int>, ties array<int>"
 
 
 def found_in(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
@@ -145,8 +167,8 @@ def found_in(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
         tokens = tokens_of(text, spans) if "@" in text or DIGIT.search(text) else []
         chain, skip = edges_of(text, tokens)
         rows.append(([s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans], *([t[k] for t in tokens] for k in range(4)),
-                     [v for e in chain for v in e], [v for e in skip for v in e]))
-    columns = list(zip(*rows)) or [[]] * 9
+                     [v for e in chain for v in e], [v for e in skip for v in e], ties_of(tokens, skip)))
+    columns = list(zip(*rows)) or [[]] * 10
     return pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.list_(pa.int32())) for c in columns)], [c.split()[0] for c in FOUND.split(", ")])
 
 
@@ -172,7 +194,7 @@ def train(found: DataFrame, smoothing: float = 0.5) -> tuple[np.ndarray, np.ndar
 
     emission, transition = np.full((SHAPES, LABELS), smoothing / LABELS), np.full((LABELS, LABELS), smoothing)
     emission[:, 0] += smoothing
-    for a, b, n in found.select("labels", "shapes", "chain").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+    for a, b, n in found.select("ties", "shapes", "chain").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
         if a >= 0:
             emission[a, b] += n
         else:
@@ -224,7 +246,7 @@ class Field:
             at += len(tokens)
         observed = np.array([y for x in labels for y in x], int)
         unary = self.emission[np.array([y for x in shapes for y in x], int)]
-        unary[observed > 0] = -30.0
+        unary[observed > 0] = -1e9  # beyond what any number of messages adds up to
         unary[np.flatnonzero(observed), observed[observed > 0]] = 0.0
         potentials = np.stack([self.transition, self.skip])[np.array(kinds, int)]
         belief = messages(unary, np.array(edges, int).reshape(-1, 2), potentials, self.rounds)
