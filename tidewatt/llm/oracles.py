@@ -86,3 +86,28 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   translate({_BASE32}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM f"""
+
+#: Fixed value: the contract's term rule.
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def op11(least_docs: int, ranks: int) -> str:
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '{TERM}') AS w FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) x GROUP BY 1, 2, 3),
+k AS (SELECT lang, term, sum(n) AS lang_n FROM c GROUP BY 1, 2 HAVING sum(docs) >= {least_docs}),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.lang_n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, sum(lang_n) OVER (PARTITION BY lang, source) AS lang_total, count(*) OVER (PARTITION BY lang, source) AS terms FROM v),
+p AS (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 5) // (total + 5 * terms) AS p, 1 + 1000000000 * (lang_n + 5) // (lang_total + 5 * terms) AS q FROM s),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) GROUP BY 1, 2, 3) f
+  ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+r AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= {ranks}"""

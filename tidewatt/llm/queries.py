@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, jaccard_join, katz, license_scan, oracles, pii, pu_quality, quality_rules, suffix_dedup, warc
+from . import bpe, common, decontaminate, divergence, jaccard_join, katz, license_scan, oracles, pii, pu_quality, quality_rules, suffix_dedup, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -72,13 +72,18 @@ def op10_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFr
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_skyband_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(common.read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_compression, op2_skip_chain_pii, op3_prefix_decontamination, op4_adaptive_quality, op5_radix_suffix_dedup,
                                    op6_katz_scores, op7_transducer_bpe, op8_tiled_jaccard_join, op9_warc_index_merge,
-                                   op10_positive_unlabelled_quality)}
+                                   op10_positive_unlabelled_quality, op11_skyband_divergence)}
 #: The others have no SQL form; their tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_prefix_decontamination": oracles.OP3,
     "op4_adaptive_quality": oracles.op4(quality_rules.MEASURES),
     "op8_tiled_jaccard_join": oracles.OP8,
     "op9_warc_index_merge": oracles.OP9,
+    "op11_skyband_divergence": oracles.op11(least_docs=30, ranks=50),
 }
