@@ -111,3 +111,71 @@ r AS (
   UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
 o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= {ranks}"""
+
+
+# crc32 of a text of ASCII characters, byte by byte; its table from the fixed polynomial.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+
+
+def _more(way: str, cost: str, edit: str) -> str:
+    """A way (nine digits of cost, then the edits) with one edit more."""
+    return f"printf('%09d', CAST(substr({way}, 1, 9) AS INTEGER) + {cost}) || substr({way}, 10) || '{edit}'"
+
+
+def _op13() -> str:
+    # the cheapest way by the role that came last: n(one), s, u, a; rows and chances to insert in turn
+    user_before, user = "least(t.n, t.s, t.a)", f"least(t.u, {_more('least(t.n, t.s, t.a)', '5', 'I')})"
+    inserted = f"{{'n': t.n, 's': t.s, 'u': {user}, 'a': least(t.a, {_more(user, '5', 'I')})}}"
+    stay = "CASE WHEN r.fault = 't' THEN 5 ELSE 0 END"
+
+    def after(own: str, before: str, initial: str, rerole: bool) -> str:
+        ways = [_more(own, "2", "D"), f"CASE WHEN r.fault IN ('', 't') AND r.x = '{initial}' THEN {_more(before, stay, 'K')} END"]
+        if rerole:
+            ways.append(f"CASE WHEN r.fault IN ('', 't') THEN {_more(before, f'1 + {stay}', 'R')} END")
+        return f"least({', '.join(ways)})"
+
+    row = f"{{'n': {_more('t.n', '2', 'D')}, 's': {after('t.s', 't.n', 's', False)}, 'u': {after('t.u', user_before, 'u', True)}, 'a': {after('t.a', 't.u', 'a', True)}}}"
+    way = "struct_pack(x := '', fault := 'i', n := CAST(NULL AS VARCHAR), s := CAST(NULL AS VARCHAR), u := CAST(NULL AS VARCHAR), a := CAST(NULL AS VARCHAR))"
+    whole = lambda ways, x="''", fault="''": f"{{'x': {x}, 'fault': {fault}, 'n': CAST({ways}.n AS VARCHAR), 's': CAST({ways}.s AS VARCHAR), 'u': CAST({ways}.u AS VARCHAR), 'a': CAST({ways}.a AS VARCHAR)}}"
+    return rf"""WITH tab AS (SELECT {_CRC_TABLE} AS tab),
+src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+dealt AS (SELECT src.*, {_CRC} % 20 AS deal FROM src, tab),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN deal = 4 THEN 'user' ELSE role END AS role,
+    CASE deal WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM dealt, LATERAL (SELECT unnest(CASE WHEN deal = 3 THEN [0, 1] ELSE [0] END) AS copy) c WHERE deal <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS again FROM placed),
+f AS (
+  SELECT *, role[1] AS x, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM o),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+    count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE pos > 1 AND before || x NOT IN ('su', 'ua', 'au')) AS illegal, list({{'x': x, 'fault': fault}} ORDER BY pos) AS rows FROM f GROUP BY conv_id),
+w AS (
+  SELECT c.*, list_reduce(list_prepend({whole("{'n': '000000000', 's': NULL, 'u': NULL, 'a': NULL}")},
+      list_append(flatten(list_transform(rows, lambda r: [{way}, {whole("{'n': NULL, 's': NULL, 'u': NULL, 'a': NULL}", 'r.x', 'r.fault')}])), {way})),
+    lambda t, r: CASE WHEN r.fault = 'i' THEN {whole(inserted)} ELSE {whole(row)} END) AS ways FROM c),
+e AS (SELECT *, least(ways.n, ways.a) AS best FROM w),
+j AS (SELECT conv_id, substr(best, 10) AS audit, unnest(range(1, length(best) - 8)) AS k FROM e),
+m AS (
+  SELECT conv_id, k, audit[k] AS edit, count(*) FILTER (WHERE audit[k] <> 'I') OVER q AS pos, count(*) FILTER (WHERE audit[k] <> 'D') OVER q AS place
+  FROM j WINDOW q AS (PARTITION BY conv_id ORDER BY k)),
+g AS (
+  SELECT m.*, f.role, f.text, f.x, max(CASE WHEN place = 1 AND edit = 'K' AND f.x = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY m.conv_id) AS system
+  FROM m LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.pos = m.pos AND m.edit <> 'I'),
+h AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+    CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS repaired_sha256 FROM g WHERE edit <> 'D' GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(CAST(substr(best, 1, 9) AS BIGINT), 0) AS cost, coalesce(substr(best, 10), '') AS audit,
+  coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
+
+OP13 = _op13()

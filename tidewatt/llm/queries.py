@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, divergence, jaccard_join, katz, license_scan, oracles, pii, pu_quality, quality_rules, suffix_dedup, toxicity, warc
+from . import bpe, common, conversation_repair, decontaminate, divergence, jaccard_join, katz, license_scan, oracles, pii, pu_quality, quality_rules, suffix_dedup, toxicity, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -82,9 +82,14 @@ def op12_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "offending")
 
 
+def op13_branch_and_bound_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(common.read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_compression, op2_skip_chain_pii, op3_prefix_decontamination, op4_adaptive_quality, op5_radix_suffix_dedup,
                                    op6_katz_scores, op7_transducer_bpe, op8_tiled_jaccard_join, op9_warc_index_merge,
-                                   op10_positive_unlabelled_quality, op11_skyband_divergence, op12_noisy_or_toxicity)}
+                                   op10_positive_unlabelled_quality, op11_skyband_divergence, op12_noisy_or_toxicity,
+                                   op13_branch_and_bound_repair)}
 #: The others have no SQL form; their tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_prefix_decontamination": oracles.OP3,
@@ -92,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_tiled_jaccard_join": oracles.OP8,
     "op9_warc_index_merge": oracles.OP9,
     "op11_skyband_divergence": oracles.op11(least_docs=30, ranks=50),
+    "op13_branch_and_bound_repair": oracles.OP13,
 }
