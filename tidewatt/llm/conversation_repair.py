@@ -11,9 +11,10 @@ equals those whose initials are ASCII-least.
 
 The search goes depth first over (row, last role) with an explicit stack, the
 cheapest edit first.  A prefix is left when its cost and a lower bound of the
-remaining rows (their forced deletes, and one edit for every disjoint pair of
-neighbours that can't follow each other) exceed the incumbent's cost, or equal it
-with later initials, or when the node's dominance table holds a prefix at least
+remaining rows (the larger of two: their forced deletes with one edit for every
+disjoint pair of neighbours that can't follow each other; and the cost of an
+easier problem, see ``relaxed``) exceed the incumbent's cost, or equal it with
+later initials, or when the node's dominance table holds a prefix at least
 as good.  An empty stack proves the incumbent optimal.
 
 A long conversation is no group: rows are sorted by range, runs of at most
@@ -81,6 +82,28 @@ def bounds(initials: list[str], codes: list[int]) -> list[int]:
     return out
 
 
+def relaxed(initials: list[str], codes: list[int], last: bool) -> list[list[int]]:
+    """Least cost of the rows from each place on, by the role that came last, of
+    an easier problem: every faulty row goes for 2, and a role may be passed over
+    anywhere for 3 (an insert costs 5, and so does a truncated row that stays, of
+    which 2 are counted as its delete)."""
+    ends = {NONE: 0, SYSTEM: 6, USER: 3, ASSISTANT: 0} if last else dict.fromkeys(range(4), 0)
+    out = [[ends[state] for state in range(4)]]
+    for initial, code in zip(reversed(initials), reversed(codes)):
+        after = out[-1]
+        if code != CLEAN:
+            out.append([2 + x for x in after])
+            continue
+        step = []
+        for state, role in ((NONE, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER)):
+            keeps = initial == ("u" if role == USER else "a")
+            cost = min(after[role] + (not keeps), after[state] + 2)
+            step.append(min(cost, after[SYSTEM]) if state == NONE and initial == "s" else cost)
+        user, assistant = min(step[USER], step[ASSISTANT] + 3), min(step[ASSISTANT], step[USER] + 3)
+        out.append([min(step[NONE], user + 3), min(step[SYSTEM], user + 3), user, assistant])
+    return out[::-1]
+
+
 def search(initials: list[str], codes: list[int], entry: int, last: bool, least: list[int]) -> dict[int, tuple[int, str]]:
     """Cheapest edits of a run of rows after ``entry``, by the role that comes
     last; with ``last`` only whole conversations, under ASSISTANT."""
@@ -89,10 +112,12 @@ def search(initials: list[str], codes: list[int], entry: int, last: bool, least:
     table: dict[tuple[int, int], tuple[int, str]] = {}
     goals = 1 if last else {NONE: 3 + any(x == "s" and c in (CLEAN, TRUNCATED) for x, c in zip(initials, codes)), SYSTEM: 3}.get(entry, 2)
     worst = (FAR, "")
+    ahead = relaxed(initials, codes, last)
     stack = [(0, "", 0, entry)]
     while stack:
         cost, audit, i, state = stack.pop()
-        if cost + least[i] > worst[0] or (cost + least[i] == worst[0] and audit > worst[1][:len(audit)]):
+        lower = cost + max(least[i], ahead[i][state])
+        if lower > worst[0] or (lower == worst[0] and audit > worst[1][:len(audit)]):
             continue
         if (cost, audit) >= table.get((i, state), (FAR, "")):
             continue
