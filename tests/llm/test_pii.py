@@ -1,6 +1,8 @@
 import re
+import time
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -32,6 +34,13 @@ def test_base_spans_of_long_runs_are_quick():
         pii.base_spans(text)
 
 
+@pytest.mark.parametrize("text", ["漢" * 1_000_000 + " 1", "漢" * 1_000_000 + "1", "@a.b " * 200_000, "x@a.b" * 200_000, "a" * 1_000_000 + "@b.c"])
+def test_scans_are_linear_in_the_text(text):
+    start = time.monotonic()
+    pii.tokens_of(text, pii.base_spans(text))
+    assert time.monotonic() - start < 2
+
+
 def test_digits_of_other_scripts_are_no_digits():
     assert pii.base_spans("+٤٨٧ 555 7209 111") == plain("+٤٨٧ 555 7209 111")
 

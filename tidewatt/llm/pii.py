@@ -33,13 +33,14 @@ from . import common
 # Fixed values of the contract.
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: Tokens that the field labels.
-TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+#: Runs without blanks; those with a MARK are the tokens that the field labels.
+RUN = re.compile(r"\S+")
+MARK = re.compile(r"[0-9@]")
 EDGE_MARKS = "\"'`,;:!?.#%$&*|<>[]{}=~"
 SHAPES = 4096
 LABELS = 1 + len(KINDS)
@@ -55,11 +56,13 @@ def luhn(digits: str) -> bool:
 
 def emails(text: str) -> list[tuple[int, int]]:
     """Each @ ends one run of local characters, so that run's start is the
-    leftmost start; found from the @ on, in linear time."""
+    leftmost start; found from the @ on, in linear time: no character is local
+    to two of them but those of a domain, which the next @ may read again."""
     out, free = [], 0
     for m in DOMAIN.finditer(text):
-        tail = text[free:m.start()]
-        start = m.start() - LOCAL.match(tail[::-1]).end() if tail else m.start()
+        start = m.start()
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
         if start < m.start():
             out.append((start, m.end()))
             free = m.end()
@@ -96,7 +99,9 @@ def tokens_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, i
     label is that of the first base span that the token meets, else 0."""
     out = []
     ends = sorted((b, a, kind) for a, kind, b in spans)
-    for m in TOKEN.finditer(text):
+    for m in RUN.finditer(text):
+        if not MARK.search(m.group()):
+            continue
         a, b = m.span()
         core = m.group().lstrip(EDGE_MARKS)
         a = b - len(core)
