@@ -10,7 +10,7 @@ Insert of an empty text of user or assistant (5); a truncated row that stays add
 equals those whose initials are ASCII-least.
 
 The search goes depth first over (row, last role) with an explicit stack, the
-cheapest edit first.  A prefix is left when its cost and a lower bound of the
+edit of the least bound first, for each role that can come last.  A prefix is left when its cost and a lower bound of the
 remaining rows (the larger of two: their forced deletes with one edit for every
 disjoint pair of neighbours that can't follow each other; and the cost of an
 easier problem, see ``relaxed``) exceed the incumbent's cost, or equal it with
@@ -82,66 +82,73 @@ def bounds(initials: list[str], codes: list[int]) -> list[int]:
     return out
 
 
-def relaxed(initials: list[str], codes: list[int], last: bool) -> list[list[int]]:
+def relaxed(initials: list[str], codes: list[int], ends: list[int]) -> list[list[int]]:
     """Least cost of the rows from each place on, by the role that came last, of
-    an easier problem: every faulty row goes for 2, and a role may be passed over
-    anywhere for 3 (an insert costs 5, and so does a truncated row that stays, of
-    which 2 are counted as its delete)."""
-    ends = {NONE: 0, SYSTEM: 6, USER: 3, ASSISTANT: 0} if last else dict.fromkeys(range(4), 0)
-    out = [[ends[state] for state in range(4)]]
+    an easier problem: every faulty row goes for 2, and with truncated rows about
+    a role may be passed over for 3 instead of an insert's 5 (a truncated row that
+    stays costs 5, of which 2 are counted as its delete).  ``ends``: what each role
+    costs at the end."""
+    skip = 3 if TRUNCATED in codes else 5
+    out = [ends]
     for initial, code in zip(reversed(initials), reversed(codes)):
         after = out[-1]
         if code != CLEAN:
-            out.append([2 + x for x in after])
-            continue
-        step = []
-        for state, role in ((NONE, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER)):
-            keeps = initial == ("u" if role == USER else "a")
-            cost = min(after[role] + (not keeps), after[state] + 2)
-            step.append(min(cost, after[SYSTEM]) if state == NONE and initial == "s" else cost)
-        user, assistant = min(step[USER], step[ASSISTANT] + 3), min(step[ASSISTANT], step[USER] + 3)
-        out.append([min(step[NONE], user + 3), min(step[SYSTEM], user + 3), user, assistant])
+            step = [2 + x for x in after]
+        else:
+            is_user, is_assistant = initial == "u", initial == "a"
+            to_user = after[USER] + (not is_user)
+            step = [min(to_user, after[NONE] + 2), min(to_user, after[SYSTEM] + 2), min(after[ASSISTANT] + (not is_assistant), after[USER] + 2), min(to_user, after[ASSISTANT] + 2)]
+            if initial == "s":
+                step[NONE] = min(step[NONE], after[SYSTEM])
+        user, assistant = min(step[USER], step[ASSISTANT] + skip), min(step[ASSISTANT], step[USER] + skip)
+        system = min(step[SYSTEM], user + skip)
+        none = min(step[NONE], user + skip, system + 3 if initial == "s" and code == TRUNCATED else FAR)
+        out.append([none, system, user, assistant])
     return out[::-1]
 
 
 def search(initials: list[str], codes: list[int], entry: int, last: bool, least: list[int]) -> dict[int, tuple[int, str]]:
     """Cheapest edits of a run of rows after ``entry``, by the role that comes
     last; with ``last`` only whole conversations, under ASSISTANT."""
+    inserts = [0, 2, 1, 0]
+    if last:
+        return {ASSISTANT: branch_and_bound(initials, codes, entry, inserts, least)}
+    ends = {leave: [None if state != leave else 0 for state in range(4)] for leave in range(4)}
+    found = {leave: branch_and_bound(initials, codes, entry, end, least) for leave, end in ends.items()}
+    return {leave: best for leave, best in found.items() if best[0] < FAR}
+
+
+def branch_and_bound(initials: list[str], codes: list[int], entry: int, inserts: list, least: list[int]) -> tuple[int, str]:
+    """Cost and audit of the cheapest edits; ``inserts``: how many inserts let each
+    role come last, None where it can't."""
     n = len(codes)
-    incumbent: dict[int, tuple[int, str]] = {}
+    skip = 3 if TRUNCATED in codes else 5
+    ahead = relaxed(initials, codes, [FAR if k is None else skip * k for k in inserts])
     table: dict[tuple[int, int], tuple[int, str]] = {}
-    goals = 1 if last else {NONE: 3 + any(x == "s" and c in (CLEAN, TRUNCATED) for x, c in zip(initials, codes)), SYSTEM: 3}.get(entry, 2)
-    worst = (FAR, "")
-    ahead = relaxed(initials, codes, last)
-    stack = [(0, "", 0, entry)]
+    incumbent = (FAR, "")
+    stack = [(ahead[0][entry], "", 0, 0, entry)]
     while stack:
-        cost, audit, i, state = stack.pop()
-        lower = cost + max(least[i], ahead[i][state])
-        if lower > worst[0] or (lower == worst[0] and audit > worst[1][:len(audit)]):
+        lower, audit, cost, i, state = stack.pop()
+        if lower >= FAR or lower > incumbent[0] or (lower == incumbent[0] and audit > incumbent[1][:len(audit)]):
             continue
         if (cost, audit) >= table.get((i, state), (FAR, "")):
             continue
         table[i, state] = cost, audit
         if i == n:
-            if last:
-                inserts = {NONE: 0, SYSTEM: 2, USER: 1, ASSISTANT: 0}[state]
-                cost, audit, state = cost + 5 * inserts, audit + "I" * inserts, ASSISTANT
-            if (cost, audit) < incumbent.get(state, (FAR, "")):
-                incumbent[state] = cost, audit
-                if len(incumbent) == goals:
-                    worst = max(incumbent.values())
+            if inserts[state] is not None:
+                incumbent = min(incumbent, (cost + 5 * inserts[state], audit + "I" * inserts[state]))
             continue
         follows, code, initial = NEXT[state], codes[i], initials[i]
-        children = [(cost + 2, audit + "D", i + 1, state), (cost + 5, audit + "I", i, follows)]
+        children = [(cost + 2, "D", i + 1, state), (cost + 5, "I", i, follows)]
         if code in (CLEAN, TRUNCATED):
             more = 5 if code == TRUNCATED else 0
-            children.append((cost + 1 + more, audit + "R", i + 1, follows))
+            children.append((cost + 1 + more, "R", i + 1, follows))
             if initial == ("u" if follows == USER else "a"):
-                children.append((cost + more, audit + "K", i + 1, follows))
+                children.append((cost + more, "K", i + 1, follows))
             elif initial == "s" and state == NONE:
-                children.append((cost + more, audit + "K", i + 1, SYSTEM))
-        children.sort(reverse=True)  # the cheapest is taken first
-        stack += children
+                children.append((cost + more, "K", i + 1, SYSTEM))
+        # the least bound is taken first, of equals the ASCII-least edit
+        stack += sorted(((c + max(least[j], ahead[j][to]), audit + edit, c, j, to) for c, edit, j, to in children), reverse=True)
     return incumbent
 
 
