@@ -23,7 +23,9 @@ def plain(rows, threshold):
 
 
 def found(docs, threshold):
-    return sorted(((r.doc_id, r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), r.kept_sha256) for r in suffix_dedup.dedupe(docs, threshold).collect()), key=str)
+    rows = suffix_dedup.dedupe(docs, threshold).collect()
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in rows)
+    return sorted(((r.doc_id, r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), r.kept_sha256) for r in rows), key=str)
 
 
 @pytest.mark.parametrize("threshold", [60, 100])

@@ -236,28 +236,30 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def dedupe(docs: DataFrame, threshold: int = 400) -> DataFrame:
-    """doc_id, n_bytes, spans (removed, maximal) and kept_sha256."""
+    """doc_id, n_bytes, spans (removed, maximal), ``kept`` (the remaining bytes;
+    a cut may fall inside a character) and kept_sha256."""
     if threshold < CORE + BLOCK:
         raise ValueError(f"threshold is {CORE + BLOCK} bytes at least")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(texts, threshold).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
 
     def cut(batches):
-        for batch in batches:
-            doc, sizes, spans, hashes = batch.column(0), [], [], []
+        for batch in common.parts(batches):
+            doc, sizes, spans, left = batch.column(0), [], [], []
             for text, found in zip(batch.column(1), batch.column(2).to_pylist()):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 gone = merged([(x["start"], x["end"]) for x in found or ()])
-                kept, at = hashlib.sha256(), 0
+                pieces, at = [], 0
                 for a, b in gone:
-                    kept.update(raw[at:a])
+                    pieces.append(raw[at:a])
                     at = b
-                kept.update(raw[at:])
                 sizes.append(len(raw))
                 spans.append([{"start": a, "end": b} for a, b in gone])
-                hashes.append(kept.hexdigest())
+                left.append(b"".join([*pieces, raw[at:]]))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([doc, pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(hashes, pa.string())], ["doc_id", "n_bytes", "spans", "kept_sha256"])
+            hashes = [hashlib.sha256(x).hexdigest() for x in left]
+            yield pa.RecordBatch.from_arrays([doc, pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(left, pa.binary()), pa.array(hashes, pa.string())],
+                                             ["doc_id", "n_bytes", "spans", "kept", "kept_sha256"])
 
     joined = texts.join(spans, "key", "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string")
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
