@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -22,6 +23,27 @@ def test_any_text_as_the_library():
         assert np.frombuffer(own, "<u4").tolist() == ids, repr(text)
 
 
+def test_long_words_as_the_library():
+    merger, rng = bpe.Merger(PATH), random.Random(6)
+    for text in ("a" * 5000, "ab" * 3000, "漢字" * 2000, "thethere" * 700, "".join(rng.choice("aeinrst") for _ in range(6000)), "!" * 4001):
+        ids = LIBRARY.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(bpe.Encoder(merger, None).encode(text), "<u4").tolist() == ids
+    start = time.monotonic()
+    bpe.Encoder(merger, None).encode("ab漢" * 100_000)
+    assert time.monotonic() - start < 20
+
+
+def test_memo_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 10_000)
+    monkeypatch.setattr(bpe.Memo, "room", 10_000)
+    memo = bpe.Memo()
+    for k in range(1000):
+        memo.keep(f"w{k}", b"1234")
+        assert len(memo) * bpe.ENTRY <= 10_000 and memo[f"w{k}"] == b"1234"
+    memo.keep("x" * bpe.LONG, b"1")
+    assert "x" * bpe.LONG not in memo
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w.encode(): [k, k + 1] for k, w in enumerate(["walking", "talking", "walk", "talk", "a", "walked", "talked", "é"])}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words.items()))

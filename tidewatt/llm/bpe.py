@@ -12,6 +12,7 @@ repeated rows give one result row each.
 
 from __future__ import annotations
 
+import heapq
 import json
 import mmap
 import os
@@ -34,9 +35,13 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 NONE = 1 << 62
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
-#: Pieces, and words with marks around them, whose ids a worker remembers from
-#: task to task: about 150 MB of each at most.
-MEMO = 600_000
+#: Bytes of the pieces, and of the words with marks around them, whose ids a
+#: worker remembers from task to task: as much of each at most.
+MEMO = 40_000_000
+#: Bytes of a remembered entry beside its characters and ids: two objects and a slot.
+ENTRY = 200
+#: Characters from which a piece is not remembered, and its pairs are merged from a heap.
+LONG = 1000
 
 
 def byte_letters() -> list[str]:
@@ -109,6 +114,8 @@ class Merger:
         ids = [self.inner[b] for b in raw]
         ids[-1] = self.last[raw[-1]]
         ranks = [pairs.get(x << 20 | y, NONE) for x, y in zip(ids, ids[1:])]
+        if len(ranks) >= LONG:
+            return self.merge_long(ids, ranks)
         while ranks:
             best = min(ranks)  # lowest rank, leftmost place
             if best == NONE:
@@ -124,6 +131,32 @@ class Merger:
         return ids
 
 
+    def merge_long(self, ids: list[int], ranks: list[int]) -> list[int]:
+        """The same merges from a heap of (rank and id made, place), in time
+        n log n; an entry that its neighbours' merges outdated is passed over."""
+        n, pairs = len(ids), self.pairs
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, k) for k, r in enumerate(ranks) if r != NONE]
+        heapq.heapify(heap)
+        ranks = [*ranks, NONE]
+        while heap:
+            best, k = heapq.heappop(heap)
+            if ranks[k] != best:
+                continue
+            gone = after[k]
+            ids[k], ids[gone], ranks[gone] = best & 0xFFFFF, -1, NONE
+            after[k] = after[gone]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for left in (before[k], k):
+                if left >= 0:
+                    right = after[left]
+                    ranks[left] = pairs.get(ids[left] << 20 | ids[right], NONE) if right >= 0 else NONE
+                    if ranks[left] != NONE:
+                        heapq.heappush(heap, (ranks[left], left))
+        return [x for x in ids if x >= 0]
+
+
 # --- transducer -----------------------------------------------------------------
 # File: counts, then arrays.  State s owns edges first[s] to first[s + 1]; an
 # edge has a label byte, a target state and an output.  The outputs on a path,
@@ -273,14 +306,28 @@ def build_lexicon(docs: DataFrame, tokenizer: str, limit: int = 100_000) -> str:
     return os.path.basename(path)
 
 
+class Memo(dict):
+    """Ids by piece, emptied once they fill MEMO bytes."""
+
+    room = MEMO
+
+    def keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) >= LONG:
+            return
+        self.room -= ENTRY + 4 * len(piece) + len(ids)
+        if self.room < 0:
+            self.clear()
+            self.room = MEMO - ENTRY - 4 * len(piece) - len(ids)
+        self[piece] = ids
+
+
 class Encoder:
     """Text to ids: lexicon first, exact merging for the rest; ids of recent
-    pieces are remembered, at most MEMO of them."""
+    pieces are remembered, at most MEMO bytes of them."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon | None):
         self.merger, self.lexicon = merger, lexicon
-        self.memo: dict[str, bytes] = {}
-        self.seen: dict[str, bytes] = {}
+        self.memo, self.seen = Memo(), Memo()
 
     def ids(self, word: str) -> bytes:
         known = self.lexicon.get(word.encode()) if self.lexicon else None
@@ -289,9 +336,7 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         out = self.ids(word)
-        if len(self.seen) >= MEMO:
-            self.seen.clear()
-        self.seen[word] = out
+        self.seen.keep(word, out)
         return out
 
     def piece(self, piece: str) -> bytes:
@@ -300,9 +345,7 @@ class Encoder:
             out = self.seen.get(words[0]) or self.ids(words[0])
         else:  # the same word with other marks around it
             out = b"".join([self.seen.get(w) or self.word(w) for w in words])
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[piece] = out
+        self.memo.keep(piece, out)
         return out
 
     def encode(self, text: str | None) -> bytes:
