@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Tokens of a chunk (a longer text is a chunk of its own), and of a bucket.
-CHUNK, BUCKET = 1_000_000, 4_000_000
+CHUNK, BUCKET = 1_000_000, 2_000_000
 #: Tokens of a context that may be split, at least.
 LEAST_HOT = 1000
 #: Hashes of the marks before and after a text.
@@ -61,6 +61,13 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int32) if not len(x) or x.max() < 1 << 31 else x.astype(np.int64)
 
 
+def places(where: np.ndarray) -> dict[int, np.ndarray]:
+    """The places of each value that occurs, in order."""
+    order = np.argsort(where, kind="stable")
+    values, starts = np.unique(where[order], return_index=True)
+    return dict(zip(values.tolist(), np.split(order, starts[1:])))
+
+
 # --- chunks ----------------------------------------------------------------------
 
 CHUNKS = "words binary, counts binary, tokens binary, doc_ids array<long>, sizes array<int>, held array<boolean>"
@@ -137,10 +144,10 @@ class Pairs:
 def word_counts(row: dict, training: int, buckets: int) -> np.ndarray:
     """Corpus counts of a chunk's words, begin and end, from the answers."""
     words = unpack(row["words"])
-    where = common.mix64(words.view(np.uint64)) % np.uint64(buckets)
+    part = places(common.mix64(words.view(np.uint64)) % np.uint64(buckets))
     out = np.zeros(len(words) + 2, np.int64)
     for answer in row["word_answers"]:
-        out[:-2][where == np.uint64(answer["bucket"])] = unpack(answer["counts"])
+        out[part[answer["bucket"]]] = unpack(answer["counts"])
     out[-2:] = training
     return out
 
@@ -229,12 +236,9 @@ def ask_words(chunks: DataFrame, buckets: int, most: int) -> DataFrame:
         for batch in batches:
             for row in records(batch):
                 words, counts = unpack(row["words"]), unpack(row["counts"])
-                where = common.mix64(words.view(np.uint64)) % np.uint64(buckets)
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(buckets + 1).astype(np.uint64))
-                parts = [order[a:b] for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([row["chunk"]] * buckets, pa.int64()),
-                                                  pa.array([pack(words[p]) for p in parts], pa.binary()), pa.array([pack(counts[p]) for p in parts], pa.binary())],
+                parts = places(common.mix64(words.view(np.uint64)) % np.uint64(buckets))
+                yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([row["chunk"]] * len(parts), pa.int64()),
+                                                  pa.array([pack(words[p]) for p in parts.values()], pa.binary()), pa.array([pack(counts[p]) for p in parts.values()], pa.binary())],
                                                  ["bucket", "chunk", "words", "counts"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -263,9 +267,7 @@ def ask_pairs(told: DataFrame, model: Words, training: int, buckets: int, hot: i
         for batch in batches:
             for row in records(batch):
                 pairs, counts = Pairs(row), word_counts(row, training, buckets)
-                where = pairs.buckets(counts, buckets, hot)
-                order = np.argsort(where, kind="stable")
-                for b, part in enumerate(np.split(order, np.searchsorted(where[order], np.arange(1, buckets)))):
+                for b, part in places(pairs.buckets(counts, buckets, hot)).items():
                     contexts, context = np.unique(pairs.context[part], return_inverse=True)
                     words, follower = np.unique(pairs.next[part], return_inverse=True)
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([row["chunk"]], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in (
@@ -280,14 +282,17 @@ def ask_pairs(told: DataFrame, model: Words, training: int, buckets: int, hot: i
         for a, b, c, f in zip(column["contexts"], column["words"], column["context"], column["follower"]):
             codes.append(context_of[steps[0] + c].astype(np.int64) * len(words) + word_of[steps[1] + f])
             steps = steps[0] + len(a), steps[1] + len(b)
-        sizes = [len(c) for c in codes]
-        every, pair = np.unique(np.concatenate(codes), return_inverse=True)
-        counts = np.bincount(pair, np.concatenate(column["counts"]).astype(float), len(every)).astype(np.int64)
+        sizes, codes = [len(c) for c in codes], np.concatenate(codes)
+        own = np.split(context_of, np.cumsum([len(a) for a in column["contexts"]])[:-1])
+        met = np.concatenate(column["counts"])
+        del column, word_of  # what follows needs as much room again
+        every, pair = np.unique(codes, return_inverse=True)
+        del codes
+        counts = np.bincount(pair, met, len(every)).astype(np.int64)
         owner, follower = np.divmod(every, len(words))
         stats = context_stats(owner, len(contexts), counts, word_shares[follower], most)
         of_counts = [int((counts == r).sum()) for r in range(1, most + 2)]
         rows = []
-        own = np.split(context_of, np.cumsum([len(a) for a in column["contexts"]])[:-1])
         for chunk, bucket, p, c in zip(pdf["chunk"], pdf["bucket"], np.split(pair, np.cumsum(sizes)[:-1]), own):
             sums = stats[c]
             rows.append((chunk, bucket, pack(small(counts[p])), pack(small(sums[:, :-1].astype(np.int64).ravel())), pack(sums[:, -1]), None, None))
@@ -347,10 +352,8 @@ def score(docs: DataFrame, held: object, most: int = 5) -> DataFrame:
 
     def evaluate(row: dict) -> pa.RecordBatch:
         pairs, counts = Pairs(row), word_counts(row, training, buckets)
-        where = pairs.buckets(counts, buckets, hot)
-        order = np.argsort(where, kind="stable")
-        split = np.split(order, np.searchsorted(where[order], np.arange(1, buckets)))
-        met = np.zeros(len(where), np.int64)
+        split = places(pairs.buckets(counts, buckets, hot))
+        met = np.zeros(len(pairs.context), np.int64)
         stats = np.zeros((pairs.size + 2, most + 2))
         for answer in row["pair_answers"]:
             part = split[answer["bucket"]]
