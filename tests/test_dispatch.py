@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatt.operators import dispatch
-from tidewatt.operators.dispatch import objective, solve
+from tidewatt.operators.dispatch import bounded_solve, objective, solve, solve_grid
 
 
-def brute_force(p, energy, steps, **kw):
+def brute_force(p, energy, steps, ramp=np.inf, min_power=0.0):
     """Enumerate every grid action sequence (tiny horizons only)."""
     n = len(p)
     eta_c = eta_d = 0.95
@@ -24,6 +24,9 @@ def brute_force(p, energy, steps, **kw):
         ks = np.array(acts)
         ch = np.where(ks > 0, ks * step / (eta_c * dh), 0.0)
         dis = np.where(ks < 0, -ks * step * eta_d / dh, 0.0)
+        used = np.concatenate([ch[ch > 0], dis[dis > 0]])
+        if np.abs(np.diff(dis - ch)).max() > ramp + 1e-9 or (used < min_power - 1e-9).any():
+            continue
         best = max(best, objective(p, ch, dis, 2.0))
     return best
 
@@ -32,10 +35,80 @@ def brute_force(p, energy, steps, **kw):
 def test_dp_equals_brute_force_on_tiny_horizons(seed):
     rng = np.random.default_rng(seed)
     p = rng.uniform(-20, 120, 4)
-    ch, dis, soc = solve(p, energy=2.0, soc_steps=2, cycles=None)
+    ch, dis, soc = solve_grid(p, energy=2.0, soc_steps=2, cycles=None)
     assert abs(objective(p, ch, dis, 2.0) - brute_force(p, 2.0, 2)) < 1e-9
 
 
+@pytest.mark.parametrize("ramp,min_power", [(0.6, 0.0), (0.96, 0.0), (None, 0.6), (0.96, 0.4)])
+def test_ramp_and_min_power_equal_brute_force(ramp, min_power):
+    for seed in range(3):
+        p = np.random.default_rng(seed).uniform(-20, 120, 5)
+        ch, dis, _, bound = bounded_solve(p, 2.0, soc_steps=2, cycles=None, ramp=ramp, min_power=min_power)
+        best = brute_force(p, 2.0, 2, ramp or np.inf, min_power)
+        assert abs(objective(p, ch, dis, 2.0) - best) < 1e-9 and best <= bound + 1e-9
+
+
+def unit_steps(p, low, high, cap):
+    """Every schedule of whole quarter-hours at rated power, no losses."""
+    best = -np.inf
+    for acts in itertools.product((-1, 0, 1), repeat=len(p)):
+        a = np.array(acts)
+        level = 4 + np.cumsum(a)
+        if level[-1] == 4 and level.min() >= low and level.max() <= high and np.abs(a).sum() <= cap:
+            best = max(best, objective(p, (a > 0) * 1.0, (a < 0) * 1.0, 2.0))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_exact_values_equal_brute_force(seed):
+    """Without losses rated quarter-hours are best, and an even cap is used by whole ones."""
+    p = np.random.default_rng(seed).uniform(-40, 120, 9)
+    ch, dis, soc, bound = bounded_solve(p, 2.0, eta_c=1.0, eta_d=1.0, soc_min_frac=0.25, soc_max_frac=0.75, cycles=None)
+    assert abs(objective(p, ch, dis, 2.0) - unit_steps(p, 2, 6, 99)) < 1e-9 and abs(bound - objective(p, ch, dis, 2.0)) < 1e-9
+    ch, dis, soc, bound = bounded_solve(p, 2.0, eta_c=1.0, eta_d=1.0, soc_min_frac=0.25, soc_max_frac=0.75, cycles=0.25)
+    assert np.sum(ch + dis) * 0.25 <= 1.0 + 1e-9 and abs(bound - objective(p, ch, dis, 2.0)) < 1e-9
+    assert bound >= unit_steps(p, 2, 6, 4) - 1e-9
+
+
+@pytest.mark.parametrize("shift", [0.0, -60.0, -200.0])
+def test_exact_schedule_meets_its_bound(shift):
+    rng = np.random.default_rng(11)
+    for k in range(6):
+        p = shift + 60 + 40 * np.sin(np.arange(96) / 96 * 4 * np.pi) + rng.normal(0, 15, 96)
+        ch, dis, soc, bound = bounded_solve(p, 2.0 + 2 * (k % 2), cyclic_penalty=3.0 * (k % 2))
+        e = 2.0 + 2 * (k % 2)
+        value = objective(p, ch, dis, 2.0) - 3.0 * (k % 2) * abs(soc[-1] - 0.5 * e)
+        fine = solve_grid(p, e, cyclic_penalty=3.0 * (k % 2), soc_steps=30)
+        other = objective(p, fine[0], fine[1], 2.0) - 3.0 * (k % 2) * abs(fine[2][-1] - 0.5 * e)
+        assert bound >= max(value, other) - 1e-6
+        if p.min() > -39:       # above it no mode pays for burning energy: no gap
+            assert bound - value < 1e-6 * max(1.0, bound) and value >= other - 1e-6
+
+
+def test_odd_prices():
+    assert len(solve(np.array([]), 2.0)[0]) == 0
+    p = np.full(96, 50.0)
+    ch, dis, soc, bound = bounded_solve(p, 2.0)
+    assert ch.sum() == dis.sum() == 0 and abs(bound) < 1e-9
+    p[:40], p[3], p[90] = 10.0, np.nan, np.inf
+    ch, dis, soc, bound = bounded_solve(p, 2.0)
+    assert ch[3] == dis[3] == ch[90] == dis[90] == 0 and ch.sum() > 0 and np.isfinite(bound)
+    with pytest.raises(ValueError):
+        solve(p, float("nan"))
+
+
+def test_limits_are_asset_columns(spark):
+    from tidewatt.plans.q_dispatch import j1_gap, j4_limits, limited_assets
+    d = "/root/testdata/sf0.001"
+    r = j4_limits(spark, d).collect()
+    assert len(r) == limited_assets(spark, d).count()
+    for x in r:
+        assert sum(v for n, v in x.asDict().items() if n.endswith("_violations")) == 0
+        assert -1e-6 <= x.objective_eur <= x.dual_bound_eur + 1e-6
+    gaps = j1_gap(spark, d).collect()
+    assert gaps and all(-1e-6 <= g.gap_share <= 1e-3 for g in gaps)
+
+
 def test_dp_bounds_and_invariants():
     rng = np.random.default_rng(5)
     p = 60 + 40 * np.sin(np.arange(96) / 96 * 2 * np.pi) + rng.normal(0, 10, 96)

@@ -3,13 +3,17 @@
 The studied system solves one MILP per day (charge, discharge, SoC, two
 mode binaries).  Days are independent (each starts at the initial SoC), so
 here ``(zone, normalised spec, day[, scenario])`` is one Spark group solved
-by a NumPy dynamic programme over a SoC grid inside ``applyInPandas``.
-
-* Feasible by construction (grid transitions respect power, SoC bounds,
-  idle masks and price gates; charge and discharge never overlap).
-* The daily throughput cap is priced by bisection on a Lagrange multiplier,
-  keeping the feasible side -- the result is within grid / duality error of
-  the MILP, never claimed equal.
+by a dynamic programme inside ``applyInPandas``.
+
+* Without a ramp limit or a minimum power the value functions are exact:
+  concave breakpoint lists (``concave.best_schedule``), the daily throughput
+  cap priced by its Lagrange multiplier.  A schedule is optimal wherever no
+  price is so negative that burning energy would pay; elsewhere, and with a
+  ramp or a minimum power, ``dual_bound_eur`` says how far it can be off.
+* A ramp limit or a minimum power makes the value functions lose concavity
+  and adds the last power to the state: ``solve_grid`` works on a SoC grid.
+* Feasible by construction (power, SoC bounds, idle masks, price gates and
+  ramps are respected; charge and discharge never overlap).
 * The problem is positively homogeneous in (power, energy) at a fixed
   duration, so it is solved once per *normalised* spec (power = 1) and
   scaled per asset by a join: a fleet of 100k identical-duration batteries
@@ -26,24 +30,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatt.operators import concave
+
 KEY = "series_id"
 SPEC_COLS = ["duration_h", "eta_charge", "eta_discharge", "soc_min_frac", "soc_max_frac",
-             "soc_init_frac", "max_cycles_per_day", "degradation_eur_per_mwh", "cyclic_penalty"]
+             "soc_init_frac", "max_cycles_per_day", "degradation_eur_per_mwh", "cyclic_penalty",
+             "ramp_frac", "min_power_frac", "min_discharge_price", "max_charge_price"]
 DEFAULT_SOC_STEPS = 10   # grid steps per full-power charge MTU
 MIN_MTUS_PER_DAY = 90
 
 
 # ------------------------------------------------------------- the solver --
 
-def solve(prices: np.ndarray, energy: float, power: float = 1.0, eta_c: float = 0.95,
+def solve(prices: np.ndarray, energy: float, **spec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(charge_mw, discharge_mw, soc_mwh) of the best schedule, see ``bounded_solve``."""
+    return bounded_solve(prices, energy, **spec)[:3]
+
+
+def bounded_solve(prices: np.ndarray, energy: float, soc_steps: int = DEFAULT_SOC_STEPS, ramp: float | None = None,
+                  min_power: float = 0.0, **spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Schedule and an upper bound of the objective that no schedule passes
+    (the Lagrangian dual, ramp and minimum power relaxed).  ``soc_steps`` is
+    the grid of schedules with a ramp or a minimum power."""
+    ch, dis, soc, bound = concave.best_schedule(prices, energy, **spec)
+    power = spec.get("power", 1.0)
+    if min_power > 0 or (ramp is not None and ramp < power):
+        ch, dis, soc = solve_grid(prices, energy, soc_steps=soc_steps, ramp=ramp, min_power=min_power, **spec)
+    return ch, dis, soc, bound
+
+
+def solve_grid(prices: np.ndarray, energy: float, power: float = 1.0, eta_c: float = 0.95,
           eta_d: float = 0.95, soc_min_frac: float = 0.05, soc_max_frac: float = 0.95,
           soc_init_frac: float = 0.5, cycles: float | None = 1.5, degradation: float = 2.0,
           cyclic_penalty: float = 0.0, cyclic: bool = True, delta_h: float = 0.25,
           idle: np.ndarray | None = None, min_discharge_price: float | None = None,
           max_charge_price: float | None = None, min_power: float = 0.0,
-          soc_steps: int = DEFAULT_SOC_STEPS,
+          ramp: float | None = None, soc_steps: int = DEFAULT_SOC_STEPS,
           bisect_iter: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximise sum p (dis - ch) dh - deg (ch + dis) dh - penalty |soc_T - soc_0|.
+    """Maximise sum p (dis - ch) dh - deg (ch + dis) dh - penalty |soc_T - soc_0|
+    on a SoC grid, the net power changing by at most ``ramp`` from slot to slot.
 
     Returns (charge_mw, discharge_mw, soc_mwh) arrays."""
     p = np.asarray(prices, dtype=float)
@@ -111,8 +136,28 @@ def solve(prices: np.ndarray, energy: float, power: float = 1.0, eta_c: float =
         soc = states[i0 + np.cumsum(ks[acts])]
         return ch_k[acts], dis_k[acts], soc
 
+    # actions by falling net power: those within the ramp of one are a run
+    net_k = dis_k - ch_k
+    far = None if ramp is None or ramp >= power else \
+        np.where(np.abs(net_k[:, None] - net_k[None, :]) <= ramp + 1e-9, 0.0, -np.inf)
+
+    def run_ramp(lam: float):
+        """The same with the last action as part of the state."""
+        V = np.broadcast_to(terminal[:, None], (n_states, len(ks)))
+        gain = np.empty((n, n_states, len(ks)))
+        cols = np.arange(len(ks))[None, :]
+        for t in range(n - 1, -1, -1):
+            gain[t] = V[idx_c, cols] + (pen + (r_all[t] - lam * thr_k))
+            V = (gain[t][:, None, :] + far[None, :, :]).max(axis=2)
+        i, acts = i0, np.empty(n, dtype=np.int64)
+        for t in range(n):
+            options = gain[t, i] if t == 0 else gain[t, i] + far[acts[t - 1]]
+            acts[t] = options.argmax()
+            i += ks[acts[t]]
+        return ch_k[acts], dis_k[acts], states[i0 + np.cumsum(ks[acts])]
+
     def run_many(lams):
-        return [run(float(x)) for x in lams]
+        return [(run if far is None else run_ramp)(float(x)) for x in lams]
 
     sol = run_many(np.array([0.0]))[0]
     if cycles is None:
@@ -161,29 +206,44 @@ def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def normalise_specs(assets: DataFrame, cyclic_penalty: float = 0.0) -> DataFrame:
-    """Per asset: the normalised spec key (duration instead of power/energy)."""
+    """Per asset: the normalised spec key (duration instead of power/energy).
+    The asset columns ``ramp_mw``, ``min_power_mw``, ``min_discharge_price``
+    and ``max_charge_price`` are optional; absent or null sets no limit."""
+    given = lambda c: F.col(c).cast("double") if c in assets.columns else F.lit(None).cast("double")
     return assets.withColumns({
         "duration_h": F.col("energy_mwh") / F.col("power_mw"),
-        "cyclic_penalty": F.lit(float(cyclic_penalty))})
+        "cyclic_penalty": F.lit(float(cyclic_penalty)),
+        "ramp_frac": given("ramp_mw") / F.col("power_mw"),
+        "min_power_frac": F.coalesce(given("min_power_mw"), F.lit(0.0)) / F.col("power_mw"),
+        "min_discharge_price": given("min_discharge_price"), "max_charge_price": given("max_charge_price")})
 
 
 def _spec_from(pdf: pd.DataFrame) -> dict:
     r = pdf.iloc[0]
+    limit = lambda c: None if pd.isna(r[c]) else float(r[c])
     return dict(energy=float(r["duration_h"]), power=1.0, eta_c=float(r["eta_charge"]),
                 eta_d=float(r["eta_discharge"]), soc_min_frac=float(r["soc_min_frac"]),
                 soc_max_frac=float(r["soc_max_frac"]), soc_init_frac=float(r["soc_init_frac"]),
                 cycles=float(r["max_cycles_per_day"]), degradation=float(r["degradation_eur_per_mwh"]),
-                cyclic_penalty=float(r["cyclic_penalty"]))
+                cyclic_penalty=float(r["cyclic_penalty"]), ramp=limit("ramp_frac"),
+                min_power=float(r["min_power_frac"]), min_discharge_price=limit("min_discharge_price"),
+                max_charge_price=limit("max_charge_price"))
 
 
 SCHEDULE_SCHEMA = ("series_id string, spec_id long, day date, ts timestamp_ntz, price double, "
-                   "charge_mw double, discharge_mw double, soc_mwh double, is_idle boolean")
+                   "charge_mw double, discharge_mw double, soc_mwh double, is_idle boolean, dual_bound_eur double")
 
 
 def _spec_table(assets_norm: DataFrame) -> DataFrame:
     """Distinct normalised specs with a stable id (hash of the spec)."""
     specs = assets_norm.select(KEY, *SPEC_COLS).distinct()
-    return specs.withColumn("spec_id", F.xxhash64(*SPEC_COLS))
+    return specs.withColumn("spec_id", spec_key())
+
+
+def spec_key():
+    """Hash of the spec.  ``xxhash64`` skips nulls, so that a ramp of 1 and a
+    gate of 1 would be one spec: their presence is hashed with them."""
+    return F.xxhash64(*SPEC_COLS, *[F.col(c).isNull() for c in SPEC_COLS])
 
 
 def fleet_dispatch(prices: DataFrame, assets: DataFrame, cyclic_penalty: float = 0.0, **options) -> DataFrame:
@@ -193,8 +253,8 @@ def fleet_dispatch(prices: DataFrame, assets: DataFrame, cyclic_penalty: float =
     ``assets``: asset_id, series_id, power_mw, energy_mwh + spec columns, and
     a ``scenario`` column if they are derated (C16); it stays a key.
     Returns per-asset schedule rows (asset_id[, scenario], series_id, day, ts,
-    price, charge_mw, discharge_mw, net_mw, soc_mwh, is_idle); the options are
-    those of ``spec_dispatch``."""
+    price, charge_mw, discharge_mw, net_mw, soc_mwh, is_idle, dual_bound_eur of
+    the day); the options are those of ``spec_dispatch``."""
     a = normalise_specs(assets, cyclic_penalty)
     return scale_to_assets(spec_dispatch(prices, a, **options), a)
 
@@ -222,12 +282,12 @@ def spec_dispatch(prices: DataFrame, assets_norm: DataFrame, price_col: str = "p
             mean_p = float(pdf["_mean_price"].iloc[0])
             gates = {"min_discharge_price": spec["degradation"],
                      "max_charge_price": mean_p * spec["eta_c"] * spec["eta_d"] - 2 * spec["degradation"]}
-        ch, dis, soc = solve(pdf["price"].to_numpy(), idle=pdf["is_idle"].to_numpy(),
-                             soc_steps=soc_steps, **spec, **gates)
+        ch, dis, soc, bound = bounded_solve(pdf["price"].to_numpy(), idle=pdf["is_idle"].to_numpy(),
+                                            soc_steps=soc_steps, **{**spec, **gates})
         return pd.DataFrame({"series_id": pdf[KEY].to_numpy(), "spec_id": pdf["spec_id"].to_numpy(),
                              "day": pdf["day"].to_numpy(), "ts": pdf["ts"].to_numpy(),
                              "price": pdf["price"].to_numpy(), "charge_mw": ch, "discharge_mw": dis,
-                             "soc_mwh": soc, "is_idle": pdf["is_idle"].to_numpy().astype(bool)})
+                             "soc_mwh": soc, "is_idle": pdf["is_idle"].to_numpy().astype(bool), "dual_bound_eur": bound})
 
     return _spread(groups, [KEY, "spec_id", "day"]).groupBy(KEY, "spec_id", "day") \
         .applyInPandas(solve_group, SCHEDULE_SCHEMA)
@@ -241,7 +301,7 @@ def fleet_kpis(sched: DataFrame, assets_norm: DataFrame, price: str = "price") -
     """E11 + E15 per asset[, scenario]: summed per spec on the unit schedule,
     then scaled by power; no asset x MTU rows."""
     from tidewatt.operators import metrics
-    a = assets_norm.withColumn("spec_id", F.xxhash64(*SPEC_COLS))
+    a = assets_norm.withColumn("spec_id", spec_key())
     units = a.select(KEY, "spec_id", F.col("duration_h").alias("energy_mwh"), "degradation_eur_per_mwh").distinct()
     unit = metrics.dispatch_kpis(sched.join(units, [KEY, "spec_id"]), [KEY, "spec_id"], price=price)
     j = unit.join(a.select(*asset_keys(a), KEY, "spec_id", "power_mw"), [KEY, "spec_id"])
@@ -249,23 +309,37 @@ def fleet_kpis(sched: DataFrame, assets_norm: DataFrame, price: str = "price") -
     return j.withColumns({c: F.col(c) * F.col("power_mw") for c in scaled}).drop("power_mw")
 
 
+LIMIT_COLS = ["ramp_mw", "min_power_mw"]
 SCHEDULE_SCHEMA_COLS = [c.split()[0] for c in SCHEDULE_SCHEMA.split(", ")]
 
 
 def scale_to_assets(sched: DataFrame, assets_norm: DataFrame) -> DataFrame:
     """Scale normalised schedules by each asset's power (exact by homogeneity)."""
-    a = assets_norm.withColumn("spec_id", F.xxhash64(*SPEC_COLS)) \
+    a = assets_norm.withColumn("spec_id", spec_key()) \
                    .select(*asset_keys(assets_norm), KEY, "spec_id", "power_mw", "energy_mwh", "degradation_eur_per_mwh",
                            "eta_charge", "eta_discharge", "soc_min_frac", "soc_max_frac", "soc_init_frac",
-                           "max_cycles_per_day")
+                           "max_cycles_per_day", *[c for c in LIMIT_COLS if c in assets_norm.columns])
     j = sched.join(a, [KEY, "spec_id"])
     return j.select(*asset_keys(assets_norm), KEY, "day", "ts", "price",
                     (F.col("charge_mw") * F.col("power_mw")).alias("charge_mw"),
                     (F.col("discharge_mw") * F.col("power_mw")).alias("discharge_mw"),
                     ((F.col("discharge_mw") - F.col("charge_mw")) * F.col("power_mw")).alias("net_mw"),
                     (F.col("soc_mwh") * F.col("power_mw")).alias("soc_mwh"),
-                    "is_idle", "power_mw", "energy_mwh", "degradation_eur_per_mwh", "eta_charge", "eta_discharge",
-                    "soc_min_frac", "soc_max_frac", "soc_init_frac", "max_cycles_per_day")
+                    "is_idle", (F.col("dual_bound_eur") * F.col("power_mw")).alias("dual_bound_eur"),
+                    "power_mw", "energy_mwh", "degradation_eur_per_mwh", "eta_charge", "eta_discharge",
+                    "soc_min_frac", "soc_max_frac", "soc_init_frac", "max_cycles_per_day",
+                    *[c for c in LIMIT_COLS if c in assets_norm.columns])
+
+
+def duality_gap(sched: DataFrame, delta_h: float = 0.25) -> DataFrame:
+    """J1 per asset[, scenario] and day: the schedule's objective, the bound
+    that no schedule passes, and the gap between them in EUR and as a share of
+    the bound (0 where the bound is 0)."""
+    e = (F.col("price") * (F.col("discharge_mw") - F.col("charge_mw"))
+         - F.col("degradation_eur_per_mwh") * (F.col("charge_mw") + F.col("discharge_mw"))) * delta_h
+    d = sched.groupBy(*asset_keys(sched), KEY, "day").agg(F.sum(e).alias("objective_eur"), F.first("dual_bound_eur").alias("dual_bound_eur"))
+    gap = F.col("dual_bound_eur") - F.col("objective_eur")
+    return d.withColumns({"gap_eur": gap, "gap_share": F.when(F.col("dual_bound_eur") > 0, gap / F.col("dual_bound_eur")).otherwise(F.lit(0.0))})
 
 
 def horizon_groups(frame: DataFrame, horizon_col: str, keys: list[str]) -> DataFrame:
@@ -399,7 +473,7 @@ def backtest_daily(frame: DataFrame, assets: DataFrame, extra_keys: list[str] =
         perf = perfect_daily(base, specs, actual)
         fc = forecast_daily(frame, specs, list(extra_keys), **kw)
         j = fc.join(perf, [KEY, "spec_id", "day"])
-    installed = normal.withColumn("spec_id", F.xxhash64(*SPEC_COLS)).groupBy(KEY, "spec_id").agg(F.sum("power_mw").alias("installed_mw"))
+    installed = normal.withColumn("spec_id", spec_key()).groupBy(KEY, "spec_id").agg(F.sum("power_mw").alias("installed_mw"))
     j = j.join(installed, [KEY, "spec_id"])
     j = j.withColumns({c: F.col(c) * F.col("installed_mw") for c in ("realized_eur", "perfect_eur", "buy_mwh", "sell_mwh")})
     return j.withColumn("capture_ratio", F.when(F.col("perfect_eur") > 0,
@@ -409,11 +483,22 @@ def backtest_daily(frame: DataFrame, assets: DataFrame, extra_keys: list[str] =
 def check_schedule(sched: DataFrame, delta_h: float = 0.25, tol: float = 1e-6) -> DataFrame:
     """Invariant violations per asset[, scenario] (all counts must be 0): power and
     SoC bounds, SoC balance against the J5 trace, simultaneous modes,
-    daily throughput <= 2 x cycles x energy.  Limits come from the asset
-    columns carried on the schedule."""
+    daily throughput <= 2 x cycles x energy and, where the schedule carries
+    ``ramp_mw`` and ``min_power_mw``, ramps within a day and minimum power.
+    Limits come from the asset columns carried on the schedule."""
     trace = soc_trace(sched, delta_h)
     e = F.col("energy_mwh")
     keys = asset_keys(sched)
+    extra = {}
+    if "ramp_mw" in sched.columns:
+        w = Window.partitionBy(*keys, "day").orderBy("ts")
+        net = F.col("discharge_mw") - F.col("charge_mw")
+        trace = trace.withColumn("_ramp", F.abs(net - F.lag(net).over(w)))
+        # as in the objective, a ramp of the rated power or more is no limit
+        extra["ramp"] = F.coalesce((F.col("ramp_mw") < F.col("power_mw")) & (F.col("_ramp") > F.col("ramp_mw") + tol), F.lit(False))
+    if "min_power_mw" in sched.columns:
+        used = F.greatest("charge_mw", "discharge_mw")
+        extra["min_power"] = F.coalesce((used > tol) & (used < F.col("min_power_mw") - tol), F.lit(False))
     per_day = trace.groupBy(*keys, "day").agg(
         F.sum(((F.col("charge_mw") > F.col("power_mw") + tol) | (F.col("discharge_mw") > F.col("power_mw") + tol)
                | (F.col("charge_mw") < -tol) | (F.col("discharge_mw") < -tol)).cast("int")).alias("power_v"),
@@ -423,11 +508,13 @@ def check_schedule(sched: DataFrame, delta_h: float = 0.25, tol: float = 1e-6) -
               .cast("int")).alias("bal_v"),
         F.sum(((F.col("charge_mw") > tol) & (F.col("discharge_mw") > tol)).cast("int")).alias("mode_v"),
         F.sum((F.col("charge_mw") + F.col("discharge_mw")) * delta_h).alias("thr"),
-        F.first(2.0 * F.col("max_cycles_per_day") * e).alias("cap"))
+        F.first(2.0 * F.col("max_cycles_per_day") * e).alias("cap"),
+        *[F.sum(v.cast("int")).alias(f"{n}_v") for n, v in extra.items()])
     return per_day.groupBy(*keys).agg(
         F.sum("power_v").alias("power_violations"), F.sum("soc_v").alias("soc_violations"),
         F.sum("bal_v").alias("balance_violations"), F.sum("mode_v").alias("mode_violations"),
         F.sum((F.col("thr") > F.col("cap") + tol).cast("int")).alias("throughput_violations"),
+        *[F.sum(f"{n}_v").alias(f"{n}_violations") for n in extra],
         F.sum("thr").alias("throughput_mwh"), F.count(F.lit(1)).alias("days"))
 
 

@@ -176,7 +176,7 @@ FROM (SELECT asset_id, day, sum((n_discharge_mw - n_charge_mw) * q50 * 0.25) * f
 def e12(spark, d):
     """Solved per (zone, normalised spec, day) -- the plan and its money are
     proportional to power at a fixed duration -- then scaled to each asset."""
-    a = dispatch.normalise_specs(fx.assets(spark, d)).withColumn("spec_id", F.xxhash64(*dispatch.SPEC_COLS))
+    a = dispatch.normalise_specs(fx.assets(spark, d)).withColumn("spec_id", dispatch.spec_key())
     specs = a.select("series_id", "spec_id", *dispatch.SPEC_COLS).distinct() \
         .withColumns({"power_mw": F.lit(1.0), "energy_mwh": F.col("duration_h")})
     f = fx.forecast_frame(spark, d).join(specs, "series_id")
@@ -223,7 +223,7 @@ unit AS (
 def naive_day(spark, d):
     """Unit money of the naive plan per (zone, normalised spec, day), with the
     scale that keeps it inside the cycle budget."""
-    a = dispatch.normalise_specs(fx.assets(spark, d)).withColumn("spec_id", F.xxhash64(*dispatch.SPEC_COLS))
+    a = dispatch.normalise_specs(fx.assets(spark, d)).withColumn("spec_id", dispatch.spec_key())
     h = F.hour("ts")
     net = F.when((h >= 18) & (h < 22), 1.0).when((h >= 2) & (h < 6), -1.0).otherwise(0.0)
     rows = fx.forecast_frame(spark, d).withColumn("net", net)
@@ -282,6 +282,33 @@ def j1(spark, d):
                                   "net_mw", "soc_mwh", "is_idle"))
 
 
+@reg("J1_duality_gap")
+def j1_gap(spark, d):
+    """J1's objective per asset and day beside the bound that no schedule passes."""
+    s = dispatch.fleet_dispatch(dispatch_frame(spark, d), fx.assets(spark, d), price_col="dispatch_price", idle_col="is_idle")
+    return round_doubles(dispatch.duality_gap(s))
+
+
+def limited_assets(spark, d):
+    """The fleet with ramp, minimum power and price gates as asset columns:
+    per supplier either of two ramps and minimum powers, or none."""
+    k = F.col("asset_id") % 3
+    none = F.lit(None).cast("double")
+    return fx.assets(spark, d).withColumns({
+        "ramp_mw": F.when(k == 0, none).otherwise(F.col("power_mw") * 0.2 * k),
+        "min_power_mw": F.when(k == 1, F.col("power_mw") * 0.1).otherwise(F.lit(0.0)),
+        "min_discharge_price": F.when(k == 2, F.col("degradation_eur_per_mwh")).otherwise(none),
+        "max_charge_price": none})
+
+
+@reg("J4_check_schedule_limits")
+def j4_limits(spark, d):
+    """J1 under asset limits, checked slot by slot, with the distance to the bound."""
+    s = dispatch.fleet_dispatch(dispatch_frame(spark, d), limited_assets(spark, d), price_col="dispatch_price", idle_col="is_idle")
+    gap = dispatch.duality_gap(s).groupBy("asset_id").agg(F.sum("objective_eur").alias("objective_eur"), F.sum("dual_bound_eur").alias("dual_bound_eur"))
+    return round_doubles(dispatch.check_schedule(s).join(gap, "asset_id"))
+
+
 @reg("J4_check_schedule")
 def j4(spark, d):
     f = dispatch_frame(spark, d)
@@ -335,7 +362,7 @@ def kpis_with_uplift(spark, d, assets):
     a = dispatch.normalise_specs(assets)
     s = dispatch.spec_dispatch(f, a, price_col="dispatch_price", idle_col="is_idle")
     k = dispatch.fleet_kpis(s.join(f.select("series_id", "ts", "q50"), ["series_id", "ts"]), a, price="q50")
-    specs = a.withColumn("spec_id", F.xxhash64(*dispatch.SPEC_COLS))
+    specs = a.withColumn("spec_id", dispatch.spec_key())
     units = specs.select("series_id", "spec_id", *dispatch.SPEC_COLS).distinct() \
         .withColumns({"power_mw": F.lit(1.0), "energy_mwh": F.col("duration_h")})
     naive = metrics.naive_baseline(f.join(units, "series_id"), "q50", ["series_id", "spec_id"])
