@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatt.operators import dispatch
@@ -205,3 +206,24 @@ def test_scenarios_stay_apart_and_kpis_scale(spark):
         assert r.total_mtus == other.total_mtus
         for c in ("gross_revenue_eur", "net_profit_eur", "cycles_used", "energy_traded_mwh"):
             assert abs(r[c] - other[c]) <= 1e-6 * max(1.0, abs(other[c]))
+
+
+def test_threshold_is_tuned_before_the_days_it_reports(spark):
+    """Other test days leave the choice and its validation figures alone."""
+    from tidewatt.plans import fixtures as fx
+    from tidewatt.plans.q_dispatch import dispatch_frame, tuned_threshold
+    d = "/root/testdata/sf0.001"
+    f = dispatch_frame(spark, d)
+    assets = fx.assets(spark, d)
+    last = F.max("ts").over(Window.partitionBy("series_id"))
+    later = F.col("ts") >= last - F.make_interval(days=F.lit(7))
+    other = f.withColumns({"q95": F.when(later, F.col("q95") + 500.0).otherwise(F.col("q95")),
+                           "price": F.when(later, -F.col("price")).otherwise(F.col("price"))})
+    key = ("series_id", "spec_id", "pct", "threshold", "valid_realized_eur", "valid_perfect_eur")
+    read = lambda x: {(r.series_id, r.spec_id): r for r in tuned_threshold(x, assets).collect()}
+    one, two = read(f), read(other)
+    assert one and set(one) == set(two)
+    for k, r in one.items():
+        assert [r[c] for c in key[:3]] == [two[k][c] for c in key[:3]]
+        assert all(abs(r[c] - two[k][c]) < 1e-6 for c in key[3:])
+    assert any(abs((r.realized_eur or 0) - (two[k].realized_eur or 0)) > 1e-6 for k, r in one.items())

@@ -106,3 +106,15 @@ def test_walkforward_threshold_is_the_best_of_the_validation_days(spark):
     assert best == {k: min(v)[1] for k, v in totals.items()}
     # no week is scored with rows of its own
     assert rows.where("role = 'valid'").join(rows.where("role = 'week'").select("series_id", "fold", "ts"), ["series_id", "fold", "ts"]).count() == 0
+
+
+def test_fold_weights_see_no_later_rows(spark):
+    from tidewatt.plans.q_ml import weighted
+    start = dt.datetime(2024, 1, 1)
+    rows = [("z", start + dt.timedelta(hours=6 * k), (start + dt.timedelta(hours=6 * k)).date(), float(k % 7)) for k in range(200)]
+    frame = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, day date, price double")
+    begin = F.lit("2024-02-01").cast("timestamp_ntz")
+    read = lambda f: {r.ts: r.weight for r in weighted(f.where(F.col("ts") < begin), begin).collect()}
+    alone, beside = read(frame.where("ts < '2024-02-01'")), read(frame.withColumn("price", F.when(F.col("ts") >= begin, 1e6).otherwise(F.col("price"))))
+    assert alone == beside and abs(sum(alone.values()) / len(alone) - 1.0) < 1e-9
+    assert max(alone, key=lambda t: alone[t] if t.hour == 0 else 0) > start + dt.timedelta(days=20)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tidewatt.functions import composites as cp
 from tidewatt.functions.columns import round_doubles
-from tidewatt.operators import dispatch, metrics
+from tidewatt.operators import dispatch, forecast, metrics
 from tidewatt.plans import fixtures as fx
 from tidewatt.plans.sqlutil import oracle
+from tidewatt.session import materialize
 
 Q, SQL = {}, {}
 
@@ -391,19 +392,27 @@ def j2(spark, d):
 
 @reg("K4_tune_threshold")
 def k4(spark, d):
-    """Idle-threshold search: every percentile of the grid in one job, best
-    total realised revenue per zone (ties -> lowest percentile)."""
-    f = dispatch_frame(spark, d)
-    g = spread_grid(f)
+    return round_doubles(tuned_threshold(dispatch_frame(spark, d), fx.assets(spark, d)))
+
+
+def tuned_threshold(frame, assets, valid_days=7, test_days=7):
+    """Idle-threshold search.  The percentile grid and each point's revenue come
+    from the validation days alone; the best point per (zone, spec), ties to the
+    lowest percentile, is then scored on the test days after them."""
+    f = materialize(forecast.time_split(frame, valid_days, test_days))   # read by grid, trial and test
+    valid, test = f.where("split = 'valid'"), f.where("split = 'test'")
     # the grid has 8 rows per series (grows with the series count): AQE
     # decides the join strategy from its real size
-    fx_ = f.join(g, "series_id").withColumn(
-        "idle_k", (F.col("q95") - F.col("q05")) < F.col("threshold"))
-    bt = dispatch.backtest_daily(fx_, fx.assets(spark, d), extra_keys=["pct"], idle_col="idle_k")
-    tot = bt.groupBy("series_id", "spec_id", "pct").agg(F.sum("realized_eur").alias("realized_eur"),
-                                                       F.sum("perfect_eur").alias("perfect_eur"))
-    best = metrics.best_by(tot, "realized_eur", ["series_id", "spec_id"], ["pct"])
-    return round_doubles(best.join(g, ["series_id", "pct"]))
+    grid = spread_grid(valid)
+    idle = {"idle_k": (F.col("q95") - F.col("q05")) < F.col("threshold")}
+    zone = ["series_id", "spec_id"]
+    total = lambda bt: bt.groupBy(*zone, "pct").agg(*(F.sum(c).alias(c) for c in ("realized_eur", "perfect_eur")))
+    tried = total(dispatch.backtest_daily(valid.join(grid, "series_id").withColumns(idle), assets, extra_keys=["pct"], idle_col="idle_k"))
+    best = metrics.best_by(tried, "realized_eur", zone, ["pct"]).withColumnsRenamed({"realized_eur": "valid_realized_eur", "perfect_eur": "valid_perfect_eur"})
+    # specs of a zone may choose different points: each chosen point is scored once
+    points = best.select("series_id", "pct").distinct().join(grid, ["series_id", "pct"])
+    scored = total(dispatch.backtest_daily(test.join(points, "series_id").withColumns(idle), assets, extra_keys=["pct"], idle_col="idle_k"))
+    return best.join(scored, [*zone, "pct"], "left").join(grid, ["series_id", "pct"])
 
 
 def sweep_conclusion(summary, point):

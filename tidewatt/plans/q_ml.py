@@ -45,7 +45,13 @@ def feature_frame(spark, d):
     m = m.join(zones, "series_id")   # one row per series; AQE broadcasts it when small
     m = m.filter(F.col("price").isNotNull() & F.col("price_lag96").isNotNull())
     m = fc_ops.time_split(m, valid_days=7, test_days=7)
-    m = m.withColumn("ref_ts", F.max("ts").over(Window.partitionBy("series_id")))
+    return weighted(m, F.max("ts").over(Window.partitionBy("series_id")))
+
+
+def weighted(m, reference):
+    """Rows with the D7 x D8 weights as seen from ``reference``; their mean is 1
+    over the rows given."""
+    m = m.withColumn("ref_ts", reference)
     m = m.withColumns({"w_rs": windows.recency_seasonal_weight("ts", "ref_ts"),
                        "w_econ": windows.economic_weight("price")})
     return m.withColumn("weight", windows.normalize_weights(["w_rs", "w_econ"])).drop("ref_ts")
@@ -140,7 +146,7 @@ def e18(spark, d):
 @reg("P2_walkforward_dispatch")
 def p2(spark, d):
     """Walk-forward with fitted quantiles: per K2 fold a fit on the days before
-    its validation days (stopped early on these), then one job over all folds:
+    its validation days (weighted as seen from its last moment, stopped early on the validation days), then one job over all folds:
     calibration, idle threshold, dispatch of the week, summary."""
     m = _for_fit(feature_frame(spark, d).drop("split"))
     folds = materialize(tables.walkforward_folds(m))
@@ -150,7 +156,8 @@ def p2(spark, d):
         begin = F.col("fold_start") - F.expr("INTERVAL 7 DAYS")
         valid = rows.where((F.col("ts") >= begin) & (F.col("ts") < F.col("fold_start")))
         later = rows.where((F.col("ts") >= begin) & (F.col("ts") < F.col("fold_end")))
-        model, tails = fc_ops.fit_quantiles(rows.where(F.col("ts") < begin), valid, FEATURES, weight="weight", max_iter=MAX_ITER)
+        past = weighted(rows.where(F.col("ts") < begin), begin)
+        model, tails = fc_ops.fit_quantiles(past, valid, FEATURES, weight="weight", max_iter=MAX_ITER)
         scored = fc_ops.predict_interval(model, tails, later)
         role = F.when(F.col("ts") < F.col("fold_start"), "valid").otherwise("week")
         parts.append(scored.select("series_id", "fold", role.alias("role"), "ts", "day", "price", "q05", "q50", "q95"))
