@@ -58,6 +58,15 @@ def test_schedules_of_one_spec_are_many_tasks(shuffled):
     assert tasks_of(s) > 4
 
 
+def test_checks_move_no_schedule_rows(shuffled):
+    assets, prices = fleet(shuffled)
+    s = dispatch.fleet_dispatch(prices, assets)
+    plan = dispatch.check_schedule(s)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(asset_id" not in plan
+    dealt, plain = (sorted(map(str, dispatch.check_schedule(x).collect())) for x in (s, s.drop("_part")))
+    assert dealt == plain
+
+
 @pytest.mark.parametrize("places", [0, 4, 6, 9])
 def test_rounding_is_that_of_round(spark, places):
     r = random.Random(places)
