@@ -77,3 +77,11 @@ def test_rounding_is_that_of_round(spark, places):
     df = spark.createDataFrame([(v,) for v in x], "x double")
     text = lambda c: (c + F.lit(0.0)).cast("string")
     assert df.where(~text(round_half_up("x", places)).eqNullSafe(text(F.round("x", places)))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["j5", "j4_naive"])
+def test_naive_plans_move_no_rows(shuffled, name):
+    from tidewatt.plans import q_dispatch
+    found = getattr(q_dispatch, name)(shuffled, "/root/testdata/sf0.001")
+    assert "Exchange hashpartitioning(asset_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tasks_of(found) > 4
