@@ -67,6 +67,17 @@ def test_checks_move_no_schedule_rows(shuffled):
     assert dealt == plain
 
 
+def test_subscriptions_of_one_event_are_many_tasks(shuffled):
+    events = shuffled.createDataFrame([("e", None, k) for k in range(3)] + [("e", "o", 9), ("f", "o", 4)], "event string, owner string, delivered_at long")
+    rows = [(f"s{k}", ["o", "p", None][k % 3], f"u{k}", "e,f" if k % 2 else "e", f"h{k}", int(k % 7 == 0)) for k in range(100)]
+    subs = shuffled.createDataFrame([*rows, *rows[:9]], "id string, owner string, url string, events string, secret_hash string, disabled int")
+    found = tables.fanout_subscriptions(events, subs)
+    wanted = Counter((e, o, t, s) for e, o, t in events.collect() for s, owner, _, listed, _, off in set(rows)
+                     if not off and e in listed.split(",") and (o is None or o == owner))
+    assert Counter((r.event, r.owner, r.delivered_at, r.subscription_id) for r in found.collect()) == wanted
+    assert tasks_of(found) > 8
+
+
 @pytest.mark.parametrize("places", [0, 4, 6, 9])
 def test_rounding_is_that_of_round(spark, places):
     r = random.Random(places)
