@@ -44,6 +44,26 @@ def test_memo_is_bounded_by_bytes(monkeypatch):
     assert "x" * bpe.LONG not in memo
 
 
+def test_frequent_pieces_outlast_a_full_memo(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 10_000)
+    monkeypatch.setattr(bpe.Memo, "room", 10_000)
+    encoder, asked = bpe.Encoder(bpe.Merger(PATH), None), []
+    ids = encoder.ids
+    encoder.ids = lambda word: asked.append(word) or ids(word)
+    for k in range(500):
+        encoder.encode(f"often, zq{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100]} often")
+        assert (len(encoder.memo) + len(encoder.memo.old)) * bpe.ENTRY <= 20_000
+    assert asked.count("often") == asked.count(",") == 1
+
+
+def test_joined_tokens_are_those_of_each_text():
+    merger = bpe.Merger(PATH)
+    ids = [bpe.Encoder(merger, None).encode(t) for t in ("", "one two", "é日本", "", "<|endoftext|> x", "")]
+    plain = [" ".join(merger.tokens[k].decode() for k in np.frombuffer(x, "<u4")) for x in ids]
+    assert bpe.texts_of(merger.spaced, ids).to_pylist() == plain
+    assert bpe.texts_of(merger.spaced, [b"", b""]).to_pylist() == ["", ""] and bpe.texts_of(merger.spaced, []).to_pylist() == []
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w.encode(): [k, k + 1] for k, w in enumerate(["walking", "talking", "walk", "talk", "a", "walked", "talked", "é"])}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(words.items()))

@@ -18,6 +18,7 @@ import mmap
 import os
 import struct
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
 
@@ -36,10 +37,11 @@ WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p
 NONE = 1 << 62
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 #: Bytes of the pieces, and of the words with marks around them, whose ids a
-#: worker remembers from task to task: as much of each at most.
+#: worker remembers from task to task: as much of recent and of older ones at most.
 MEMO = 40_000_000
-#: Bytes of a remembered entry beside its characters and ids: two objects and a slot.
-ENTRY = 200
+#: Bytes of a remembered entry beside its characters and ids: two objects'
+#: heads (49 and 33), rounding (16) and a share of the dict (16 and an index, a third to two thirds full).
+ENTRY = 140
 #: Characters from which a piece is not remembered, and its pairs are merged from a heap.
 LONG = 1000
 
@@ -74,6 +76,8 @@ class Merger:
         self.tokens = [b""] * size
         for token, k in [*self.vocab.items(), *self.special.items()]:
             self.tokens[k] = token.encode()
+        # the tokens, each behind a space, for joining many at once
+        self.spaced = pa.array([b" " + t for t in self.tokens], pa.large_binary())
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
 
     def chunks(self, text: str) -> list[str]:
@@ -96,6 +100,8 @@ class Merger:
     def words(self, chunk: str) -> list[str]:
         if chunk.isalpha():  # one run of letters
             return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
         return [chunk] if chunk[0] == "\0" and chunk[1:] in self.special else WORD.findall(chunk)
 
     @staticmethod
@@ -224,37 +230,41 @@ class Lexicon:
             at += count * width
         self.first, self.targets, self.outputs, self.offsets, self.ids, self.labels, self.final = self.parts
         self.root = states - 1
+        self.steps: dict[int, int] = {}   # edges walked: no more than the lexicon has
 
     @classmethod
     def open(cls, path: str) -> "Lexicon":
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
+    def step(self, state: int, byte: int) -> int:
+        """Target and output of an edge as one number, -1 without one."""
+        labels, low, end = self.labels, self.first[state], self.first[state + 1]
+        k = bisect_left(labels, byte, low, end)
+        if k == end or labels[k] != byte:
+            return -1
+        self.steps[state << 8 | byte] = found = self.targets[k] << 32 | self.outputs[k]
+        return found
+
     def number(self, word: bytes) -> int:
         """The word's place in the sorted lexicon, -1 if it isn't there."""
-        state, out = self.root, 0
-        first, labels, targets, outputs = self.first, self.labels, self.targets, self.outputs
+        state, out, steps = self.root, 0, self.steps
         for byte in word:
-            low, end = first[state], first[state + 1]
-            if end - low > 4:  # else few enough to look at in turn
-                high = end
-                while low < high:
-                    mid = (low + high) >> 1
-                    if labels[mid] < byte:
-                        low = mid + 1
-                    else:
-                        high = mid
-            while low < end and labels[low] < byte:
-                low += 1
-            if low == end or labels[low] != byte:
+            step = steps.get(state << 8 | byte)
+            if step is None and (step := self.step(state, byte)) < 0:
                 return -1
-            out += outputs[low]
-            state = targets[low]
+            out += step & 0xFFFFFFFF
+            state = step >> 32
         return out if self.final[state] else -1
 
-    def get(self, word: bytes) -> list[int] | None:
+    def packed(self, word: bytes) -> bytes | None:
+        """Its ids, as the file has them."""
         k = self.number(word)
-        return None if k < 0 else list(self.ids[self.offsets[k]:self.offsets[k + 1]])
+        return None if k < 0 else bytes(self.ids[self.offsets[k]:self.offsets[k + 1]])
+
+    def get(self, word: bytes) -> list[int] | None:
+        ids = self.packed(word)
+        return None if ids is None else list(memoryview(ids).cast("I"))
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, limit: int) -> list[str]:
@@ -307,44 +317,56 @@ def build_lexicon(docs: DataFrame, tokenizer: str, limit: int = 100_000) -> str:
 
 
 class Memo(dict):
-    """Ids by piece, emptied once they fill MEMO bytes."""
+    """Ids by piece.  Once they fill MEMO bytes they become ``old`` and give
+    way to the next: a piece met again moves over, so that frequent ones stay."""
 
     room = MEMO
 
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
     def keep(self, piece: str, ids: bytes) -> None:
         if len(piece) >= LONG:
             return
-        self.room -= ENTRY + 4 * len(piece) + len(ids)
-        if self.room < 0:
+        size = ENTRY + (1 if piece.isascii() else 4) * len(piece) + len(ids)
+        if size > self.room:
+            self.old, self.room = dict(self), MEMO
             self.clear()
-            self.room = MEMO - ENTRY - 4 * len(piece) - len(ids)
+        self.room -= size
         self[piece] = ids
 
 
 class Encoder:
     """Text to ids: lexicon first, exact merging for the rest; ids of recent
-    pieces are remembered, at most MEMO bytes of them."""
+    pieces and of the words in them are remembered, at most 2 * MEMO bytes."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon | None):
         self.merger, self.lexicon = merger, lexicon
-        self.memo, self.seen = Memo(), Memo()
+        self.memo = Memo()
 
     def ids(self, word: str) -> bytes:
-        known = self.lexicon.get(word.encode()) if self.lexicon else None
-        ids = self.merger.merge(word) if known is None else known
+        known = self.lexicon.packed(word.encode()) if self.lexicon else None
+        if known is not None:
+            return known
+        ids = self.merger.merge(word)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, word: str) -> bytes:
-        out = self.ids(word)
-        self.seen.keep(word, out)
+        memo = self.memo
+        out = memo.get(word)
+        if out is None:
+            out = memo.old.get(word) or self.ids(word)
+            memo.keep(word, out)
         return out
 
     def piece(self, piece: str) -> bytes:
-        words = self.merger.words(piece)
-        if len(words) == 1:
-            out = self.seen.get(words[0]) or self.ids(words[0])
-        else:  # the same word with other marks around it
-            out = b"".join([self.seen.get(w) or self.word(w) for w in words])
+        out = self.memo.old.get(piece)
+        if out is None:
+            words = self.merger.words(piece)
+            if len(words) == 1 and words[0] == piece:
+                return self.word(piece)
+            out = b"".join([self.word(w) for w in words])
         self.memo.keep(piece, out)
         return out
 
@@ -366,9 +388,13 @@ def encoder_of(tokenizer: str, lexicon: str) -> Encoder:
     return _ENCODERS[tokenizer, lexicon]
 
 
-def texts_of(tokens: list[bytes], ids: list[bytes]) -> pa.Array:
+def texts_of(spaced: pa.Array, ids: list[bytes]) -> pa.Array:
     """The tokens' strings joined by spaces, specials kept."""
-    return pa.array([b" ".join([tokens[k] for k in memoryview(x).cast("I")]).decode() for x in ids], pa.string())
+    sizes = np.cumsum([0, *(len(x) // 4 for x in ids)])
+    joined = spaced.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+    ends = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1, 8 * joined.offset)[sizes].tolist()
+    data = memoryview(joined.buffers()[2] or b"")
+    return pa.array([bytes(data[a + 1:b]) for a, b in zip(ends, ends[1:])], pa.string())
 
 
 def encode(docs: DataFrame, tokenizer: str, lexicon: str, decoded: bool = False) -> DataFrame:
@@ -382,7 +408,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str, decoded: bool = False)
         for batch in common.parts(batches):
             ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, texts_of(encoder.merger.tokens, ids)] if decoded else columns, names)
+            yield pa.RecordBatch.from_arrays([*columns, texts_of(encoder.merger.spaced, ids)] if decoded else columns, names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
@@ -391,8 +417,8 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str, decoded: bool = False)
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """Adds ``decoded``, made of the ids alone."""
     def run(batches):
-        tokens = Merger(tokenizer).tokens
+        spaced = Merger(tokenizer).spaced
         for batch in common.parts(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(tokens, batch.column(2).to_pylist())], ["doc_id", "n_tokens", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(spaced, batch.column(2).to_pylist())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
