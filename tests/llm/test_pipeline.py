@@ -38,9 +38,13 @@ def test_queries_return_the_contract(spark, name):
     wanted = {2: "doc_id n_email n_ip n_card n_phone base_sha256 spans", 3: "doc_id n_words n_hit n_items items_sha256 contaminated",
               4: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", 5: "doc_id n_bytes n_removed n_spans kept_sha256",
               6: "doc_id held_out n_tokens n_known train_tokens base_score score", 7: "doc_id n_tokens ids_sha256 decoded_sha256", 8: "doc_id n_shingles component_id",
-              9: "page_id payload_bytes payload_digest record_type refers_to", 10: "doc_id held_out score predicted", 1: "doc_id license"}[int(name[2:].split("_")[0])]
+              9: "page_id payload_bytes payload_digest record_type refers_to", 10: "doc_id held_out score predicted", 1: "doc_id license",
+              11: "lang source part item value rank", 12: "doc_id held_out score predicted",
+              13: "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256"}[int(name[2:].split("_")[0])]
     assert set(wanted.split()) <= set(found.columns)
-    if not name.startswith("op1_"):
+    if name.startswith("op13_"):
+        assert found.count() == common.read_table(spark, SMALL, "conversations").select("conv_id").distinct().count()
+    elif not name.startswith(("op1_", "op11_")):
         table = "pages" if name.startswith("op9") else "documents"
         assert found.count() == common.read_table(spark, SMALL, table).count()
 
