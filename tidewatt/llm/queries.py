@@ -43,7 +43,7 @@ def op5_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedupe(common.read_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256",
-                        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+                        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"), "has_passage")
 
 
 def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,14 @@ place.  The digits are
 Equal groups after the last pass are exactly the repeated windows.  Digits are
 compared by 128-bit hashes where a match removes text.
 
+A passage of over 50 words may be shorter than the threshold.  It is reported,
+never removed, by the same digits over words: runs of windows of WORDS words by
+their anchor of WORD_CORE words, whole runs, then the single windows of texts
+that no whole run has settled.
+
 Defined results: null and empty texts have no bytes; texts under the threshold
-keep all; identical repeated rows are repeats of each other; null ids give one
-result row each.
+keep all; identical repeated rows are repeats of each other, but share no
+passage, as they are one document; null ids give one result row each.
 """
 
 from __future__ import annotations
@@ -35,11 +40,15 @@ from . import common
 
 CORE = 50
 BLOCK = 8
+#: Words of the shortest passage that counts, and of its anchor's string.
+WORDS = 51
+WORD_CORE = 12
 #: Bytes hashed at once; a longer text is hashed alone.
 CHUNK = 1_000_000
 PLACE = np.uint64((1 << 30) - 1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+SOLID = np.array([chr(b) not in common.BLANKS for b in range(256)])
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -59,6 +68,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n - width + 1], left[width - 1:n])
 
 
+def anchored(hashed: np.ndarray, width: int, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last start and anchor of the runs of windows that share the
+    smallest of their ``width`` hashes; windows may start where ``fits``."""
+    ranked = (hashed & ~PLACE) | np.arange(len(hashed), dtype=np.uint64)
+    anchor = (sliding_min(ranked, width) & PLACE).astype(np.int64)
+    starts = np.flatnonzero(fits[:len(anchor)])
+    own = anchor[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)
+    at = np.flatnonzero(new)
+    return starts[at], starts[np.append(at[1:], len(starts)) - 1] if len(at) else starts, own[at]
+
+
 class Runs:
     """The runs of suffixes in some texts: arrays doc, first and last start,
     anchor (places in ``raw``) and the anchor string's hash."""
@@ -76,40 +98,76 @@ class Runs:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((np.frombuffer(self.raw, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
         hashed = common.mix64((sums[CORE:] - sums[:-CORE]) * down[:n - CORE + 1])
-        ranked = (hashed & ~PLACE) | np.arange(len(hashed), dtype=np.uint64)
-        anchor = (sliding_min(ranked, threshold - CORE + 1) & PLACE).astype(np.int64)
-        starts = np.flatnonzero(np.arange(len(anchor)) + threshold <= np.repeat(ends, sizes)[:len(anchor)])
-        own = anchor[starts]
-        new = np.ones(len(starts), bool)
-        new[1:] = (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)
-        at = np.flatnonzero(new)
-        self.first, self.last = starts[at], starts[np.append(at[1:], len(starts)) - 1] if len(at) else starts
-        self.anchor = own[at]
+        self.first, self.last, self.anchor = anchored(hashed, threshold - CORE + 1, np.arange(n) + threshold <= np.repeat(ends, sizes))
         self.doc = np.searchsorted(ends, self.first, "right")
         self.core = hashed[self.anchor].view(np.int64)
 
 
+class WordRuns:
+    """The runs of windows of ``size`` words in some texts: arrays doc, first
+    and last start, the anchor string's hash and ``whole``, the run's own."""
+
+    def __init__(self, texts: list[bytes], size: int, tables: tuple[np.ndarray, np.ndarray]):
+        raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        edges = np.flatnonzero(np.diff(SOLID[raw], prepend=False))
+        begins, ends = edges[::2], edges[1::2]
+        self.up, self.down = tables
+        self.size, n = size, len(begins)
+        if n < size:
+            self.doc = self.first = self.last = np.empty(0, np.int64)
+            self.core = self.whole = np.empty(0, np.int64)
+            return
+        sums = self.sums(raw.astype(np.uint64) + np.uint64(1))
+        self.words = common.mix64((sums[ends] - sums[begins]) * self.down[begins] + (ends - begins).astype(np.uint64))
+        doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begins, "right")
+        sums = self.sums(self.words)
+        cores = common.mix64((sums[WORD_CORE:] - sums[:-WORD_CORE]) * self.down[:n - WORD_CORE + 1])
+        self.first, self.last, anchor = anchored(cores, size - WORD_CORE + 1, doc[:n - size + 1] == doc[size - 1:])
+        self.doc, self.core = doc[self.first], cores[anchor].view(np.int64)
+        shape = common.mix64(((self.last - self.first) << 32 | (anchor - self.first)).astype(np.uint64))
+        self.whole = common.mix64((sums[self.last + size] - sums[self.first]) * self.down[self.first] + shape).view(np.int64)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.up[:len(values)], out=out[1:])
+        return out
+
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Doc and 128-bit hash of every window of the chosen runs."""
+        sizes = (self.last - self.first + 1)[runs]
+        starts = np.repeat(self.first[runs] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        halves = []
+        for words in (self.words, common.mix64(self.words ^ BASE)) if len(starts) else ():
+            sums = self.sums(words)
+            halves.append(common.mix64((sums[starts + self.size] - sums[starts]) * self.down[starts]).view(np.int64))
+        return np.repeat(self.doc[runs], sizes), *(halves or [starts, starts])
+
+
 def digest(data: bytes, seed: int) -> tuple[int, int]:
     x = xxhash.xxh3_128_intdigest(data, seed)
     return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
 
 
-def chunks(batches, threshold: int):
-    """(keys, Runs) over the batches' texts, CHUNK bytes or one text at a time."""
+def chunks(batches, threshold: int, kind=Runs, least: int | None = None, wanted: common.BitTable | None = None):
+    """(keys, runs) over the batches' texts of ``least`` bytes and a wanted
+    key, CHUNK bytes or one text at a time."""
+    least = threshold if least is None else least
     limit, tables = 0, None
     keys, texts, size = [], [], 0
 
     def flush():
         nonlocal limit, tables
-        if size > limit:
-            limit = size
-            tables = powers(BASE, size), powers(INVERSE, size)
-        return np.array(keys, np.int64), Runs(texts, threshold, tables)
+        if size + len(texts) > limit:
+            limit = size + len(texts)
+            tables = powers(BASE, limit), powers(INVERSE, limit)
+        return np.array(keys, np.int64), kind(texts, threshold, tables)
 
     for batch in batches:
+        if wanted is not None:
+            batch = batch.filter(pa.array(wanted.has(batch.column(0).to_numpy())))
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            if len(raw) < threshold:
+            if len(raw) < least:
                 continue
             if texts and size + len(raw) > CHUNK:
                 yield flush()
@@ -224,6 +282,37 @@ def repeated_spans(docs: DataFrame, threshold: int) -> DataFrame:
     return whole.unionByName(blocks.where("in_block > 1").select("key", *span("first", "last"))).unionByName(suffixes.select("key", *span("first", "first")))
 
 
+def shared_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """key of every text with a passage of ``words`` words or more that a text
+    of another key has as well; a key may come twice."""
+    texts, least = docs.select("key", "text"), 2 * words - 1
+
+    def scan(batches):
+        for keys, runs in chunks(batches, words, WordRuns, least):
+            row = np.stack([runs.core, runs.whole, keys[runs.doc]])
+            new = np.ones(row.shape[1], bool)  # equal neighbours: a text that repeats itself
+            new[1:] = (row[:, 1:] != row[:, :-1]).any(axis=0)
+            yield record(dict(zip(("core", "whole", "key"), row[:, new])))
+
+    by_core, by_run = Window.partitionBy("core"), Window.partitionBy("core", "whole")
+    across = lambda window: F.min("key").over(window) != F.max("key").over(window)
+    rows = texts.mapInArrow(scan, "core long, whole long, key long").withColumns({"several": across(by_core), "settled": across(by_run), "owner": F.min("key").over(by_run)})
+    rows = common.store(rows.where("several").drop("several"), "passage-runs")
+    settled = rows.where("settled").select("key").distinct()
+    open_cores = rows.join(settled, "key", "left_anti").select("core").distinct()
+    opened = common.store(rows.join(open_cores, "core", "left_semi").where("not settled or key = owner").select("key", F.col("core").bitwiseXOR(F.col("key")).alias("run")), "passage-open")
+    sieves = docs.sparkSession.sparkContext.broadcast((common.BitTable.of(opened, "key"), common.BitTable.of(opened, "run")))
+
+    def single(batches):
+        wanted, open_ = sieves.value
+        for keys, runs in chunks(batches, words, WordRuns, least, wanted):
+            doc, d1, d2 = runs.windows(np.flatnonzero(open_.has(runs.core ^ keys[runs.doc])))
+            yield record({"key": keys[doc], "d1": d1, "d2": d2})
+
+    windows = texts.mapInArrow(single, "key long, d1 long, d2 long").withColumn("several", across(Window.partitionBy("d1", "d2")))
+    return settled.unionByName(windows.where("several").select("key"))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of the covered bytes."""
     out: list[tuple[int, int]] = []
@@ -237,11 +326,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def dedupe(docs: DataFrame, threshold: int = 400) -> DataFrame:
     """doc_id, n_bytes, spans (removed, maximal), ``kept`` (the remaining bytes;
-    a cut may fall inside a character) and kept_sha256."""
+    a cut may fall inside a character), kept_sha256 and has_passage (a passage
+    of WORDS words or more is in another document as well)."""
     if threshold < CORE + BLOCK:
         raise ValueError(f"threshold is {CORE + BLOCK} bytes at least")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(texts, threshold).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
+    spans = repeated_spans(texts, threshold).select("key", F.struct("start", "end").alias("span"), F.lit(False).alias("passage"))
+    spans = spans.unionByName(shared_passages(texts).withColumn("passage", F.lit(True)), allowMissingColumns=True)
+    spans = spans.groupBy("key").agg(F.array_sort(F.collect_set("span")).alias("found"), F.max("passage").alias("passage"))
 
     def cut(batches):
         for batch in common.parts(batches):
@@ -258,8 +350,8 @@ def dedupe(docs: DataFrame, threshold: int = 400) -> DataFrame:
                 left.append(b"".join([*pieces, raw[at:]]))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             hashes = [hashlib.sha256(x).hexdigest() for x in left]
-            yield pa.RecordBatch.from_arrays([doc, pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(left, pa.binary()), pa.array(hashes, pa.string())],
-                                             ["doc_id", "n_bytes", "spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([doc, pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(left, pa.binary()), pa.array(hashes, pa.string()), batch.column(3)],
+                                             ["doc_id", "n_bytes", "spans", "kept", "kept_sha256", "has_passage"])
 
-    joined = texts.join(spans, "key", "left").select("doc_id", "text", "found")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
+    joined = texts.join(spans, "key", "left").select("doc_id", "text", "found", F.coalesce("passage", F.lit(False)))
+    return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string, has_passage boolean")
